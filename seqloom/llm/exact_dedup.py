@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import SPACE, fresh_path, written
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Each partition has a store of its own; without this, each one also reserves megabytes of disk for its logs.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Copies that one task compares with the row that stays.
 COPIES_PER_SALT = 500
 #: Most bytes of digests that are broadcast to pick the hits; more are joined by shuffle.
@@ -57,9 +61,9 @@ class DedupState:
         def keep(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
-        key = "spark.sql.streaming.stateStore.providerClass"
-        before = spark.conf.get(key)
-        spark.conf.set(key, PROVIDER)
+        before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+        for k, v in STATE_SETTINGS.items():
+            spark.conf.set(k, v)
         try:
             state = (
                 spark.readStream.schema(schema).parquet(inbox).groupBy("digest")
@@ -71,7 +75,8 @@ class DedupState:
             )
             query.awaitTermination()
         finally:
-            spark.conf.set(key, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def snapshot(self) -> DataFrame:
         """(digest, first, copies) of all that was taken in: the last update of each digest."""
