@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, exact_dedup, mixing, secret_scan
+from seqloom.llm import chat, exact_dedup, langid, line_dedup, mixing, packing, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op4_mixing": mixing.op4_mixing,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op2_line_dedup": line_dedup.SQL,
     "op3_chat_format": chat.SQL,
     "op4_mixing": mixing.SQL,
     "op5_secret_scan": secret_scan.SQL,
