@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, exact_dedup, langid, line_dedup, mixing, packing, secret_scan
+from seqloom.llm import chat, exact_dedup, langid, line_dedup, mixing, packing, secret_scan, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_top_k": topk.op9_top_k,
     "op10_language_id": langid.op10_language_id,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.SQL,
     "op4_mixing": mixing.SQL,
     "op5_secret_scan": secret_scan.SQL,
+    "op9_top_k": topk.SQL,
 }
