@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, secret_scan, topk
+from seqloom.llm import chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, secret_scan, suffix_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_mixing": mixing.op4_mixing,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_top_k": topk.op9_top_k,
