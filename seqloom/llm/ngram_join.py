@@ -18,6 +18,8 @@ differ in how they order tokens that are about as rare.
    of the list's first component.  At last all pairs of different components that are
    still unverified are compared, so no link between different components is lost.
    A list in which all are copies of each other thus costs one comparison per member.
+   A pair is compared only if what both sets still have from the shared token on is
+   enough (the positional filter); its first shared token always passes this.
 
 Defined results: a null text has no words; sets without tokens are linked with nothing;
 fewer words than a shingle are one token; equal texts are linked; null ids never
@@ -46,6 +48,8 @@ MORE_ORDERS = 2
 ROUNDS = 5
 #: Tokens in a block of documents, about.
 BLOCK_TOKENS = 2_000_000
+#: Identifiers that are broadcast at most, to pick the documents that are left; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,7 +194,7 @@ def _prefixes(percent: int):
             tokens.append(np.frombuffer(payload, np.uint64, m))
             classes.append(np.frombuffer(payload, np.uint8, m, 8 * m))
             owners.append(np.repeat(np.arange(len(n)), np.frombuffer(sizes, np.uint32)))
-        out = {"did": [], "n": [], **{f"p{s}": [] for s in range(1 + MORE_ORDERS)}}
+        out = {"did": [], "n": [], "own": [], **{f"p{s}": [] for s in range(1 + MORE_ORDERS)}}
         if tokens:
             token, kind, owner = np.concatenate(tokens), np.concatenate(classes), np.concatenate(owners)
             shared = np.bincount(owner, minlength=len(n))
@@ -200,6 +204,7 @@ def _prefixes(percent: int):
             for k in np.flatnonzero(take > 0):
                 out["did"].append(int(dids[k]))
                 out["n"].append(int(n[k]))
+                out["own"].append(int(n[k] - shared[k]))
                 for s in range(1 + MORE_ORDERS):
                     out[f"p{s}"].append(sorted_[s][starts[k] : starts[k] + take[k]].view(np.int64))
         return pd.DataFrame(out)
@@ -208,14 +213,11 @@ def _prefixes(percent: int):
 
 
 def _verify(percent: int):
-    """Of candidate pairs with both sides' prefixes and sets, whether they are linked."""
+    """Of candidate pairs with both sides' sets, whether they are linked."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for row in batch.itertuples(index=False):
-                near = all(np.isin(getattr(row, f"p{s}"), getattr(row, f"q{s}")).any() for s in range(1, 1 + MORE_ORDERS))
-                keep.append(near and linked(np.frombuffer(row.set_a, np.uint64), np.frombuffer(row.set_b, np.uint64), percent))
+            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
             yield batch[["a", "b"]].assign(linked=np.array(keep, bool))
 
     return verify
@@ -249,43 +251,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame({"digest": [hashlib.md5(m, usedforsecurity=False).digest() for m in made], "tokens": made})
 
     one_each = left.groupBy("digest").agg(F.min("id").alias("id")).select("id").distinct()
-    texts = named.join(one_each.select(F.col("id").alias("id_")), F.col("id").eqNullSafe(F.col("id_")), "left_semi")
+    ids = written(one_each.select(F.col("id").alias("id_")), "ngram-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = named.join(ids, F.col("id").eqNullSafe(F.col("id_")), "left_semi")
     again = texts.select("text").mapInPandas(make_sets, "digest binary, tokens binary").join(sets, "digest")
     whole = written(again.groupBy("did").agg(F.first("tokens").alias("tokens")), "ngram-tokens")
 
     def send_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _blocks(((int(d).to_bytes(8, "little", signed=True), np.frombuffer(t, np.uint64)) for batch in batches for d, t in zip(batch["did"], batch["tokens"], strict=True)), bits)
 
-    shape = "did long, n long, " + ", ".join(f"p{s} array<long>" for s in range(1 + MORE_ORDERS))
+    shape = "did long, n long, own long, " + ", ".join(f"p{s} array<long>" for s in range(1 + MORE_ORDERS))
     prefixed = written(_exchange(whole.mapInPandas(send_sets, SENT), bits, True).groupBy("block").applyInPandas(_prefixes(percent), shape), "ngram-prefixes")
-    lists = prefixed.select("did", "n", F.explode("p0").alias("token"))
+    lists = prefixed.select("did", "n", "own", F.posexplode("p0").alias("at", "token")).withColumn("rest", F.col("n") - F.col("own") - F.col("at"))
     # A token in one prefix alone makes no candidate.
     lists = written(lists.join(lists.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi"), "ngram-lists")
-    full = prefixed.drop("p0").join(whole, "did")
-    side = lambda letter, p: full.select(F.col("did").alias(letter), F.col("tokens").alias(f"set_{letter}"), *[F.col(f"p{s}").alias(f"{p}{s}") for s in range(1, 1 + MORE_ORDERS)])
+    orders = range(1, 1 + MORE_ORDERS)
+    others = lambda letter: prefixed.select(F.col("did").alias(letter), *[F.col(f"p{s}").alias(f"{letter}{s}") for s in orders])
+    sets_of = lambda letter: whole.select(F.col("did").alias(letter), F.col("tokens").alias(f"set_{letter}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b")
+        """Pairs that share a prefix token under all other orders too, and whether they are linked."""
+        both = pairs.join(others("a"), "a").join(others("b"), "b")
+        for s in orders:
+            both = both.where(F.arrays_overlap(f"a{s}", f"b{s}"))
+        both = both.select("a", "b").join(sets_of("a"), "a").join(sets_of("b"), "b")
         return written(both.mapInPandas(_verify(percent), "a long, b long, linked boolean"), "ngram-verified")
 
     comps = written(lists.select("did").distinct().withColumn("comp", F.col("did")), "comps")
-    sizes = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    # The shared token being the first one, at most the smaller rest of the two sets is shared.
+    enough = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))
     done: DataFrame | None = None
     turn, last = 0, rounds < 1
     while True:
         held = lists.join(comps, "did")
         if not last:
-            # One member of each component in a list, and of these the first, which all others are compared with.
-            member = F.struct(F.xxhash64("did", F.lit(turn)).alias("h"), "did", "n")
+            # One member of each component in a list, rather one with few tokens of its own, and of these the first, which all others are compared with.
+            lot = F.pmod(F.xxhash64("did", F.lit(turn)), F.lit(1024)) / F.lit(1024.0)
+            member = F.struct((F.col("own") / F.col("n") * (1 + turn * lot)).alias("h"), "did", "n", "rest")
             offered = held.groupBy("token", "comp").agg(F.min(member).alias("m")).select("token", "comp", "m.*")
-            middle = offered.groupBy("token").agg(F.min(F.struct("h", "did", "n", "comp")).alias("c")).select("token", F.col("c.did").alias("did_c"), F.col("c.n").alias("n_c"), F.col("c.comp").alias("comp_c"))
-            pairs = offered.join(middle, "token").where("comp <> comp_c").select("did", "did_c", F.col("n").alias("n_a"), F.col("n_c").alias("n_b"))
+            middle = offered.groupBy("token").agg(F.min(F.struct("h", "did", "n", "rest", "comp")).alias("c")).select("token", F.col("c.did").alias("did_c"), F.col("c.n").alias("n_b"), F.col("c.rest").alias("rest_b"), F.col("c.comp").alias("comp_c"))
+            pairs = offered.select("token", "comp", "did", F.col("n").alias("n_a"), F.col("rest").alias("rest_a")).join(middle, "token").where(enough & (F.col("comp") != F.col("comp_c")))
         else:
-            # Whatever is left: lists that hold several components, each pair of members of two of them.
-            several = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-            rest = held.join(several, "token", "left_semi")
-            pairs = rest.select("token", "did", F.col("n").alias("n_a"), "comp").join(rest.select("token", F.col("did").alias("did_c"), F.col("n").alias("n_b"), F.col("comp").alias("comp_c")), "token").where("comp < comp_c")
-        pairs = pairs.where(sizes).select(F.least("did", "did_c").alias("a"), F.greatest("did", "did_c").alias("b")).distinct()
+            # Whatever is left: in lists that hold several components, each member outside the largest one with all others.
+            each = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"))
+            several = each.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "members").alias("main"), F.min("least").alias("least")).where("comps > 1").drop("comps")
+            able = held.join(several, "token").where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least")))
+            odd = able.where("comp <> main").select("token", "did", F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), "comp")
+            pairs = odd.join(able.select("token", F.col("did").alias("did_c"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("comp").alias("comp_c")), "token").where(enough & (F.col("comp") != F.col("comp_c")))
+        pairs = pairs.select(F.least("did", "did_c").alias("a"), F.greatest("did", "did_c").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         found = verified(pairs)
