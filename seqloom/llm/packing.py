@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import written
+from seqloom.llm.common import slices, written
 
 LENGTH, END_ID = 2048, 0
 PIECES_PER_NODE, FAN, CARRIED = 20_000, 8, 20_000
@@ -39,32 +39,53 @@ CACHED = 400_000
 # White space that the word split below may not treat as such.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _PLAIN = re.compile("[ \t\n\r]+")
+# Letters that NFC leaves alone and that have one lower-case form.
+_LATIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, range(0xC0, 0xDF))).replace("\xd7", "") + "ßÿ"
+_SIMPLE = re.compile(f"([{_LATIN}{_LATIN.lower()}]*)([.,;:!?]*)")
 _tokenizers: dict[str, WordCache] = {}
 
 
+class _Remembered(dict):
+    """Values made when first asked for; all are forgotten when there are too many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
 class WordCache:
-    """A tokenizer file, applied word by word."""
+    """A tokenizer file, applied word by word; ids are little-endian unsigned 32-bit numbers.
+
+    Words of Latin letters and a mark or two, nearly all there are, go to the model
+    itself, letters and marks apart, as the file's normalizer and pre-tokenizer would
+    hand them on; any other word takes the whole way."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LATIN.lower()}
+        self.cores, self.whole = _Remembered(self._core), _Remembered(self._word)
+
+    def _core(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.translate(self.letters))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        simple = _SIMPLE.fullmatch(word)
+        if not simple:
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        letters, marks = simple.groups()
+        return (self.cores[letters.lower()] if letters else b"") + (self.cores[marks] if marks else b"")
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [_PLAIN.split(t) if _ODD.search(t) else t.split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = {w for words in split for w in words}
-        listed = list(new)
-        for k in range(0, len(listed), 10_000):
-            part = listed[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.whole.__getitem__, _PLAIN.split(text) if _ODD.search(text) else text.split()))
 
 
 def word_cache(path: str) -> WordCache:
@@ -78,10 +99,10 @@ def _pieces(path: str, length: int, end_id: int):
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = word_cache(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for uid, doc, ids in zip(batch["uid"], batch["id"], cache.ids([t or "" for t in batch["text"]]), strict=True):
-                ids += end
+            for uid, doc, text in zip(batch["uid"], batch["id"], batch["text"], strict=True):
+                ids = cache.ids(text or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     rows.append((uid, doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
