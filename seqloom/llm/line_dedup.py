@@ -29,13 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import written
+from seqloom.llm.common import slices, written
 
 MIN_DOCS, MIN_CHARS = 10, 1
 KEYS_PER_SHARD = 16_000
 BROADCAST_BYTES = 32 << 20
-#: Keys that a task counts before it hands its sums on.
-HELD = 200_000
+#: Keys that a task counts, or remembers the filters' answers for, at once.
+HELD = 100_000
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 
@@ -125,7 +125,7 @@ def line_keys(text: str | None, min_chars: int) -> tuple[list[bytes], list[bytes
 def _counted(min_chars: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch["text"]:
                 for key in set(line_keys(text, min_chars)[1]) - {None}:
                     held[key] = held.get(key, 0) + 1
@@ -170,20 +170,20 @@ class LineIndex:
         self.filters = written(rows.groupBy("shard").applyInPandas(_filtered(self.min_docs), "shard int, filter binary, wrong binary"), "line-filters")
         self.counts = self.counts.where("n > 0")
 
-    def dropped(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-        """Per document: id, n_lines, n_dropped, kept_sha256, kept (the text that is left)."""
+    def dropped(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, with_text: bool = True) -> DataFrame:
+        """Per document: id, n_lines, n_dropped, kept_sha256 and, if asked for, kept (the text that is left)."""
         named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        out = f"id {docs.schema[id_col].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string, kept string"
+        out = f"id {docs.schema[id_col].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text
         size = self.filters.agg(F.sum(F.length("filter") + F.length("wrong"))).first()[0] or 0
         if size <= broadcast_bytes:
             parts = {r["shard"]: (r["filter"], r["wrong"]) for r in self.filters.toLocalIterator()}
             whole = self.spark.sparkContext.broadcast(_merged(parts))
-            return named.mapInPandas(_dropper(whole, self.min_chars, self.shards), out).withColumnRenamed("id", id_col)
+            return named.mapInPandas(_dropper(whole, self.min_chars, self.shards, with_text), out).withColumnRenamed("id", id_col)
         named = written(named.withColumn("uid", F.monotonically_increasing_id()), "line-texts")
         common = self.counts.where(F.col("n") >= self.min_docs).select("digest")
         lines = named.mapInPandas(_lines(self.min_chars), "uid long, digest binary").join(common, "digest")
         per_doc = lines.groupBy("uid").agg(F.collect_set("digest").alias("common"))
-        return named.join(per_doc, "uid", "left").mapInPandas(_dropper(None, self.min_chars), out).withColumnRenamed("id", id_col)
+        return named.join(per_doc, "uid", "left").mapInPandas(_dropper(None, self.min_chars, 0, with_text), out).withColumnRenamed("id", id_col)
 
 
 def _filtered(min_docs: int):
@@ -213,14 +213,14 @@ def _merged(parts: dict[int, tuple[bytes, bytes]]) -> tuple[dict[int, bytes], se
 
 def _lines(min_chars: int):
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = [(u, k) for u, t in zip(batch["uid"], batch["text"], strict=True) for k in set(line_keys(t, min_chars)[1]) - {None}]
             yield pd.DataFrame(pairs, columns=["uid", "digest"])
 
     return lines
 
 
-def _dropper(whole, min_chars: int, shards: int = 0):
+def _dropper(whole, min_chars: int, shards: int, with_text: bool):
     """Drops common lines: those of the broadcast filters, or else those of column ``common``."""
 
     def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,7 +228,7 @@ def _dropper(whole, min_chars: int, shards: int = 0):
         if whole is not None:
             blobs, wrong = whole.value
             filters = {k: CuckooFilter(blob=b) for k, b in blobs.items()}
-        for batch in batches:
+        for batch in slices(batches):
             split = [line_keys(t, min_chars) for t in batch["text"]]
             if whole is not None:
                 new = list({k for _, keys in split for k in keys if k is not None and k not in claimed})
@@ -248,8 +248,8 @@ def _dropper(whole, min_chars: int, shards: int = 0):
             rows = []
             for (lines, keys), common in zip(split, commons, strict=True):
                 left = b"\n".join([line for line, k in zip(lines, keys, strict=True) if k is None or not common.get(k)])
-                rows.append((len(lines), sum(k is not None and common.get(k, False) for k in keys), hashlib.sha256(left).hexdigest(), left.decode()))
-            out = pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_sha256", "kept"])
+                rows.append((len(lines), sum(k is not None and common.get(k, False) for k in keys), hashlib.sha256(left).hexdigest(), *([left.decode()] if with_text else [])))
+            out = pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_sha256", *(["kept"] if with_text else [])])
             out.insert(0, "id", batch["id"].to_numpy())
             yield out
 
@@ -261,14 +261,14 @@ def _shard_of(digests: np.ndarray, shards: int) -> np.ndarray:
     return ((digests[:, 1] >> np.uint64(32)).astype(np.uint32).byteswap() % np.uint32(shards)).astype(np.int64)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, with_text: bool = True) -> DataFrame:
     index = LineIndex(docs.sparkSession, min_docs, min_chars)
     index.insert(docs, text_col)
-    return index.dropped(docs, id_col, text_col)
+    return index.dropped(docs, id_col, text_col, with_text=with_text)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
 
 
 SQL = r"""
