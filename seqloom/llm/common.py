@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,18 @@ def remove_table(df: DataFrame) -> None:
         remove(df.sparkSession, files[0].rpartition("/")[0])
 
 
+@contextmanager
+def few_records(spark: SparkSession, n: int = 4) -> Iterator[None]:
+    """For jobs started within: at most n rows at once between JVM and Python, where a row is a block of megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
