@@ -13,6 +13,11 @@ def _block(code, shift: int, bits: int):
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
+def _changed(block, masks: list[int]):
+    """A block with each of the changes."""
+    return F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x: block.bitwiseXOR(x))
+
+
 def pairs(queries: DataFrame, table: DataFrame, k: int, m: int, plan: BlockPlan | None = None) -> DataFrame:
     """(q, code, n, d) of all query codes q and table codes at distance d <= m, each pair once.
 
@@ -20,7 +25,7 @@ def pairs(queries: DataFrame, table: DataFrame, k: int, m: int, plan: BlockPlan
     blocks find is kept for the first of them, which an expression tells, so nothing is deduplicated."""
     plan = plan or choose(k, m)
     spans = plan.spans()
-    asked = F.array(*[F.struct(F.lit(j).alias("j"), F.transform(F.array(*[F.lit(x).cast("long") for x in plan.masks(bits)]), lambda x, s=shift, b=bits: _block(F.col("q"), s, b).bitwiseXOR(x)).alias("blocks")) for j, (shift, bits) in enumerate(spans)])
+    asked = F.array(*[F.struct(F.lit(j).alias("j"), _changed(_block(F.col("q"), shift, bits), plan.masks(bits)).alias("blocks")) for j, (shift, bits) in enumerate(spans)])
     left = queries.select("q", F.explode(asked).alias("a")).select("q", "a.j", F.explode("a.blocks").alias("block"))
     held = F.array(*[F.struct(F.lit(j).alias("j"), _block(F.col("code"), shift, bits).alias("block")) for j, (shift, bits) in enumerate(spans)])
     right = table.select("code", "n", F.explode(held).alias("h")).select("code", "n", "h.j", "h.block")
@@ -32,12 +37,12 @@ def pairs(queries: DataFrame, table: DataFrame, k: int, m: int, plan: BlockPlan
     return both.where(F.col("j") == first).select("q", "code", "n", "d")
 
 
-def profile(queries: DataFrame, counts: DataFrame, m: int, bag: bool = True, listing: bool = False) -> DataFrame:
+def profile(queries: DataFrame, counts: DataFrame, m: int, bag: bool = True, listing: bool = False, k: int | None = None) -> DataFrame:
     """Adds n0..nm and off_site_counts to ``queries`` (with a column kmer): sites at each distance, or
     distinct k-mers if not ``bag``.  With ``listing``, also ``found``: each k-mer found with its count, by
     distance and code, bases that differ in lower case; the query itself comes first even with none.
-    Queries that are no k-mers get nulls."""
-    k = counts.select(F.max(F.length("kmer"))).first()[0] or 1
+    Queries that are no k-mers get nulls.  k saves a look at the table."""
+    k = k or counts.select(F.max(F.length("kmer"))).first()[0] or 1
     coded = queries.withColumn("q", S.kmer_code(F.upper("kmer")))
     table = counts.select(S.kmer_code(F.col("kmer")).alias("code"), F.col("n") if bag else F.lit(1).cast("long").alias("n"))
     asked = coded.where(F.col("q").isNotNull() & (F.length("kmer") == k)).select("q").distinct()

@@ -199,7 +199,7 @@ v AS (SELECT a.kmer, substr(a.kmer, 1, i::int) || b || substr(a.kmer, i::int + 2
 SELECT a.kmer, 0::bigint AS n0, coalesce(sum(c.n), 0)::bigint AS n1 FROM absent AS a JOIN v ON a.kmer = v.kmer LEFT JOIN c ON c.kmer = v.v GROUP BY a.kmer""")
 def absent_profile(spark, d):
     found = _kmers(spark, d)
-    return neighbors.profile(kmers.absent(spark, found, K).select("kmer"), kmers.kmer_counts(found), 1).select("kmer", "n0", "n1")
+    return neighbors.profile(kmers.absent(spark, found, K).select("kmer"), kmers.kmer_counts(found), 1, k=K).select("kmer", "n0", "n1")
 
 
 # --- neighbours -------------------------------------------------------------------------------
@@ -215,7 +215,7 @@ profile AS (SELECT kmer, {sums} FROM p GROUP BY kmer)"""
 
 def _profiled(spark, d, m: int, bag: bool = True, listing: bool = False) -> DataFrame:
     counts = kmers.kmer_counts(_ngg(spark, d))
-    return neighbors.profile(counts.select("kmer"), counts, m, bag, listing)
+    return neighbors.profile(counts.select("kmer"), counts, m, bag, listing, k=20)
 
 
 @_query(f"{_profile_sql(2, False)} SELECT kmer, n0, n1, n2 FROM profile")
@@ -303,12 +303,12 @@ def islands(spark, d):
 
 
 BLOCKS_SQL = f"""WITH {V.BED_SQL}, b AS (
-  SELECT chrom, name, s // 1000 AS k, string_agg(s, ',' ORDER BY s, e) AS starts, list(s ORDER BY s, e) AS ss, list(e - s ORDER BY s, e) AS zs FROM bed GROUP BY chrom, name, s // 1000)
+  SELECT chrom, name, s // 100 AS k, string_agg(s, ',' ORDER BY s, e) AS starts, list(s ORDER BY s, e) AS ss, list(e - s ORDER BY s, e) AS zs FROM bed GROUP BY chrom, name, s // 100)
 SELECT chrom, name, k::bigint AS k, starts FROM b WHERE {{}} (len(list_filter(range(2, len(ss) + 1), lambda i: ss[i - 1] + zs[i - 1] > ss[i])) = 0)"""
 
 
 def _blocks(spark, d):
-    rows = V.bed(spark, d).withColumn("k", F.floor(F.col("s") / 1000)).groupBy("chrom", "name", "k").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("all"))
+    rows = V.bed(spark, d).withColumn("k", F.floor(F.col("s") / 100)).groupBy("chrom", "name", "k").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("all"))
     return rows.select("chrom", "name", "k", F.array_join(F.transform("all", lambda x: x["s"].cast("string")), ",").alias("starts"),
                        F.transform("all", lambda x: x["s"]).alias("block_starts"), F.transform("all", lambda x: x["e"] - x["s"]).alias("block_sizes"))
 
@@ -334,7 +334,7 @@ GC_SQL = "100.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq)"
 def _table(spark, d) -> DataFrame:
     found = sites.with_copies(_ngg(spark, d))
     counts = found.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    profiled = neighbors.profile(counts.select("kmer"), counts, 2)
+    profiled = neighbors.profile(counts.select("kmer"), counts, 2, k=20)
     rows = found.join(profiled.select("kmer", F.concat("off_site_counts", F.lit("/0")).alias("off_site_counts")), "kmer")
     return annotate.one_copy_table(rows.withColumn("name", sites.site_name(F.col("kmer"), F.col("copies"))))
 
