@@ -34,7 +34,7 @@ PIECES_PER_NODE, FAN, CARRIED = 20_000, 8, 20_000
 #: A bin with at most so many free places is sealed.
 SLACK = 16
 #: Words whose ids a worker remembers at once.
-CACHED = 400_000
+CACHED = 1_200_000
 
 # White space that the word split below may not treat as such.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -72,20 +72,26 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LATIN.lower()}
-        self.cores, self.whole = _Remembered(self._core), _Remembered(self._word)
-
-    def _core(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.translate(self.letters))]).tobytes()
-
-    def _word(self, word: str) -> bytes:
+        self.known = _Remembered(self._ids)
+
+    def _ids(self, word: str) -> bytes:
+        if word.isascii():
+            if word.isalpha():
+                if not word.islower():
+                    return self.known[word.lower()]
+                return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return self.known[word[:-1].lower()] + self.known[word[-1]]
         simple = _SIMPLE.fullmatch(word)
-        if not simple:
+        if not simple or not simple[1]:
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         letters, marks = simple.groups()
-        return (self.cores[letters.lower()] if letters else b"") + (self.cores[marks] if marks else b"")
+        if marks or not word.islower():
+            return self.known[letters.lower()] + (self.known[marks] if marks else b"")
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.translate(self.letters))]).tobytes()
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.whole.__getitem__, _PLAIN.split(text) if _ODD.search(text) else text.split()))
+        return b"".join(map(self.known.__getitem__, _PLAIN.split(text) if _ODD.search(text) else text.split()))
 
 
 def word_cache(path: str) -> WordCache:
