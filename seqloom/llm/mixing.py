@@ -33,13 +33,12 @@ SHARE, EPOCHS, WEIGHTS, SEED = 1.5, 2, (5, 2, 1), 17
 _KEYS = ["__source", "__bucket"]
 
 
-def _offered(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Adds size, the source's key and place in the shuffled order."""
-    return docs.withColumns({
-        "__size": words(F.col(text_col)),
-        "__source": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("t")),
-        "__hash": F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))),
-    })
+def _offered(docs: DataFrame, id_: Column, text: Column, source: Column, *kept: Column) -> DataFrame:
+    """The columns kept, size, the source's key and what tells its place in the shuffled order."""
+    return docs.select(
+        *kept, words(text).alias("__size"), F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("t")).alias("__source"),
+        F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(id_.cast("string"), F.lit("null")))).alias("__hash"),
+    )
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -59,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("__source", "source_size", F.least(F.col("cap").cast("double"), level * F.col("w")).alias("target"))
 
 
-def queue(offered: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, order: tuple[str, ...] = ()) -> DataFrame:
+def queue(offered: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, order: tuple[Column, ...] = ()) -> DataFrame:
     """Adds source_size, target and, for each time that a document is offered, epoch, virtual_finish and taken (0 beyond the budget)."""
     n = offered.count()
     buckets = 1 << max(4, math.ceil(math.log2(max(1, n)) / 2))
@@ -88,14 +87,19 @@ def first_words(text: Column, n: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time that a document is taken,
     range-sorted by virtual finish time.  A document that the truncation cuts keeps its first words."""
-    queued = queue(_offered(docs, id_col, text_col, source_col), weights, share, epochs, order=(text_col,)).where("taken > 0")
-    cut = F.when(F.col("taken") < F.col("__size"), first_words(F.col(text_col), F.col("taken"))).otherwise(F.col(text_col))
-    return queued.withColumn(text_col, cut).orderBy("virtual_finish", "__source", "__hash").select(*docs.columns)
+    # All columns travel in one, so that none can clash.
+    doc = F.struct(*[F.col(c) for c in docs.columns]).alias("__doc")
+    offered = _offered(docs, F.col(id_col), F.col(text_col), F.col(source_col), doc)
+    text = F.col("__doc")[text_col]
+    queued = queue(offered, weights, share, epochs, order=(text,)).where("taken > 0")
+    cut = F.when(F.col("taken") < F.col("__size"), first_words(text, F.col("taken"))).otherwise(text)
+    queued = queued.withColumn("__cut", cut).orderBy("virtual_finish", "__source", "__hash")
+    return queued.select(*[F.col("__cut").alias(c) if c == text_col else F.col("__doc")[c].alias(c) for c in docs.columns])
 
 
 def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """One row per document: id, size, source_size, target, taken."""
-    offered = _offered(docs.select(id_col, text_col, source_col), id_col, text_col, source_col).select(F.col(id_col).alias("id"), "__size", "__source", "__hash")
+    offered = _offered(docs, F.col(id_col), F.col(text_col), F.col(source_col), F.col(id_col).alias("id"))
     rows = queue(written(offered, "mix-offered"), weights, share, epochs).repartitionByRange("virtual_finish").sortWithinPartitions("virtual_finish")
     return (
         rows.groupBy(*_KEYS, "__nth", "id").agg(F.first("__size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))

@@ -326,7 +326,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest id of their class; all rows without words or id stay."""
+    """The rows of ``docs``, all columns, that are the smallest id of their class; all rows without words or id stay.  Ids must be distinct."""
     classes = near_duplicates(docs, id_col, text_col)
     gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
