@@ -207,7 +207,7 @@ def _prefixes(percent: int):
                 out["own"].append(int(n[k] - shared[k]))
                 for s in range(1 + MORE_ORDERS):
                     out[f"p{s}"].append(sorted_[s][starts[k] : starts[k] + take[k]].view(np.int64))
-        return pd.DataFrame(out)
+        return pd.DataFrame({name: pd.Series(values, dtype=object if name.startswith("p") else np.int64) for name, values in out.items()})
 
     return prefixes
 
