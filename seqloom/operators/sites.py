@@ -46,6 +46,7 @@ def sites(genome: DataFrame, pattern: str, upper: bool = True, prefix: str = "",
     found = F.when(forward & backward, F.array(plus, minus)).when(forward, F.array(plus)).when(backward, F.array(minus))
     if forward_only:
         found = F.when(forward, F.array(plus))
+    rows = rows.where(forward if forward_only else forward | backward)  # most windows end here, before anything is made of them
     rows = rows.select("chrom", F.explode(found).alias("s")).select("chrom", "s.start0", (F.col("s.start0") + (ke - ks)).alias("end1"), "s.kmer", "s.strand")
     return rows.where(F.col("kmer").startswith(prefix)) if prefix else rows
 
