@@ -34,7 +34,7 @@ PIECES_PER_NODE, FAN, CARRIED = 20_000, 8, 20_000
 #: A bin with at most so many free places is sealed.
 SLACK = 16
 #: Words whose ids a worker remembers at once.
-CACHED = 1_000_000
+CACHED = 700_000
 
 # White space that the word split below may not treat as such.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
