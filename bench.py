@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -11,8 +12,7 @@ from pyspark.sql import SparkSession
 from seqloom.plans import queries as Q
 
 HEADLINE = [
-    "site_copies", "site_clusters", "kmer_counts", "kmer_symdiff", "absent_count", "neighbors_set", "offsites_bag",
-    "overlap_join", "chain_radius", "islands", "db_annotate18", "db_best_n_by_chrom", "guide_filter", "triplet_filter",
+    "overlap_join", "chain_radius", "islands", "site_copies", "site_clusters", "kmer_counts", "absent_count", "guide_filter", "triplet_filter", "offsites_bag",
 ]
 
 
@@ -28,6 +28,7 @@ def main() -> None:
         began = time.time()
         Q.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - began, 2)
+        print(name, times[name], file=sys.stderr, flush=True)
         spark.catalog.clearCache()
     queries = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 2), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")), "documents": queries}))
