@@ -75,6 +75,8 @@ class WordCache:
         self.known = _Remembered(self._ids)
 
     def _ids(self, word: str) -> bytes:
+        if not word:  # the split of odd texts gives one at an end that is white space
+            return b""
         if word.isascii():
             if word.isalpha():
                 if not word.islower():

@@ -89,6 +89,16 @@ def test_packing(docs):
     assert P.pack(docs(*rows).limit(0), P.word_tokenizer()).isEmpty()
 
 
+ODD_ENDS = ["caf\u00e9\u00a0bar\n", " a\x0cb", "a\u00a0b\n", "\ta\x0b", "\u3000x \n", " \x85", "\n\x1c\n"]
+
+
+def test_odd_white_space_between_plain_ends(docs):
+    cache = P.word_cache(P.word_tokenizer())
+    for t in ODD_ENDS:
+        assert cache.ids(t) == np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert P.pack(docs(*((k, t, None) for k, t in enumerate(ODD_ENDS))), P.word_tokenizer()).count() == len(ODD_ENDS)
+
+
 def test_best_fit():
     bins, offsets, filled = P.best_fit([5, 5, 6, 4, 10], 10)
     assert sorted(filled) == [10, 10, 10] and bins[2] == bins[3] and offsets[3] == 6
