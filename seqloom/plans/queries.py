@@ -331,11 +331,12 @@ TABLE_SQL = f"""{_profile_sql(2, True)}, t AS (
 GC_SQL = "100.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq)"
 
 
-def _table(spark, d) -> DataFrame:
+def _table(spark, d, m: int = 2) -> DataFrame:
+    """The 18 columns; off-sites beyond ``m`` mismatches, three at most, are not counted."""
     found = sites.with_copies(_ngg(spark, d))
     counts = found.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    profiled = neighbors.profile(counts.select("kmer"), counts, 2, k=20)
-    rows = found.join(profiled.select("kmer", F.concat("off_site_counts", F.lit("/0")).alias("off_site_counts")), "kmer")
+    profiled = neighbors.profile(counts.select("kmer"), counts, m, k=20)
+    rows = found.join(profiled.select("kmer", F.concat("off_site_counts", F.lit("/0" * (3 - m))).alias("off_site_counts")), "kmer")
     return annotate.one_copy_table(rows.withColumn("name", sites.site_name(F.col("kmer"), F.col("copies"))))
 
 
@@ -386,6 +387,44 @@ def db_range_in_name(spark, d):
     return sitedb.run(_table(spark, d), sitedb.parse(_LINES), range_in_name=True).select("rid", "chrom", "chromStart", "name")
 
 
+# The same tables with off-sites to three mismatches.  The queries above stop at two (no profile at all in db_annotate22), as does their SQL.
+
+PROFILE3_SQL = _profile_sql(3, True)
+TABLE3_SQL = f"""{PROFILE3_SQL}, t AS (
+  SELECT s.chrom, s.start0 AS "chromStart", s.start0 + 20 AS "chromEnd", ({_key('s.kmer')}) || '.' || f.n0 || '/' || s.kmer AS name, f.n0 AS score, s.strand, n0, n1, n2, n3, s.kmer AS seq
+  FROM sites AS s JOIN profile AS f ON s.kmer = f.kmer)"""
+LAST_SQL = f"""n0 AS n0mismatches, n1 AS n1mismatches, n2 AS n2mismatches, n3 AS n3mismatches, n1 + n2 + n3 AS "totalOffSites", n0 || '/' || n1 || '/' || n2 || '/' || n3 AS "offSiteCounts",
+seq AS "spacerSeq", {GC_SQL} AS "percentGC", list_max(list_transform(string_split_regex(seq, '[^T]+'), lambda x: length(x))) AS "longestTandemT\""""
+
+
+@_query(f"""{TABLE3_SQL} SELECT chrom, "chromStart", "chromEnd", name, score, strand, "chromStart" AS "thickStart", "chromEnd" AS "thickEnd", '0,0,0' AS reserved, {LAST_SQL} FROM t""")
+def db_annotate18_whole(spark, d):
+    return _table(spark, d, 3)
+
+
+@_query(f"""{PROFILE3_SQL}, g AS (SELECT *, start0 - lag(start0) OVER (PARTITION BY kmer, chrom ORDER BY start0) AS gap FROM sites),
+l AS (SELECT kmer, min(chrom) AS chrom, min(start0) AS lo, max(start0) AS hi, count(*) AS n, min(strand) AS s1, max(strand) AS s2, string_agg('20', ',') AS sizes, list(start0 ORDER BY start0) AS ss
+  FROM g GROUP BY kmer HAVING count(DISTINCT chrom) = 1 AND coalesce(min(gap), 20) >= 20 AND count(*) > 1),
+t AS (SELECT l.*, l.kmer AS seq, n0, n1, n2, n3 FROM l JOIN profile AS f ON l.kmer = f.kmer)
+SELECT chrom, lo AS "chromStart", hi + 20 AS "chromEnd", ({_key('kmer')}) || '.' || n || '/' || kmer || '/k=' || n || '/s=' || (hi + 20 - lo) AS name, n AS score, CASE WHEN s1 = s2 THEN s1 ELSE '.' END AS strand,
+lo AS "thickStart", hi + 20 AS "thickEnd", '0,0,0' AS reserved, n AS "blockCount", sizes AS "blockSizes", list_aggregate(list_transform(ss, lambda x: x - lo), 'string_agg', ',') AS "chromStarts", n AS "clusterSize", {LAST_SQL} FROM t""")
+def db_annotate22_whole(spark, d):
+    profiled = _profiled(spark, d, 3).select("kmer", "off_site_counts")
+    rows = sites.clusters(_ngg(spark, d)).where("copies > 1").withColumn("kmer", F.split("name", "/")[1])
+    return annotate.cluster_table(rows.join(profiled, "kmer"))
+
+
+@_query(f"""{TABLE3_SQL}, {REGIONS_SQL}, b AS (SELECT rid, t.*, row_number() OVER (PARTITION BY rid ORDER BY n1 + n2 + n3, {GC_SQL} DESC, "chromStart", "chromEnd", name) AS rank FROM t {HIT_SQL})
+SELECT rid, chrom, "chromStart", name, rank::int AS rank FROM b WHERE rank <= 4""")
+def db_best_n_whole(spark, d):
+    return sitedb.run(_table(spark, d, 3), sitedb.parse([*_LINES, "!BEST\t4", "!MIN\ttotalOffSites", "!MAX\tpercentGC"])).select("rid", "chrom", "chromStart", "name", "rank")
+
+
+@_query(f"""{TABLE3_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY n1 + n2 + n3, "chromStart", "chromEnd", name) AS rank FROM t) SELECT chrom, "chromStart", name, rank::int AS rank FROM b WHERE rank <= 2""")
+def db_best_n_by_chrom_whole(spark, d):
+    return sitedb.run(_table(spark, d, 3), sitedb.parse(["!BEST/2", "!MIN/14"])).select("chrom", "chromStart", "name", "rank")
+
+
 @_query(f"""{COUNTED_SQL} SELECT DISTINCT kmer, copies FROM counted WHERE length(regexp_replace(kmer, '[^T]', '', 'g')) <= 4 AND length(regexp_replace(kmer, '[^GC]', '', 'g')) / 20 BETWEEN 0.4 AND 0.6""")
 def guide_filter(spark, d):
     rows = kmers.kmer_counts(_ngg(spark, d)).withColumnRenamed("n", "copies")
