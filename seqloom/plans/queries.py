@@ -81,6 +81,11 @@ def site_lenient_motif(spark, d):
     return sites.sites(V.genome(spark, d), "X" * 12 + "NRG", prefix="ACG", lenient=True).select("chrom", "start0", "kmer", "strand")
 
 
+@_query(f"WITH {V.GENOME_SQL}, {V.sites_sql('X' * 12 + 'NRG', '[ACGT]{12}..G')} SELECT chrom, start0, kmer, strand FROM sites")
+def site_lenient_motif_whole(spark, d):
+    return sites.sites(V.genome(spark, d), "X" * 12 + "NRG", lenient=True).select("chrom", "start0", "kmer", "strand")
+
+
 @_query(f"{COUNTED_SQL} SELECT chrom, start0, start0 + 20 AS end1, ({_key('kmer')}) || '.' || copies || '/' || kmer AS name, copies, strand FROM counted")
 def bed6_names(spark, d):
     return sites.to_bed6(sites.with_copies(_ngg(spark, d)))
@@ -194,6 +199,11 @@ def absent_sample(spark, d):
     return kmers.sample(kmers.absent(spark, _kmers(spark, d), K, prefix="GT"), 50, seed=7)
 
 
+@_query(f"{ALL_SQL}, {SPACE_SQL} SELECT code, kmer FROM absent ORDER BY md5('7:' || kmer), kmer LIMIT 50")
+def absent_sample_whole(spark, d):
+    return kmers.sample(kmers.absent(spark, _kmers(spark, d), K), 50, seed=7)
+
+
 @_query(f"""{ALL_SQL}, {SPACE_SQL}, c AS (SELECT kmer, count(*) AS n FROM sites GROUP BY kmer),
 v AS (SELECT a.kmer, substr(a.kmer, 1, i::int) || b || substr(a.kmer, i::int + 2) AS v FROM absent AS a, (SELECT unnest(range(0, {K})) AS i), (SELECT unnest(['A', 'C', 'G', 'T']) AS b) WHERE substr(a.kmer, i::int + 1, 1) <> b)
 SELECT a.kmer, 0::bigint AS n0, coalesce(sum(c.n), 0)::bigint AS n1 FROM absent AS a JOIN v ON a.kmer = v.kmer LEFT JOIN c ON c.kmer = v.v GROUP BY a.kmer""")
@@ -277,6 +287,23 @@ def overlap_join_halfopen(spark, d):
     return rows.select("chrom", "s", "e", "s_b", "e_b", intervals.overlap_length(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b")).alias("n"))
 
 
+# The sides R and A above leave out rows with N; these are R and all others.
+
+@_query(f"""WITH {V.BED_SQL} SELECT a.chrom, a.s, a.e, b.s AS s_b, b.e AS e_b FROM bed AS a JOIN bed AS b
+ON a.chrom = b.chrom AND a.name = 'R' AND b.name <> 'R' AND (b.s BETWEEN a.s AND a.e OR b.e BETWEEN a.s AND a.e)""")
+def overlap_join_whole(spark, d):
+    bed = V.bed(spark, d)
+    return intervals.overlap_join(bed.where("name = 'R'"), bed.where("name <> 'R'")).select("chrom", "s", "e", "s_b", "e_b")
+
+
+@_query(f"""WITH {V.BED_SQL} SELECT a.chrom, a.s, a.e, b.s AS s_b, b.e AS e_b, (least(a.e, b.e) - greatest(a.s, b.s))::bigint AS n FROM bed AS a JOIN bed AS b
+ON a.chrom = b.chrom AND a.name = 'R' AND b.name <> 'R' AND a.s < b.e AND b.s < a.e""")
+def overlap_join_halfopen_whole(spark, d):
+    bed = V.bed(spark, d)
+    rows = intervals.overlap_join(bed.where("name = 'R'"), bed.where("name <> 'R'"), mode="overlap")
+    return rows.select("chrom", "s", "e", "s_b", "e_b", intervals.overlap_length(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b")).alias("n"))
+
+
 def _chain_sql(after: str, lo: int, hi: int) -> str:
     return f"""WITH RECURSIVE {V.BED_SQL}, b AS (SELECT DISTINCT chrom, s, e, name FROM bed),
 p AS (

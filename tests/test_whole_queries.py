@@ -68,3 +68,18 @@ def test_best_by_three_mismatches(spark, near_sites):
         first = sorted(rows, key=lambda r: (r[0], -gc(r[2]), r[1]))[:4]
         told = sorted((r["rank"], r.chromStart, r.name.split("/")[1]) for r in Q.QUERIES["db_best_n_whole"](spark, d).where(f"rid = {rid}").collect())
         assert [x[1:] for x in told] == [r[1:] for r in first]
+
+
+def test_lenient_sites_and_absent_sample_of_all_prefixes(spark, near_sites):
+    d, _ = near_sites
+    assert {r.kmer[0] for r in Q.QUERIES["site_lenient_motif_whole"](spark, d).collect()} == set(BASES)
+    spark.createDataFrame([(1, "abcd" * 3)], "item_id long, text string").write.mode("overwrite").parquet(f"{d}/benchmark.parquet")
+    drawn = [r.kmer for r in Q.QUERIES["absent_sample_whole"](spark, d).collect()]
+    assert len(drawn) == 50 and len({k[:2] for k in drawn}) > 4
+
+
+def test_overlaps_of_all_flags(spark, tmp_path):
+    lines = [(1, 1, 7, 5.0, "R"), (1, 1, 7, 4.0, "A"), (2, 1, 7, 9.0, "N"), (2, 50, 7, 9.0, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted((r.s_b, r.e_b) for r in Q.QUERIES["overlap_join_whole"](spark, str(tmp_path)).collect()) == [(11, 15), (12, 21)]
+    assert sorted((r.s_b, r.e_b, r.n) for r in Q.QUERIES["overlap_join_halfopen_whole"](spark, str(tmp_path)).collect()) == [(11, 15, 4), (12, 21, 4)]
