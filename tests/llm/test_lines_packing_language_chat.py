@@ -99,6 +99,12 @@ def test_odd_white_space_between_plain_ends(docs):
     assert P.pack(docs(*((k, t, None) for k, t in enumerate(ODD_ENDS))), P.word_tokenizer()).count() == len(ODD_ENDS)
 
 
+def test_bound_on_bins_costs_no_sequences(spark):
+    pieces = spark.range(800).selectExpr("id AS uid", "0 AS piece", "CAST(IF(id % 40 = 0, 1 + id % 900, 1025 + pmod(xxhash64(id), 1000)) AS INT) AS length")
+    few, all_ = (P.packed(pieces, pieces_per_node=50, fan=4, carried=n).select("sequence_id").distinct().count() for n in (4, 10**9))
+    assert few == all_
+
+
 def test_best_fit():
     bins, offsets, filled = P.best_fit([5, 5, 6, 4, 10], 10)
     assert sorted(filled) == [10, 10, 10] and bins[2] == bins[3] and offsets[3] == 6
