@@ -326,10 +326,30 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest id of their class; all rows without words or id stay.  Ids must be distinct."""
-    classes = near_duplicates(docs, id_col, text_col)
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, all columns, that are the smallest id of their class; all rows without words stay.
+
+    Null ids are larger than all others.  Where ids are null or repeat, rows are told apart
+    by their locator (file and row within the file), which also decides between equal ids."""
+    id_ = F.col(id_col).cast("long")
+    if docs.groupBy(id_.alias("id")).count().where("id IS NULL OR count > 1").isEmpty():
+        classes = near_duplicates(docs, id_col, text_col)
+        gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
+        return docs.join(gone, id_ == F.col("__gone"), "left_anti")
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    try:
+        rows = docs.select("*", *place)
+        rows.schema  # noqa: B018  analysed here: only rows read from files have a locator
+    except Exception:
+        rows = written(docs, "ngram-input").select("*", *place)
+    files = sorted(r[0] for r in rows.select("__file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "__nth long, __file string")
+    rows = rows.join(F.broadcast(numbers), "__file").withColumn("__uid", F.shiftleft("__nth", 40) + F.col("__row"))
+    classes = near_duplicates(rows.select("__uid", F.col(text_col).alias("text")), "__uid").where("n_shingles > 0")
+    ids = rows.select("__uid", F.struct(id_.isNull().alias("no_id"), id_.alias("id"), "__uid").alias("__place"))
+    placed = classes.join(ids, "__uid").select("component_id", "__place")
+    first = placed.groupBy("component_id").agg(F.min("__place").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    gone = placed.join(first, "component_id").where("__place.__uid <> first.__uid").select(F.col("__place.__uid").alias("__gone"))
+    return rows.join(gone, F.col("__uid") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 SQL = r"""

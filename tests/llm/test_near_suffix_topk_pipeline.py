@@ -70,6 +70,17 @@ def test_near_empty_and_keep(docs):
     assert kept.columns == docs(*rows).columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == [1, 2, 4, 5]
 
 
+def test_near_keeps_one_row_of_repeated_and_null_ids(docs):
+    a, b, c = ("".join(f"{w}{k} " for k in range(40)) for w in "abc")
+    rows = [(1, a, None), (2, a + "end", None), (2, b, None), (None, c, None), (None, c + "end", None), (None, "", None), (7, "other words that stand alone here", None), (7, c + "more", "s")]
+    kept = J.keep_one_each(docs(*rows))
+    assert kept.columns == docs(*rows).columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", a), ("2", b), ("7", c + "more"), ("7", rows[6][1]), ("None", "")])
+    kept = J.keep_one_each(docs(*rows[3:6])).collect()
+    assert len(kept) == 2 and [r.text for r in kept if r.text] and all(r.text in ("", c, c + "end") for r in kept)
+    assert J.keep_one_each(docs((5, a, None), (5, a + "end", None))).count() == 1
+
+
 def test_components(spark):
     comps = spark.range(50).selectExpr("id AS did", "id AS comp")
     links = spark.createDataFrame([(k, k + 2) for k in range(0, 46, 2)] + [(9, 7), (7, 5)], "a long, b long")
