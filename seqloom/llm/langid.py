@@ -5,9 +5,11 @@ blank, weighted by (1 + log tf) * idf and scaled to length 1.  Weights are learn
 by follow-the-regularised-leader with an elastic net (L1 keeps them sparse), and a
 temperature fitted on rows set apart calibrates the probabilities.
 
-Learning sees a sample of at most about ``MAX_TRAIN`` labelled rows, drawn evenly from
-all languages by a hash of the row; features are made on the executors, so the
-driver holds rows of counts, not texts.  Prediction covers every whole text.
+Weights are learned from a sample of about ``MAX_TRAIN`` labelled rows, more only where
+there are so many languages that each would have under ``MIN_EACH``, drawn evenly from
+all languages by a hash of the row.  Document frequencies are counted over all labelled
+rows that are not held out.  Both are made on the executors, so the driver holds rows of
+counts, not texts; weights take about half a megabyte a language there.  Prediction covers every whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is
 every text if there is nothing to learn from; rows with a null id are never learned
@@ -24,8 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bounds of the sample to learn from: rows in expectation, and languages (the most frequent).
-MAX_TRAIN, MAX_LANGUAGES = 3000, 200
+#: Rows of the sample to learn from, in expectation, and the least that a language has of them, or all it has.
+MAX_TRAIN, MIN_EACH = 3000, 15
 #: One in so many sampled rows fits the temperature instead of the weights.
 SET_APART = 6
 DIMENSIONS = 1 << 15
@@ -91,14 +93,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Model:
-    """Learns from (language, indices, counts); the order of the rows decides which ones are set apart."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, used: np.ndarray | None = None, total: int = 0) -> Model:
+    """Learns from (language, indices, counts); the order of the rows decides which ones are set apart.
+
+    ``used`` has the documents, of ``total``, that hold each n-gram; without it the rows are counted."""
     model = Model(sorted({lang for lang, _, _ in rows}))
     known = {lang: k for k, lang in enumerate(model.languages)}
-    used = np.zeros(DIMENSIONS)
-    for _, where, _ in rows:
-        used[where] += 1
-    model.idf = (np.log((1 + len(rows)) / (1 + used)) + 1).astype(np.float32)
+    if used is None:
+        used, total = np.zeros(DIMENSIONS), len(rows)
+        for _, where, _ in rows:
+            used[where] += 1
+    model.idf = (np.log((1 + total) / (1 + used)) + 1).astype(np.float32)
     examples = [(known[lang], where, model.vector(where, n)) for lang, where, n in rows]
     learn = [e for k, e in enumerate(examples) if k % SET_APART] or examples
     apart = [e for k, e in enumerate(examples) if not k % SET_APART]
@@ -132,17 +137,36 @@ def remainder(id_: Column) -> Column:
     return F.crc32(id_.cast("string").cast("binary")) % 3
 
 
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many of the texts (a column text) hold each n-gram, and how many hold any."""
+
+    def used(batches):
+        sums = np.zeros(DIMENSIONS + 1, np.int64)
+        for batch in batches:
+            for t in batch["text"]:
+                where, _ = counts(t)
+                sums[where] += 1
+                sums[DIMENSIONS] += len(where) > 0
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"at": at, "n": sums[at]})
+
+    sums = np.zeros(DIMENSIONS + 1, np.int64)
+    for r in texts.select("text").mapInPandas(used, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        sums[r["at"]] = r["n"]
+    return sums[:-1], int(sums[-1])
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Model:
     """Learns from the labelled rows whose crc32(id) mod 3 is not 1."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("id")) != 1))
-    per_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    per_lang = rows.groupBy("lang").count().collect()
     if not per_lang:
         return Model([])
-    quota = max_train / len(per_lang)
-    share = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], min(1.0, quota / r["count"]))])
+    quota = max(max_train / len(per_lang), MIN_EACH)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, quota / r["count"])) for r in per_lang], "lang string, share double")
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    sample = rows.where(draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * F.lit(float(1 << 30)))
+    sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share") * F.lit(float(1 << 30)))
 
     def features(batches):
         for batch in batches:
@@ -151,7 +175,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     told = sample.select(draw.alias("draw"), "lang", "text").mapInPandas(features, "draw long, lang string, at binary, n binary").toLocalIterator()
     found = sorted((r["draw"], r["lang"], bytes(r["at"]), bytes(r["n"])) for r in told if r["at"])
-    return fit([(lang, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.uint16).astype(np.int64)) for _, lang, at, n in found]) if found else Model([])
+    if not found:
+        return Model([])
+    used, total = document_frequencies(rows)
+    return fit([(lang, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.uint16).astype(np.int64)) for _, lang, at, n in found], used=used, total=total)
 
 
 def predicted(model: Model, spark: SparkSession, text: Column) -> Column:

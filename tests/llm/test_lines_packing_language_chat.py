@@ -135,6 +135,22 @@ def test_held_out_labels_change_nothing(docs):
     assert sorted(map(str, G.language_id(docs(*rows)).collect())) == sorted(map(str, G.language_id(docs(*turned)).collect()))
 
 
+def test_document_frequencies_of_all_training_rows(docs):
+    rows = [(k, f"abc {'xyz'[k % 3] * (1 + k % 7)}" if k % 5 else "12", None, "pq"[k % 2]) for k in range(300)]
+    model = G.train(docs(*rows), max_train=20)
+    texts = [t for k, t, *_ in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    held = [set(G.counts(t)[0].tolist()) for t in texts]
+    used = np.zeros(G.DIMENSIONS)
+    for h in held:
+        used[list(h)] += 1
+    assert np.allclose(model.idf, np.log((1 + sum(map(bool, held))) / (1 + used)) + 1)
+
+
+def test_more_than_200_languages(docs):
+    rows = [(k, f"{chr(0x4E00 + k % 230)} " * 5, None, f"l{k % 230:03}") for k in range(1380)]
+    assert len(G.train(docs(*rows)).languages) == 230
+
+
 def test_sparse_weights():
     rows = [(str(k % 2), *G.counts("abc " * 9 if k % 2 else "xyz " * 9)) for k in range(40)]
     model = G.fit(rows)
