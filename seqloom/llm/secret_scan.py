@@ -4,9 +4,14 @@ Three patterns find candidates.  Spark's functions return matches, not places, s
 places come from splitting the text by the same pattern: running sums of the
 lengths between matches and of the matches.  Each candidate value is hashed, and
 the corpus is asked how many distinct repositories (documents) and owners
-(sources) hold it.  A value that at least ``EXAMPLE_OWNERS`` owners hold is a
-widely copied ``example``; one that a single owner holds and that looks random
-enough is ``live``.  Both add a span over the value to the spans of the patterns.
+(sources) hold it.  A value that at least ``EXAMPLE_OWNERS`` owners or
+``EXAMPLE_REPOSITORIES`` repositories hold is a widely copied ``example``.  Of the others, those that
+look random are ``live`` if one owner holds them and ``shared`` if several do.  A class
+adds a span over the value to the spans of the patterns.
+
+A value looks random if its characters spread enough: with n characters of which c
+are equal, n * n is at least ``RANDOM[kind]`` times the sum of c * c (2 to the power of the collision
+entropy, in whole numbers).  A hexadecimal run must also hold a letter: digits alone are numbers.
 
 All of it is DataFrame operations.  Counts are aggregated in steps (by hash, owner
 and repository; by hash and owner; by hash), each with partial aggregation, so a
@@ -14,7 +19,7 @@ key pasted into a third of all documents never meets in one task.
 
 Defined results: a null text counts as empty, a null owner is an owner of its own,
 a null repository one of its own; repeated rows give repeated results; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; texts and values of any length are searched whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +28,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.llm.common import written
+from seqloom.llm.common import finished, written
 
 # The patterns and least lengths of the contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-KINDS = ["assign", "access", "hex", "live", "example"]
+KINDS = ["assign", "access", "hex", "live", "shared", "example"]
 
-#: Owners from which on a value counts as a widely copied example.
-EXAMPLE_OWNERS = 3
-#: Different characters that a live-looking value has at least.
-LIVE_CHARACTERS = 8
+#: Owners, or repositories, from which on a value counts as a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 20
+#: As how many equally frequent characters a random-looking value's characters spread at least.
+RANDOM = {"assign": 8, "access": 8, "hex": 6}
 
 
 def _found(text: Column, kind: str, pattern: str, value_group: int, maybe: Column) -> Column:
@@ -59,6 +64,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     rows = base.select("id", "owner", F.concat(
         _found(t, "assign", ASSIGN, 2, t.rlike("[:=]") & t.rlike(ASSIGN)), _found(t, "access", access_runs, 0, t.contains("AKIA")), _found(t, "hex", hex_runs, 0, t.rlike(hex_runs))).alias("found"))
     rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "secret-found")
+    documents = rows.select("uid", "id")
+    documents.written_to = rows.written_to
     one = Window.partitionBy("uid", "kind").orderBy("i")
     spans = (
         rows.select("uid", "id", "owner", F.explode("found").alias("f")).select("uid", "id", "owner", "f.*")
@@ -67,22 +74,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         .where(" OR ".join(f"kind = '{k}' AND length >= {n}" for k, n in LEAST.items()))
         .select("uid", "id", "owner", "kind", "start", "end", "value", (F.col("end") - F.col("length")).alias("value_start"))
     )
-    return rows.select("uid", "id"), written(spans, "secret-spans")
+    return documents, written(spans, "secret-spans")
+
+
+def looks_random(kind: Column, value: Column) -> Column:
+    chars = F.split(value, "")
+    squares = F.aggregate(F.array_distinct(chars), F.lit(0).cast("long"), lambda a, c: a + F.pow(F.size(F.filter(chars, lambda x: x == c)), 2).cast("long"))
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in RANDOM.items() for x in pair]), kind)
+    n = F.length(value).cast("long")
+    return (n * n >= least * squares) & ((kind != "hex") | value.rlike("[a-f]"))
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, repositories, owners, class) of each candidate value; class is example, live or null."""
+    """(hash, repositories, owners, class) of each candidate value; class is example, live, shared or null."""
     value = F.sha2("value", 256)
-    looks = F.size(F.array_distinct(F.split("value", ""))) > LIVE_CHARACTERS  # split by nothing ends with an empty part
-    by_repo = spans.groupBy(value.alias("hash"), "owner", "id").agg(F.max(looks).alias("looks"))
+    by_repo = spans.groupBy(value.alias("hash"), "owner", "id").agg(F.max(looks_random(F.col("kind"), F.col("value"))).alias("looks"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.max("looks").alias("looks"))
     by_value = by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"), F.max("looks").alias("looks"))
-    kind = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when((F.col("owners") == 1) & F.col("looks"), "live")
+    kind = F.when((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES), "example").when(F.col("looks"), F.when(F.col("owners") == 1, "live").otherwise("shared"))
     return by_value.select("hash", "repositories", "owners", kind.alias("class"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
+    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_example."""
     documents, spans = scan(docs, id_col, text_col, owner_col)
     judged = ownership(spans).where("class IS NOT NULL")
     added = spans.withColumn("hash", F.sha2("value", 256)).join(judged, "hash").select("uid", F.col("class").alias("kind"), F.col("value_start").alias("start"), "end")
@@ -92,7 +106,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all_rows = documents.join(per_doc, "uid", "left").withColumn("all", F.coalesce("all", F.array().cast(per_doc.schema["all"].dataType)))
     told = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return all_rows.select(F.col("id").alias(id_col), count("assign"), count("access"), count("hex"), F.sha2(told(F.filter("all", lambda s: s["place"] <= 3)), 256).alias("base_sha256"), told(F.col("all")).alias("spans"), count("live"), count("example"))
+    told_all = all_rows.select(F.col("id").alias(id_col), count("assign"), count("access"), count("hex"), F.sha2(told(F.filter("all", lambda s: s["place"] <= 3)), 256).alias("base_sha256"), told(F.col("all")).alias("spans"), count("live"), count("shared"), count("example"))
+    return finished(told_all, "secret-result", documents, spans)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,17 +129,20 @@ b AS (
   SELECT doc_id, owner, kind, (e - n)::bigint AS s, e::bigint AS e, val FROM (FROM s_assign UNION ALL FROM s_access UNION ALL FROM s_hex)
   WHERE length(val) >= CASE kind WHEN 'assign' THEN {LEAST['assign']} WHEN 'access' THEN {LEAST['access']} ELSE {LEAST['hex']} END),
 o AS (
-  SELECT val, CASE WHEN count(DISTINCT owner) >= {EXAMPLE_OWNERS} THEN 'example'
-                   WHEN count(DISTINCT owner) = 1 AND len(list_distinct(string_split(val, ''))) >= {LIVE_CHARACTERS} THEN 'live' END AS kind
-  FROM b GROUP BY val),
+  SELECT val, CASE WHEN count(DISTINCT owner) >= {EXAMPLE_OWNERS} OR count(DISTINCT (owner, doc_id)) >= {EXAMPLE_REPOSITORIES} THEN 'example'
+                   WHEN bool_or(looks) THEN CASE WHEN count(DISTINCT owner) = 1 THEN 'live' ELSE 'shared' END END AS kind
+  FROM (SELECT *, length(val) * length(val) >= CASE kind WHEN 'assign' THEN {RANDOM['assign']} WHEN 'access' THEN {RANDOM['access']} ELSE {RANDOM['hex']} END
+               * list_sum(list_transform(list_distinct(string_split(val, '')), lambda c: pow(length(val) - length(replace(val, c, '')), 2)))
+               AND (kind <> 'hex' OR regexp_matches(val, '[a-f]')) AS looks FROM b)
+  GROUP BY val),
 a AS (
   SELECT doc_id, kind, s, e FROM b
   UNION ALL SELECT DISTINCT b.doc_id, o.kind, b.e - length(b.val), b.e FROM b JOIN o USING (val) WHERE o.kind IS NOT NULL),
-p AS (SELECT *, list_position(['assign', 'access', 'hex', 'live', 'example'], kind) AS k, kind || ':' || s || ':' || e AS told FROM a)
+p AS (SELECT *, list_position(['assign', 'access', 'hex', 'live', 'shared', 'example'], kind) AS k, kind || ':' || s || ':' || e AS told FROM a)
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
        sha256(coalesce(string_agg(told, ',' ORDER BY s, k, e) FILTER (k <= 3), '')) AS base_sha256,
        coalesce(string_agg(told, ',' ORDER BY s, k, e), '') AS spans,
-       count(*) FILTER (kind = 'live') AS n_live, count(*) FILTER (kind = 'example') AS n_example
+       count(*) FILTER (kind = 'live') AS n_live, count(*) FILTER (kind = 'shared') AS n_shared, count(*) FILTER (kind = 'example') AS n_example
 FROM d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id
 """
 )
