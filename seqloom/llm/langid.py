@@ -14,7 +14,7 @@ counts, not texts; weights take about half a megabyte a language there.  Predict
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is
 every text if there is nothing to learn from; rows with a null id are never learned
 from and count as not held out; repeated rows are predicted alike; an empty table
-gives no rows; other columns are ignored.
+gives no rows; a very long text is one document like any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import tidy
+
 #: Rows of the sample to learn from, in expectation, and the least that a language has of them, or all it has.
 MAX_TRAIN, MIN_EACH = 3000, 15
 #: One in so many sampled rows fits the temperature instead of the weights.
@@ -151,7 +153,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pd.DataFrame({"at": at, "n": sums[at]})
 
     sums = np.zeros(DIMENSIONS + 1, np.int64)
-    for r in texts.select("text").mapInPandas(used, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("text").mapInPandas(tidy(used), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         sums[r["at"]] = r["n"]
     return sums[:-1], int(sums[-1])
 
@@ -171,14 +173,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def features(batches):
         for batch in batches:
             made = [counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"draw": batch["draw"], "lang": batch["lang"], "at": [a.astype(np.int16).tobytes() for a, _ in made], "n": [np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in made]})
+            yield pd.DataFrame({"draw": batch["draw"], "lang": batch["lang"], "at": [a.astype(np.uint16).tobytes() for a, _ in made], "n": [n.tobytes() for _, n in made]})
 
-    told = sample.select(draw.alias("draw"), "lang", "text").mapInPandas(features, "draw long, lang string, at binary, n binary").toLocalIterator()
+    told = sample.select(draw.alias("draw"), "lang", "text").mapInPandas(tidy(features), "draw long, lang string, at binary, n binary").toLocalIterator()
     found = sorted((r["draw"], r["lang"], bytes(r["at"]), bytes(r["n"])) for r in told if r["at"])
     if not found:
         return Model([])
     used, total = document_frequencies(rows)
-    return fit([(lang, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.uint16).astype(np.int64)) for _, lang, at, n in found], used=used, total=total)
+    return fit([(lang, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(n, np.int64)) for _, lang, at, n in found], used=used, total=total)
 
 
 def predicted(model: Model, spark: SparkSession, text: Column) -> Column:
