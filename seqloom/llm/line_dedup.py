@@ -5,36 +5,41 @@ The exact table counts in how many documents each key occurs; inserting document
 adds to it, deleting them subtracts, and keys no longer used disappear.  Keys are
 dealt to shards, each with a cuckoo filter of the keys that have reached the
 threshold: a key that crosses it upwards is inserted, one that falls below it is
-deleted.  A shard also knows, from the exact table, which keys its filter wrongly
-claims; with them the filter's answers are exact.
+deleted.
 
-Per-task counts are added up before the shuffle, so a line found in a third of all
-documents is one row per task.  The filters are broadcast if they are smaller than
-``BROADCAST_BYTES``; larger ones are not, and lines are joined with the exact table.
+Documents are probed where the filters are: blocks of documents send each shard the
+distinct keys that they have there, the shard's filter turns most of them away, the
+shard's own part of the exact table confirms the others, and a block gets back those that are common.
+Nothing is broadcast.  Counts and keys are added up per task or block before any shuffle, so a line
+found in a third of all documents is one key for each of those.
 
 Defined results: a null text counts as empty and an empty text is one empty line;
 a line's length counts code points and keys shorter than ``min_chars`` are never
 dropped; repeated rows count as documents of their own; an empty table gives no
-rows; null ids pass through; other columns are ignored.
+rows; null ids pass through; a very long text is split
+and kept whole in one task; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import slices, written
+from seqloom.llm.common import finished, remove_table, slices, tidy, written
 
 MIN_DOCS, MIN_CHARS = 10, 1
 KEYS_PER_SHARD = 16_000
-BROADCAST_BYTES = 32 << 20
-#: Keys that a task counts, or remembers the filters' answers for, at once.
+#: Bytes of text in a block of documents, about.
+BLOCK_BYTES = 2 << 20
+#: Keys that a task counts at once.
 HELD = 100_000
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -152,14 +157,19 @@ class LineIndex:
     def delete(self, docs: DataFrame, text_col: str = "text") -> None:
         self._change(docs, text_col, -1)
 
+    def close(self) -> None:
+        """Deletes the tables."""
+        remove_table(self.counts, self.filters)
+        self.counts = self.filters = None
+
     def _change(self, docs: DataFrame, text_col: str, sign: int) -> None:
         texts = docs.select(F.col(text_col).cast("string").alias("text"))
-        rows = texts.mapInPandas(_counted(self.min_chars), "digest binary, n long").select("digest", F.lit(0).cast("long").alias("before"), (F.col("n") * sign).alias("n"))
+        rows = texts.mapInPandas(tidy(_counted(self.min_chars)), "digest binary, n long").select("digest", F.lit(0).cast("long").alias("before"), (F.col("n") * sign).alias("n"))
         if self.counts is not None:
-            rows = self.counts.select("digest", F.col("n").alias("before"), "n").unionByName(rows)
+            rows = self.counts.where("n > 0").select("digest", F.col("n").alias("before"), "n").unionByName(rows)
+        earlier = self.counts, self.filters
         self.counts = written(rows.groupBy("digest").agg(F.sum("before").alias("before"), F.sum("n").alias("n")).where("before > 0 OR n > 0"), "line-counts")
-        n = self.counts.count()
-        old = self.filters
+        n, old = self.counts.count(), self.filters
         if not self.shards or n > 2 * self.shards * self.keys_per_shard:  # from now on more shards, so their filters are built anew
             self.shards, old = max(16, -(-n // self.keys_per_shard)), None
         shard = (F.conv(F.hex(F.substring("digest", 13, 4)), 16, 10).cast("long") % self.shards).cast("int").alias("shard")
@@ -167,27 +177,24 @@ class LineIndex:
         rows = self.counts.select(shard, "digest", "before", "n", none.alias("filter"))
         if old is not None:
             rows = rows.unionByName(old.select("shard", none.alias("digest"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("n"), "filter"))
-        self.filters = written(rows.groupBy("shard").applyInPandas(_filtered(self.min_docs), "shard int, filter binary, wrong binary"), "line-filters")
-        self.counts = self.counts.where("n > 0")
+        self.filters = written(rows.groupBy("shard").applyInPandas(_filtered(self.min_docs), "shard int, filter binary, common binary"), "line-filters")
+        remove_table(*earlier)
 
-    def dropped(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, with_text: bool = True) -> DataFrame:
+    def dropped(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
         """Per document: id, n_lines, n_dropped, kept_sha256 and, if asked for, kept (the text that is left)."""
-        named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        out = f"id {docs.schema[id_col].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text
-        size = self.filters.agg(F.sum(F.length("filter") + F.length("wrong"))).first()[0] or 0
-        if size <= broadcast_bytes:
-            parts = {r["shard"]: (r["filter"], r["wrong"]) for r in self.filters.toLocalIterator()}
-            whole = self.spark.sparkContext.broadcast(_merged(parts))
-            return named.mapInPandas(_dropper(whole, self.min_chars, self.shards, with_text), out).withColumnRenamed("id", id_col)
-        named = written(named.withColumn("uid", F.monotonically_increasing_id()), "line-texts")
-        common = self.counts.where(F.col("n") >= self.min_docs).select("digest")
-        lines = named.mapInPandas(_lines(self.min_chars), "uid long, digest binary").join(common, "digest")
-        per_doc = lines.groupBy("uid").agg(F.collect_set("digest").alias("common"))
-        return named.join(per_doc, "uid", "left").mapInPandas(_dropper(None, self.min_chars, 0, with_text), out).withColumnRenamed("id", id_col)
+        kind = docs.schema[id_col].dataType.simpleString()
+        named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+        blocks = written(named.mapInPandas(tidy(_block), "block long, shard int, payload binary"), "line-blocks")
+        asked = blocks.mapInPandas(tidy(_ask(self.min_chars, self.shards)), "block long, shard int, payload binary, common binary")
+        held = self.filters.select(F.lit(-1).cast("long").alias("block"), "shard", F.col("filter").alias("payload"), "common")
+        answers = asked.unionByName(held).groupBy("shard").applyInPandas(_answer, "block long, shard int, payload binary")
+        out = "id string, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text
+        rows = blocks.unionByName(answers).groupBy("block").applyInPandas(_drop(self.min_chars, with_text), out)
+        return finished(rows.withColumn("id", F.col("id").cast(kind)), "line-result", blocks).withColumnRenamed("id", id_col)
 
 
 def _filtered(min_docs: int):
-    """Brings a shard's filter up to date and lists the keys that it wrongly claims."""
+    """Brings a shard's filter up to date and lists the keys that are common by the exact counts."""
 
     def change(rows: pd.DataFrame) -> pd.DataFrame:
         shard, blobs, rows = int(rows["shard"].iloc[0]), rows["filter"].dropna(), rows[rows["digest"].notna()]
@@ -199,59 +206,80 @@ def _filtered(min_docs: int):
         more = digests[now & ~before] if len(blobs) else digests[now]
         while not keys.insert(more):
             keys, more = CuckooFilter(len(keys.table) * SLOTS), digests[now]
-        wrong = digests[~now & (rows["n"].to_numpy() > 0)]
-        return pd.DataFrame({"shard": [shard], "filter": [keys.to_bytes()], "wrong": [wrong[keys.contains(wrong)].tobytes() if keys.n else b""]})
+        return pd.DataFrame({"shard": [shard], "filter": [keys.to_bytes()], "common": [digests[now].tobytes()]})
 
     return change
 
 
-def _merged(parts: dict[int, tuple[bytes, bytes]]) -> tuple[dict[int, bytes], set[bytes]]:
-    """All filters by shard, and all wrongly claimed digests."""
-    wrong = b"".join(w for _, w in parts.values())
-    return {k: f for k, (f, _) in parts.items()}, {wrong[i : i + 16] for i in range(0, len(wrong), 16)}
-
-
-def _lines(min_chars: int):
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches):
-            pairs = [(u, k) for u, t in zip(batch["uid"], batch["text"], strict=True) for k in set(line_keys(t, min_chars)[1]) - {None}]
-            yield pd.DataFrame(pairs, columns=["uid", "digest"])
-
-    return lines
-
-
-def _dropper(whole, min_chars: int, shards: int, with_text: bool):
-    """Drops common lines: those of the broadcast filters, or else those of column ``common``."""
-
-    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        claimed: dict[bytes, bool] = {}
-        if whole is not None:
-            blobs, wrong = whole.value
-            filters = {k: CuckooFilter(blob=b) for k, b in blobs.items()}
-        for batch in slices(batches):
-            split = [line_keys(t, min_chars) for t in batch["text"]]
-            if whole is not None:
-                new = list({k for _, keys in split for k in keys if k is not None and k not in claimed})
-                if len(claimed) + len(new) > HELD:
-                    claimed, new = {}, list({k for _, keys in split for k in keys if k is not None})
-                if new:
-                    found, digests = np.zeros(len(new), bool), as_pairs(new)
-                    shard = _shard_of(digests, shards)
-                    order = np.argsort(shard, kind="stable")
-                    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                        if shard[part[0]] in filters:
-                            found[part] = filters[shard[part[0]]].contains(digests[part])
-                    claimed.update((k, bool(f) and k not in wrong) for k, f in zip(new, found, strict=True))
-                commons = [claimed] * len(split)
-            else:
-                commons = [dict.fromkeys(() if c is None else (bytes(x) for x in c), True) for c in batch["common"]]
-            rows = []
-            for (lines, keys), common in zip(split, commons, strict=True):
-                left = b"\n".join([line for line, k in zip(lines, keys, strict=True) if k is None or not common.get(k)])
-                rows.append((len(lines), sum(k is not None and common.get(k, False) for k in keys), hashlib.sha256(left).hexdigest(), *([left.decode()] if with_text else [])))
-            out = pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_sha256", *(["kept"] if with_text else [])])
-            out.insert(0, "id", batch["id"].to_numpy())
-            yield out
+def _block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents as blocks: ids and texts; a block's number depends on its task's input alone."""
+    base, number, size = TaskContext.get().partitionId() << 24, 0, 0
+    ids: list[str | None] = []
+    texts: list[str | None] = []
+
+    def block() -> pd.DataFrame:
+        return pd.DataFrame({"block": [base + number], "shard": [-1], "payload": [pickle.dumps((ids, texts))]})
+
+    for batch in slices(batches):
+        for id_, text in zip(batch["id"], batch["text"], strict=True):
+            ids.append(id_)
+            texts.append(text)
+            size += len(text or "")
+            if size >= BLOCK_BYTES:
+                yield block()
+                ids, texts, size, number = [], [], 0, number + 1
+    if ids:
+        yield block()
+
+
+def _ask(min_chars: int, shards: int):
+    """Of each block, a row per shard with the distinct keys that it has there."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, payload in zip(batch["block"], batch["payload"], strict=True):
+                keys = list({k for t in pickle.loads(payload)[1] for k in line_keys(t, min_chars)[1]} - {None})
+                if not keys:
+                    continue
+                digests = as_pairs(keys)
+                shard = _shard_of(digests, shards)
+                order = np.argsort(shard, kind="stable")
+                parts = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
+                yield pd.DataFrame({"block": block, "shard": [int(shard[p[0]]) for p in parts], "payload": [digests[p].tobytes() for p in parts], "common": None})
+
+    return ask
+
+
+def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a shard: the keys asked about that its filter claims and its exact counts confirm."""
+    held, asked = rows[rows["block"] < 0], rows[rows["block"] >= 0]
+    if not len(held) or not len(asked):
+        return pd.DataFrame({"block": [], "shard": [], "payload": []})
+    keys, common = CuckooFilter(blob=held["payload"].iloc[0]), held["common"].iloc[0]
+    exact = {common[i : i + 16] for i in range(0, len(common), 16)}
+    found = []
+    for payload in asked["payload"]:
+        digests = np.frombuffer(payload, np.uint64).reshape(-1, 2)
+        claimed = digests[keys.contains(digests)].tobytes() if keys.n else b""
+        found.append(b"".join(k for k in (claimed[i : i + 16] for i in range(0, len(claimed), 16)) if k in exact))
+    out = pd.DataFrame({"block": asked["block"].to_numpy(), "shard": asked["shard"].to_numpy(), "payload": found})
+    return out[out["payload"].str.len() > 0]
+
+
+def _drop(min_chars: int, with_text: bool):
+    """Drops a block's common lines."""
+
+    def drop(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows["shard"] < 0
+        ids, texts = pickle.loads(rows["payload"][own].iloc[0])
+        found = b"".join(rows["payload"][~own])
+        common = {found[i : i + 16] for i in range(0, len(found), 16)}
+        out = []
+        for id_, text in zip(ids, texts, strict=True):
+            lines, keys = line_keys(text, min_chars)
+            left = b"\n".join([line for line, k in zip(lines, keys, strict=True) if k not in common])
+            out.append((id_, len(lines), sum(k in common for k in keys), hashlib.sha256(left).hexdigest(), *([left.decode()] if with_text else [])))
+        return pd.DataFrame(out, columns=["id", "n_lines", "n_dropped", "kept_sha256", *(["kept"] if with_text else [])])
 
     return drop
 
@@ -264,7 +292,9 @@ def _shard_of(digests: np.ndarray, shards: int) -> np.ndarray:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, with_text: bool = True) -> DataFrame:
     index = LineIndex(docs.sparkSession, min_docs, min_chars)
     index.insert(docs, text_col)
-    return index.dropped(docs, id_col, text_col, with_text=with_text)
+    rows = index.dropped(docs, id_col, text_col, with_text=with_text)
+    index.close()
+    return rows
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
