@@ -10,8 +10,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,6 +146,30 @@ def slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Data
             yield batch.iloc[at : at + rows].reset_index(drop=True)
 
 
+def pack(*arrays: bytes) -> bytes:
+    """Several byte strings as one."""
+    head = np.array([len(arrays), *map(len, arrays)], np.int64).tobytes()
+    return head + b"".join(arrays)
+
+
+def unpack(payload: bytes) -> list[bytes]:
+    n = int(np.frombuffer(payload, np.int64, 1)[0])
+    sizes = np.frombuffer(payload, np.int64, n, 8)
+    ends = 8 * (n + 1) + np.cumsum(sizes)
+    return [payload[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def with_locator(docs: DataFrame, name: str, file: str = "file", row: str = "row") -> DataFrame:
+    """``docs`` with each row's file and place in it; rows that were not read from files are written first."""
+    place = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
+    try:
+        rows = docs.select("*", *place)
+        rows.schema  # noqa: B018  analysed here: only rows read from files have a locator
+    except AnalysisException:
+        rows = written(docs, name).select("*", *place)
+    return rows
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

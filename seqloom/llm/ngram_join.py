@@ -6,10 +6,11 @@ each, under any global order, so they must under all of them.  The orders here a
 rare tokens first (by the binary logarithm of the number of sets that hold them) and
 differ in how they order tokens that are about as rare.
 
-1. Tokens of all documents are counted, packed: a task sends each part of the token
-   space one array per block of documents.  A document of whose tokens fewer than
-   ``ceil(0.8 n)`` occur elsewhere has no partner and goes no further.
-2. Documents with equal sets are one from here on.  The same exchange, over those that
+1. Tokens of all documents are counted, packed: a block of documents sends each part of the token
+   space one array with its distinct tokens there, and how many of its sets hold each.  A document of whose
+   tokens fewer than ``ceil(0.8 n)`` occur in other sets has no partner and goes no further.
+2. Documents with equal sets are one from here on; within a block they are one from the start, so a large group
+   of copies sends its tokens once a block.  The same exchange, over those that
    are left, gives each set its shared tokens with their frequency, and so its prefixes.
 3. The first order's prefixes are the inverted index.  Pairs that share a token there must
    share one under every other order too, and are then verified on their whole sets.
@@ -19,11 +20,16 @@ differ in how they order tokens that are about as rare.
    still unverified are compared, so no link between different components is lost.
    A list in which all are copies of each other thus costs one comparison per member.
    A pair is compared only if what both sets still have from the shared token on is
-   enough (the positional filter); its first shared token always passes this.
+   enough (the positional filter); its first shared token always passes this.  At last, lists are
+   also split by size, as sets of very different sizes are never linked.
+
+Lists of more than ``HOT`` members (more, where there would be over ``MOST_HOT`` such lists, so their
+tokens can be broadcast) are salted: the members are dealt out, and what they are compared with is repeated.  Joins on sets leave a set
+that is in very many pairs to Spark's splitting of skewed joins.
 
 Defined results: a null text has no words; sets without tokens are linked with nothing;
 fewer words than a shingle are one token; equal texts are linked; null ids never
-are the smallest; an empty table gives no rows; other columns are ignored.
+are the smallest; a very long text is one set, made in one task; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import partitions, written
+from seqloom.llm.common import cache_cleared_by, few_records, finished, pack, partitions, remove_table, tidy, unpack, with_locator, written
 from seqloom.llm.components import merge_components
 
 WORDS, PERCENT = 5, 80
@@ -47,9 +53,13 @@ MORE_ORDERS = 2
 #: Rounds of comparisons by one member of each component, at most.
 ROUNDS = 5
 #: Tokens in a block of documents, about.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 250_000
+#: Members from which on a token's list is salted, and most lists of so many or more.
+HOT, MOST_HOT = 500, 100_000
+#: Pairs of sets that a worker is handed at once.
+PAIRS = 128
 #: Identifiers that are broadcast at most, to pick the documents that are left; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +72,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+cache_cleared_by(_hashes.clear)
 
 
 def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -94,40 +105,22 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _send(sets: list[np.ndarray], names: bytes, block: int, bits: int) -> Iterator[dict]:
-    """A row per part of the token space (the top bits): the next 40 bits of each token and how many belong to each set."""
-    yield {"part": -1 - block, "block": block, "payload": names, "sizes": np.array([len(s) for s in sets], np.uint32).tobytes()}
-    tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    if not len(tokens):
-        return
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    part = (tokens >> np.uint64(64 - bits)).astype(np.uint16)
-    order = np.argsort(part, kind="stable")
-    part, owner = part[order], owner[order]
-    low = ((tokens[order] << np.uint64(bits)) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    for at, lo, hi in zip(part[np.concatenate([[0], cuts])], np.concatenate([[0], cuts]), np.concatenate([cuts, [len(part)]]), strict=True):
-        yield {"part": int(at), "block": block, "payload": np.ascontiguousarray(low[lo:hi]).tobytes(), "sizes": np.bincount(owner[lo:hi], minlength=len(sets)).astype(np.uint32).tobytes()}
-
-
-SENT = "part long, block long, payload binary, sizes binary"
-
-
-def _blocks(rows: Iterator[tuple[bytes, np.ndarray]], bits: int) -> Iterator[pd.DataFrame]:
-    """Sends (name, set) pairs block by block; a block's number depends on its task's input alone."""
-    base = TaskContext.get().partitionId() << 24
-    names: list[bytes] = []
-    sets: list[np.ndarray] = []
-    n, block = 0, 0
-    for name, tokens in rows:
-        names.append(name)
-        sets.append(tokens)
-        n += len(tokens) + 1
-        if n >= BLOCK_TOKENS:
-            yield pd.DataFrame(_send(sets, b"".join(names), base + block, bits))
-            names, sets, n, block = [], [], 0, block + 1
-    if names:
-        yield pd.DataFrame(_send(sets, b"".join(names), base + block, bits))
+SENT = "part long, block long, payload binary, times binary"
+
+
+def _send(head: list[bytes], sets: list[np.ndarray], block: int, bits: int) -> pd.DataFrame:
+    """A row for the block itself, with what it needs to read the answers, and a row per part of the token
+    space (the top bits): the next 40 bits of each distinct token there and how many of the sets hold it."""
+    tokens, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    sizes = np.array([len(s) for s in sets], np.uint32)
+    rows = [{"part": -1 - block, "block": block, "payload": pack(*head, sizes.tobytes(), inverse.astype(np.uint32).tobytes(), tokens.tobytes()), "times": b""}]
+    if len(tokens):
+        part = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        low = np.ascontiguousarray(((tokens << np.uint64(bits)) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+        times = times.astype(np.uint32)
+        rows += [{"part": int(part[lo]), "block": block, "payload": low[lo:hi].tobytes(), "times": times[lo:hi].tobytes()} for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pd.DataFrame(rows)
 
 
 def _wide(payload: bytes) -> np.ndarray:
@@ -137,76 +130,62 @@ def _wide(payload: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _answer(bits: int, with_tokens: bool):
-    """Of a part of the token space: how many of each set's tokens other sets hold too, or those tokens and their frequency class."""
-
-    def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["part"].iloc[0] < 0:  # names come back as they are
-            return rows[["block", "part", "payload", "sizes"]]
-        parts = [_wide(p) for p in rows["payload"]]
-        tokens = np.concatenate(parts)
-        order = np.argsort(tokens, kind="stable")
-        first = np.concatenate([[True], tokens[order][1:] != tokens[order][:-1]])
-        times = np.diff(np.append(np.flatnonzero(first), len(tokens)))
-        often = np.empty(len(tokens), np.int64)
-        often[order] = np.repeat(times, times)
-        payloads, counts, at = [], [], 0
-        for part, sizes in zip(parts, rows["sizes"], strict=True):
-            here = often[at : at + len(part)]
-            shared, at = here > 1, at + len(part)
-            owner = np.repeat(np.arange(len(sizes) // 4), np.frombuffer(sizes, np.uint32))
-            counts.append(np.bincount(owner[shared], minlength=len(sizes) // 4).astype(np.uint32).tobytes())
-            if with_tokens:
-                high = np.uint64(int(rows["part"].iloc[0]) << (64 - bits))
-                whole = high | ((part[shared] << np.uint64(24)) >> np.uint64(bits))
-                payloads.append(whole.tobytes() + np.log2(here[shared]).astype(np.uint8).tobytes())
-            else:
-                payloads.append(b"")
-        return pd.DataFrame({"block": rows["block"].to_numpy(), "part": rows["part"].to_numpy(), "payload": payloads, "sizes": counts})
-
-    return answer
-
-
-def _exchange(sent: DataFrame, bits: int, with_tokens: bool) -> DataFrame:
-    return sent.groupBy("part").applyInPandas(_answer(bits, with_tokens), "block long, part long, payload binary, sizes binary")
+def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a part of the token space, for each token sent: 0 if one set holds it, else 1 + the binary logarithm of how many do."""
+    if rows["part"].iloc[0] < 0:  # a block's own row comes back as it is
+        return rows[["block", "part", "payload"]]
+    parts = [_wide(p) for p in rows["payload"]]
+    tokens, times = np.concatenate(parts), np.concatenate([np.frombuffer(t, np.uint32) for t in rows["times"]]).astype(np.int64)
+    order = np.argsort(tokens, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], tokens[order][1:] != tokens[order][:-1]]))
+    held = np.add.reduceat(times[order], first)
+    code = np.empty(len(tokens), np.uint8)
+    code[order] = np.repeat(np.where(held > 1, 1 + np.log2(held).astype(np.uint8), 0).astype(np.uint8), np.diff(np.append(first, len(tokens))))
+    ends = np.cumsum([len(p) for p in parts])
+    return pd.DataFrame({"block": rows["block"].to_numpy(), "part": rows["part"].to_numpy(), "payload": [code[e - len(p) : e].tobytes() for p, e in zip(parts, ends, strict=True)]})
+
+
+def _exchange(sent: DataFrame) -> DataFrame:
+    return sent.groupBy("part").applyInPandas(_answer, "block long, part long, payload binary")
+
+
+def _answered(rows: pd.DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Back at a block: what it kept for itself, the sizes of its sets, and token and code of each token of each set in turn."""
+    own = rows["part"] < 0
+    *head, sizes, inverse, tokens = unpack(rows["payload"][own].iloc[0])
+    code = np.frombuffer(b"".join(rows[~own].sort_values("part")["payload"]), np.uint8)
+    at = np.frombuffer(inverse, np.uint32)
+    return head, np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(tokens, np.uint64)[at], code[at]
 
 
 def _shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    """Back at a block: (id, n, digest, shared) of its documents."""
-    names = rows[rows["part"] < 0].iloc[0]
-    n = np.frombuffer(names["sizes"], np.uint32)
-    shared = sum((np.frombuffer(s, np.uint32).astype(np.int64) for s in rows["sizes"][rows["part"] >= 0]), np.zeros(len(n), np.int64))
-    told = np.frombuffer(names["payload"], np.dtype([("known", "u1"), ("id", "<i8"), ("digest", "S16")]))
-    raw = [names["payload"][25 * k + 9 : 25 * k + 25] for k in range(len(n))]
-    ids = pd.Series(told["id"].copy(), dtype="Int64").mask(told["known"] == 0)
-    return pd.DataFrame({"id": ids, "n": n.astype(np.int64), "digest": raw, "shared": shared})
+    """Of each distinct set of a block: digest, tokens, tokens that other sets hold too, ids of its documents."""
+    (known, ids, which, digests), n, _, code = _answered(rows)
+    shared = np.bincount(np.repeat(np.arange(len(n)), n)[code > 0], minlength=len(n))
+    members: list[list[int | None]] = [[] for _ in n]
+    for k, i, w in zip(known, np.frombuffer(ids, np.int64).tolist(), np.frombuffer(which, np.uint32).tolist(), strict=True):
+        members[w].append(i if k else None)
+    return pd.DataFrame({"digest": [digests[16 * k : 16 * k + 16] for k in range(len(n))], "n": n, "shared": shared, "ids": members})
 
 
 def _prefixes(percent: int):
-    """Back at a block: each set's prefix under every order, without the tokens that it alone holds."""
+    """Each set's prefix under every order, without the tokens that it alone holds."""
 
     def prefixes(rows: pd.DataFrame) -> pd.DataFrame:
-        names = rows[rows["part"] < 0].iloc[0]
-        n, dids = np.frombuffer(names["sizes"], np.uint32), np.frombuffer(names["payload"], np.int64)
-        tokens, classes, owners = [], [], []
-        for payload, sizes in rows[rows["part"] >= 0][["payload", "sizes"]].itertuples(index=False):
-            m = len(payload) // 9
-            tokens.append(np.frombuffer(payload, np.uint64, m))
-            classes.append(np.frombuffer(payload, np.uint8, m, 8 * m))
-            owners.append(np.repeat(np.arange(len(n)), np.frombuffer(sizes, np.uint32)))
+        (dids,), n, token, code = _answered(rows)
+        dids, owner = np.frombuffer(dids, np.int64), np.repeat(np.arange(len(n)), n)
+        token, owner, kind = token[code > 0], owner[code > 0], code[code > 0]
+        shared = np.bincount(owner, minlength=len(n))
+        take = (n - least_shared(n, percent) + 1) - (n - shared)
+        starts = np.concatenate([[0], np.cumsum(shared)])
+        sorted_ = [token[np.lexsort((mixed(token, s + 1), kind, owner))] for s in range(1 + MORE_ORDERS)]
         out = {"did": [], "n": [], "own": [], **{f"p{s}": [] for s in range(1 + MORE_ORDERS)}}
-        if tokens:
-            token, kind, owner = np.concatenate(tokens), np.concatenate(classes), np.concatenate(owners)
-            shared = np.bincount(owner, minlength=len(n))
-            take = (n.astype(np.int64) - least_shared(n.astype(np.int64), percent) + 1) - (n - shared)
-            starts = np.concatenate([[0], np.cumsum(shared)])
-            sorted_ = [token[np.lexsort((mixed(token, s + 1), kind, owner))] for s in range(1 + MORE_ORDERS)]
-            for k in np.flatnonzero(take > 0):
-                out["did"].append(int(dids[k]))
-                out["n"].append(int(n[k]))
-                out["own"].append(int(n[k] - shared[k]))
-                for s in range(1 + MORE_ORDERS):
-                    out[f"p{s}"].append(sorted_[s][starts[k] : starts[k] + take[k]].view(np.int64))
+        for k in np.flatnonzero(take > 0):
+            out["did"].append(int(dids[k]))
+            out["n"].append(int(n[k]))
+            out["own"].append(int(n[k] - shared[k]))
+            for s in range(1 + MORE_ORDERS):
+                out[f"p{s}"].append(sorted_[s][starts[k] : starts[k] + take[k]].view(np.int64))
         return pd.DataFrame({name: pd.Series(values, dtype=object if name.startswith("p") else np.int64) for name, values in out.items()})
 
     return prefixes
@@ -223,26 +202,65 @@ def _verify(percent: int):
     return verify
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id reachable by links)."""
-    spark = docs.sparkSession
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    bits = min(16, max(4, (4 * partitions(spark) - 1).bit_length()))
+def _send_docs(words: int, bits: int):
+    """Documents as blocks; a block's number depends on its task's input alone."""
 
-    def send_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows():
-            for batch in batches:
-                for id_, known, text in zip(batch["id"].fillna(0), batch["id"].notna(), batch["text"], strict=True):
-                    tokens = shingles(text, words)
-                    yield bytes([known]) + int(id_).to_bytes(8, "little", signed=True) + hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest(), tokens
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, most = TaskContext.get().partitionId() << 24, max(BLOCK_TOKENS, 16 << bits)
+        sets: dict[bytes, tuple[int, np.ndarray]] = {}
+        docs: list[tuple[bool, int, int]] = []
+        n = 0
 
-        return _blocks(rows(), bits)
+        def blocked() -> pd.DataFrame:
+            head = [bytes(k for k, _, _ in docs), np.array([i for _, i, _ in docs], np.int64).tobytes(), np.array([w for _, _, w in docs], np.uint32).tobytes(), b"".join(sets)]
+            return _send(head, [tokens for _, tokens in sets.values()], block, bits)
 
-    counted = _exchange(named.mapInPandas(send_docs, SENT), bits, False)
-    every = written(counted.groupBy("block").applyInPandas(_shared_counts, "id long, n long, digest binary, shared long"), "ngram-counts")
+        for batch in batches:
+            for id_, known, text in zip(batch["id"].fillna("0"), batch["id"].notna(), batch["text"], strict=True):
+                tokens = shingles(text, words)
+                digest = hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest()
+                n += 1 if digest in sets else len(tokens) + 1
+                docs.append((known, int(id_), sets.setdefault(digest, (len(sets), tokens))[0]))
+                if n >= most:
+                    yield blocked()
+                    sets, docs, n, block = {}, [], 0, block + 1
+        if docs:
+            yield blocked()
+
+    return send
+
+
+def _send_sets(bits: int):
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, most = TaskContext.get().partitionId() << 24, max(BLOCK_TOKENS, 16 << bits)
+        dids: list[int] = []
+        sets: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            for did, tokens in zip(batch["did"], batch["tokens"], strict=True):
+                dids.append(int(did))
+                sets.append(np.frombuffer(tokens, np.uint64))
+                n += len(sets[-1])
+                if n >= most:
+                    yield _send([np.array(dids, np.int64).tobytes()], sets, block, bits)
+                    dids, sets, n, block = [], [], 0, block + 1
+        if sets:
+            yield _send([np.array(dids, np.int64).tobytes()], sets, block, bits)
+
+    return send
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id reachable by links)."""
+    spark = docs.sparkSession
+    # Ids travel as text, since pandas would make numbers with nulls among them inexact.
+    named = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    bits = min(16, max(4, (4 * partitions(spark) - 1).bit_length()))
+    counted = _exchange(named.mapInPandas(tidy(_send_docs(words, bits)), SENT))
+    every = written(counted.groupBy("block").applyInPandas(_shared_counts, "digest binary, n long, shared long, ids array<long>"), "ngram-counts")
     left = every.where((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
-    sets = written(left.groupBy("digest").agg(F.first("n").alias("n")), "ngram-sets")
-    sets = written(sets.withColumn("did", F.monotonically_increasing_id()), "ngram-dids")
+    one_each = left.groupBy("digest").agg(F.first("n").alias("n"), F.min(F.array_min("ids")).alias("id"))
+    sets = written(one_each.withColumn("did", F.monotonically_increasing_id()), "ngram-sets")
 
     # The sets themselves, from the texts again, for those that are left only.
     def make_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,21 +268,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             made = [shingles(t, words).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"digest": [hashlib.md5(m, usedforsecurity=False).digest() for m in made], "tokens": made})
 
-    one_each = left.groupBy("digest").agg(F.min("id").alias("id")).select("id").distinct()
-    ids = written(one_each.select(F.col("id").alias("id_")), "ngram-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = sets.select(F.col("id").cast("string").alias("id_")).distinct()
+    ids = F.broadcast(ids) if sets.count() <= BROADCAST_IDS else ids
     texts = named.join(ids, F.col("id").eqNullSafe(F.col("id_")), "left_semi")
-    again = texts.select("text").mapInPandas(make_sets, "digest binary, tokens binary").join(sets, "digest")
+    again = texts.select("text").mapInPandas(tidy(make_sets), "digest binary, tokens binary").join(sets, "digest")
     whole = written(again.groupBy("did").agg(F.first("tokens").alias("tokens")), "ngram-tokens")
 
-    def send_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _blocks(((int(d).to_bytes(8, "little", signed=True), np.frombuffer(t, np.uint64)) for batch in batches for d, t in zip(batch["did"], batch["tokens"], strict=True)), bits)
-
     shape = "did long, n long, own long, " + ", ".join(f"p{s} array<long>" for s in range(1 + MORE_ORDERS))
-    prefixed = written(_exchange(whole.mapInPandas(send_sets, SENT), bits, True).groupBy("block").applyInPandas(_prefixes(percent), shape), "ngram-prefixes")
-    lists = prefixed.select("did", "n", "own", F.posexplode("p0").alias("at", "token")).withColumn("rest", F.col("n") - F.col("own") - F.col("at"))
-    # A token in one prefix alone makes no candidate.
-    lists = written(lists.join(lists.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi"), "ngram-lists")
+    prefixed = written(_exchange(whole.mapInPandas(tidy(_send_sets(bits)), SENT)).groupBy("block").applyInPandas(_prefixes(percent), shape), "ngram-prefixes")
+    lists = _lists(prefixed, hot)
     orders = range(1, 1 + MORE_ORDERS)
     others = lambda letter: prefixed.select(F.col("did").alias(letter), *[F.col(f"p{s}").alias(f"{letter}{s}") for s in orders])
     sets_of = lambda letter: whole.select(F.col("did").alias(letter), F.col("tokens").alias(f"set_{letter}"))
@@ -275,50 +287,86 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for s in orders:
             both = both.where(F.arrays_overlap(f"a{s}", f"b{s}"))
         both = both.select("a", "b").join(sets_of("a"), "a").join(sets_of("b"), "b")
-        return written(both.mapInPandas(_verify(percent), "a long, b long, linked boolean"), "ngram-verified")
+        with few_records(spark, PAIRS):
+            return written(both.mapInPandas(tidy(_verify(percent)), "a long, b long, linked boolean"), "ngram-verified")
 
     comps = written(lists.select("did").distinct().withColumn("comp", F.col("did")), "comps")
-    # The shared token being the first one, at most the smaller rest of the two sets is shared.
-    enough = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    done: DataFrame | None = None
-    turn, last = 0, rounds < 1
+    done: list[DataFrame] = []
+    last = rounds < 1
     while True:
         held = lists.join(comps, "did")
-        if not last:
-            # One member of each component in a list, rather one with few tokens of its own, and of these the first, which all others are compared with.
-            lot = F.pmod(F.xxhash64("did", F.lit(turn)), F.lit(1024)) / F.lit(1024.0)
-            member = F.struct((F.col("own") / F.col("n") * (1 + turn * lot)).alias("h"), "did", "n", "rest")
-            offered = held.groupBy("token", "comp").agg(F.min(member).alias("m")).select("token", "comp", "m.*")
-            middle = offered.groupBy("token").agg(F.min(F.struct("h", "did", "n", "rest", "comp")).alias("c")).select("token", F.col("c.did").alias("did_c"), F.col("c.n").alias("n_b"), F.col("c.rest").alias("rest_b"), F.col("c.comp").alias("comp_c"))
-            pairs = offered.select("token", "comp", "did", F.col("n").alias("n_a"), F.col("rest").alias("rest_a")).join(middle, "token").where(enough & (F.col("comp") != F.col("comp_c")))
-        else:
-            # Whatever is left: in lists that hold several components, each member outside the largest one with all others.
-            each = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"))
-            several = each.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "members").alias("main"), F.min("least").alias("least")).where("comps > 1").drop("comps")
-            able = held.join(several, "token").where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least")))
-            odd = able.where("comp <> main").select("token", "did", F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), "comp")
-            pairs = odd.join(able.select("token", F.col("did").alias("did_c"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("comp").alias("comp_c")), "token").where(enough & (F.col("comp") != F.col("comp_c")))
+        pairs = _last_pairs(held, percent) if last else _round_pairs(held, percent, len(done))
         pairs = pairs.select(F.least("did", "did_c").alias("a"), F.greatest("did", "did_c").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        for earlier in done:
+            pairs = pairs.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
         found = verified(pairs)
         links = found.where("linked").select("a", "b")
         more = not links.isEmpty()
         if more:
             comps = merge_components(comps, links)
+        done.append(found)
         if last:
             break
-        done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
-        turn += 1
-        last = not more or turn >= rounds
+        last = not more or len(done) >= rounds
+    remove_table(lists, prefixed, whole, *done)
 
-    least = every.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"))
+    least = every.where("n > 0").groupBy("digest").agg(F.min(F.array_min("ids")).alias("least"))
     known = sets.select("digest", "did").join(comps, "did")
     of_comp = known.join(least, "digest").groupBy("comp").agg(F.min("least").alias("component_id"))
-    classes = least.join(known.join(of_comp, "comp").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
-    classes = written(classes, "ngram-classes")
-    in_class = every.where("n > 0").join(classes, "digest").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    return in_class.unionByName(every.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    of_set = known.join(of_comp, "comp").select("digest", "component_id")
+    classes = written(least.join(of_set, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id")), "ngram-classes")
+    # A digest has at most one row per block here, its documents' ids in an array.
+    in_class = every.where("n > 0").join(classes, "digest").select("ids", "n", "component_id")
+    rows = in_class.unionByName(every.where("n = 0").select("ids", "n", F.lit(None).cast("long").alias("component_id")))
+    told = rows.select(F.explode("ids").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    told = told.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col(id_col)).otherwise(F.col("component_id")))
+    return finished(told, "ngram-result", every, sets, comps, classes)
+
+
+def _lists(prefixed: DataFrame, hot: int) -> DataFrame:
+    """The inverted index: token, did, n, own, rest, salts and salt of all tokens that stand in several prefixes of the first order."""
+    listed = prefixed.select("did", "n", "own", F.posexplode("p0").alias("at", "token")).withColumn("rest", F.col("n") - F.col("own") - F.col("at"))
+    counted = written(listed.groupBy("token").count().where("count > 1"), "ngram-counted")
+    most = max(hot, (counted.agg(F.sum("count")).first()[0] or 0) // MOST_HOT)
+    salted = F.broadcast(counted.where(F.col("count") > most).select("token", F.ceil(F.col("count") / most).cast("int").alias("salts")))  # at most MOST_HOT rows
+    salts = F.coalesce("salts", F.lit(1))
+    places = counted.select("token").join(salted, "token", "left").select("token", _every_salt(salts))
+    listed = listed.join(salted, "token", "left").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("did"), F.col("salts")).cast("int"))
+    lists = written(listed.join(places, ["token", "salt"], "left_semi").drop("at"), "ngram-lists")
+    remove_table(counted)
+    return lists
+
+
+def _every_salt(salts):
+    return F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+
+
+def _enough(percent: int):
+    """The shared token being the first one, at most the smaller rest of the two sets is shared."""
+    return (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))
+
+
+def _round_pairs(held: DataFrame, percent: int, turn: int) -> DataFrame:
+    """In each list one member of every component, rather one with few tokens of its own, and the first of these, which the others are compared with."""
+    lot = F.pmod(F.xxhash64("did", F.lit(turn)), F.lit(1024)) / F.lit(1024.0)
+    member = F.struct((F.col("own") / F.col("n") * (1 + turn * lot)).alias("h"), "did", "n", "rest")
+    offered = held.groupBy("token", "salts", "comp").agg(F.min(member).alias("m")).select("token", "salts", "comp", "m.*")
+    middle = offered.groupBy("token", "salts").agg(F.min(F.struct("h", "did", "n", "rest", "comp")).alias("c"))
+    middle = middle.select("token", _every_salt(F.col("salts")), F.col("c.did").alias("did_c"), F.col("c.n").alias("n_b"), F.col("c.rest").alias("rest_b"), F.col("c.comp").alias("comp_c"))
+    asked = offered.select("token", F.pmod(F.xxhash64("comp"), F.col("salts")).cast("int").alias("salt"), "comp", "did", F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
+    return asked.join(middle, ["token", "salt"]).where(_enough(percent) & (F.col("comp") != F.col("comp_c")))
+
+
+def _last_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """Whatever is left: in lists that hold several components, each member outside the largest one with all others of about its size."""
+    each = held.groupBy("token", "salts", "comp").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"))
+    several = each.groupBy("token", "salts").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "members").alias("main"), F.min("least").alias("least")).where("comps > 1")
+    able = held.join(several.select("token", "main", "least", _every_salt(F.col("salts"))), ["token", "salt"]).where((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least")))
+    # Linked sets differ in size by a factor of 100 / percent at most, so by one class at most.
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / min(percent, 99))) * 0.9999)
+    odd = able.where("comp <> main").select("token", "salt", "did", F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), "comp", F.explode(F.array(size - 1, size, size + 1)).alias("size"))
+    each_salt = able.select("token", _every_salt(F.col("salts")), F.col("did").alias("did_c"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("comp").alias("comp_c"), size.alias("size"))
+    return odd.join(each_salt, ["token", "salt", "size"]).where(_enough(percent) & (F.col("comp") != F.col("comp_c")))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,12 +383,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         classes = near_duplicates(docs, id_col, text_col)
         gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
         return docs.join(gone, id_ == F.col("__gone"), "left_anti")
-    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-    try:
-        rows = docs.select("*", *place)
-        rows.schema  # noqa: B018  analysed here: only rows read from files have a locator
-    except Exception:
-        rows = written(docs, "ngram-input").select("*", *place)
+    rows = with_locator(docs, "ngram-input", "__file", "__row")
     files = sorted(r[0] for r in rows.select("__file").distinct().collect())
     numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "__nth long, __file string")
     rows = rows.join(F.broadcast(numbers), "__file").withColumn("__uid", F.shiftleft("__nth", 40) + F.col("__row"))
