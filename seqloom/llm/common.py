@@ -159,15 +159,18 @@ def unpack(payload: bytes) -> list[bytes]:
     return [payload[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
-def with_locator(docs: DataFrame, name: str, file: str = "file", row: str = "row") -> DataFrame:
-    """``docs`` with each row's file and place in it; rows that were not read from files are written first."""
-    place = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
+def located(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` if its rows were read from files, and so have a file and a place in it; else ``docs`` written."""
     try:
-        rows = docs.select("*", *place)
-        rows.schema  # noqa: B018  analysed here: only rows read from files have a locator
+        docs.select("_metadata.file_path").schema  # noqa: B018  analysed here
     except AnalysisException:
-        rows = written(docs, name).select("*", *place)
-    return rows
+        return written(docs, name)
+    return docs
+
+
+def with_locator(docs: DataFrame, name: str, file: str = "file", row: str = "row") -> DataFrame:
+    """``docs`` with each row's file and place in it."""
+    return located(docs, name).select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
 
 
 def words(text: Column) -> Column:

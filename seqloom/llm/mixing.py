@@ -3,9 +3,11 @@
 Each source shuffles its documents by a hash of their ids and offers them in that
 order, again and again for as many epochs as repeats are allowed.  An offered
 document's virtual finish time is the source's words up to and with it, divided
-by the source's target.  A global range sort by that time interleaves the sources
-fairly.  Targets add up to the budget, so the budget is used up exactly when
-virtual time reaches 1: there the mix is truncated, inside a document if need be.
+by the source's target.  Targets add up to the budget, so the budget is used up where
+virtual time reaches 1: there the mix is truncated, inside a document if need be.  A word of a source has
+a virtual time too, its number divided by the target, so what a document gives is told by
+where virtual time 1 falls in it.  A global range sort by virtual finish time interleaves the sources
+fairly; running sums over its ranges give each document its place in the mix.
 
 Targets come from filling by weight: sources share the budget by weight, none
 gets more than ``epochs`` times its size, and what is over is shared again.
@@ -13,10 +15,11 @@ gets more than ``epochs`` times its size, and what is over is shared again.
 A source may hold any part of all rows.  Its running sum of words is therefore
 made in two levels: the hash cuts each source into about sqrt(rows) buckets, whose
 totals (one row each) are summed up per source, and a window runs within a bucket.
+Windows over everything see one row per source (the targets) or per range of the sort only.
 
 Defined results: a null text has no words; a null source is a source of its own,
 after all others; documents without words take nothing; equal ids are ordered by
-size; an empty table gives no rows; all other columns pass through :func:`mix`.
+size; a very long text counts whole; an empty table gives no rows; all other columns pass through :func:`mix`.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.llm.common import WORD, words, written
+from seqloom.llm.common import WORD, finished, words, written
 
 SHARE, EPOCHS, WEIGHTS, SEED = 1.5, 2, (5, 2, 1), 17
 _KEYS = ["__source", "__bucket"]
@@ -72,7 +75,7 @@ def queue(offered: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     rows = rows.withColumn("start", F.col("ahead") + F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     start = F.col("start") + (F.col("epoch") - 1) * F.col("source_size")
-    goal = F.round("target").cast("long")
+    goal = F.floor("target").cast("long")
     return rows.withColumns({
         "virtual_finish": F.when(F.col("target") > 0, (start + F.col("__size")) / F.col("target")),
         "taken": F.greatest(F.lit(0), F.least(F.col("__size"), goal - start)).cast("long"),
@@ -98,13 +101,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken."""
-    offered = _offered(docs, F.col(id_col), F.col(text_col), F.col(source_col), F.col(id_col).alias("id"))
-    rows = queue(written(offered, "mix-offered"), weights, share, epochs).repartitionByRange("virtual_finish").sortWithinPartitions("virtual_finish")
-    return (
-        rows.groupBy(*_KEYS, "__nth", "id").agg(F.first("__size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    """One row per document: id, size, source_size, target, taken, and place, the words of the mix before its first ones (null if none is taken)."""
+    offered = written(_offered(docs, F.col(id_col), F.col(text_col), F.col(source_col), F.col(id_col).alias("id")), "mix-offered")
+    order = [F.col("virtual_finish").asc_nulls_last(), "__source", "__hash", "epoch", "__nth"]
+    rows = queue(offered, weights, share, epochs).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.withColumn("range", F.spark_partition_id()), "mix-sorted")
+    in_turn = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("range").agg(F.sum("taken").alias("in_range")).select("range", F.coalesce(F.sum("in_range").over(in_turn), F.lit(0)).alias("before"))
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(ranges, "range").withColumn("place", F.when(F.col("taken") > 0, F.col("before") + F.sum("taken").over(within) - F.col("taken")))
+    told = (
+        placed.groupBy(*_KEYS, "__nth", "id").agg(F.first("__size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"), F.min("place").alias("place"))
+        .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "place")
     )
+    return finished(told, "mix-result", offered, rows)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,10 +135,14 @@ l AS (
   FROM w),
 t AS (SELECT source, source_size, least(cap::double, max(level) OVER () * w) AS target FROM l),
 o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.source, d.h, d.size, t.source_size, t.target,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, round(target)::bigint - start)) + greatest(0, least(size, round(target)::bigint - start - source_size)))::bigint AS taken
-FROM o
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (
+  SELECT doc_id, source, h, size, source_size, target, epoch, start, (start + (epoch - 1) * source_size + size) / target AS finish,
+         greatest(0, least(size, floor(target)::bigint - start - (epoch - 1) * source_size))::bigint AS taken
+  FROM o, (SELECT unnest([1, 2])::bigint AS epoch)),
+p AS (SELECT *, sum(taken) OVER (ORDER BY CASE WHEN target > 0 THEN finish END NULLS LAST, source NULLS LAST, h, epoch, start ROWS UNBOUNDED PRECEDING) - taken AS place FROM e)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, sum(taken)::bigint AS taken, min(place) FILTER (taken > 0)::bigint AS place
+FROM p GROUP BY doc_id, source, h, start
 """

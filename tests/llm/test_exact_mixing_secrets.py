@@ -51,6 +51,23 @@ def test_exact_state_goes_on(spark, docs, tmp_path):
     assert {i: r.group_size for i, r in later.items()} == {1: 3, 9: 3, 7: 1}
 
 
+def test_exact_state_compares_bytes_of_earlier_calls(spark, docs, tmp_path):
+    """A digest that collides across calls: the text that stays is read again from the earlier call's file."""
+    state = E.DedupState(spark, f"file://{tmp_path}/state")
+    weak = lambda t: F.length(t).cast("string")
+    E.exact_dedup(docs((5, "q"), (6, "rr")), digest=weak, state=state).count()
+    later = {r.doc_id: (r.keep_id, r.group_size) for r in E.exact_dedup(docs((7, "q"), (8, "s"), (9, "s")), digest=weak, state=state).collect()}
+    assert later == {7: (5, 2), 8: (8, 2), 9: (8, 2)}
+
+
+def test_exact_ingest_may_be_repeated(spark, docs, tmp_path):
+    state = E.DedupState(spark, f"file://{tmp_path}/state")
+    rows = spark.createDataFrame([("d", 1, "f", 0), ("d", 2, "f", 1)], "digest string, id long, file string, row long")
+    for _ in range(2):
+        state.ingest(rows, "monday")
+    assert [r.copies for r in state.snapshot().collect()] == [2]
+
+
 def test_targets(spark):
     sizes = spark.createDataFrame([("sa", 100), ("sb", 10), ("sc", 1000), ("t", 0)], "__source string, source_size long")
     got = {r["__source"]: r.target for r in M.targets(sizes).collect()}
@@ -64,6 +81,8 @@ def test_mixing(docs):
     for target in {r.target for r in got}:
         assert abs(sum(r.taken for r in got if r.target == target) - target) <= 1
     assert sorted(map(str, got)) == sorted(map(str, M.schedule(docs(*rows)).collect()))
+    budget, places = 1.5 * sum(r["size"] for r in got), sorted(r.place for r in got if r.taken)
+    assert places[0] == 0 and len(set(places)) == len(places) and budget - 4 <= sum(r.taken for r in got) <= budget and all((r.place is None) == (r.taken == 0) for r in got)
     mixed = M.mix(docs(*rows))
     assert mixed.columns == docs().columns if rows == [] else mixed.columns == docs(*rows).columns
     n = sum(len((r.text or "").split()) for r in mixed.select("text").collect())
@@ -71,6 +90,28 @@ def test_mixing(docs):
     assert M.schedule(docs(*rows).limit(0)).isEmpty() and M.mix(docs(*rows).limit(0)).isEmpty()
 
 
+def test_mixing_follows_the_queue(docs):
+    """Against a queue worked out by hand: documents by virtual finish time, places as running sums, words up to virtual time 1."""
+    rows = [(i, "w " * (1 + i * 7 % 13), "ab"[i % 3 == 0]) for i in range(40)] + [(77, "long " * 30_000, "c")]
+    got = {r.doc_id: r for r in M.schedule(docs(*rows)).collect()}
+    target = {r.source_size: r.target for r in got.values()}
+    queue = []
+    for source in "abc":
+        mine = sorted((hashlib.md5(f"17:{i}".encode()).hexdigest(), len(t.split()), i) for i, t, s in rows if s == source)
+        total, start = sum(n for _, n, _ in mine), 0
+        for epoch in (1, 2):
+            for h, n, i in mine:
+                queue.append(((start + n) / target[total], "s" + source, h, epoch, max(0, min(n, int(target[total]) - start)), i))
+                start += n
+    at, place, taken = 0, {}, defaultdict(int)
+    for *_, n, i in sorted(queue):
+        if n:
+            place.setdefault(i, at)
+        taken[i] += n
+        at += n
+    assert {i: (r.taken, r.place) for i, r in got.items()} == {i: (taken[i], place.get(i)) for i in got}
+
+
 def test_first_words(spark):
     row = spark.sql("SELECT '  a \n b\tc ' AS t").select(*[M.first_words(F.col("t"), F.lit(n)).alias(str(n)) for n in (0, 1, 2)]).first()
     assert list(row) == ["", "  a", "  a \n b"]
@@ -99,3 +140,23 @@ def test_secrets(docs):
     by = {r.doc_id: r for r in got if r.doc_id in (1, 2, 5)}
     assert by[1].n_example == 2 and "example:13:33" in by[1].spans and by[2].n_live == 0 and by[5].n_live == 1
     assert P.secret_scan(docs(*SECRETS).limit(0)).isEmpty()
+
+
+def brute_looks(kind, value):
+    squares = sum(value.count(c) ** 2 for c in set(value))
+    return len(value) ** 2 >= P.RANDOM[kind] * squares and (kind != "hex" or any(c in "abcdef" for c in value))
+
+
+def test_random_looks(spark):
+    """At the bound: as many equally frequent characters as it asks for, one fewer, and digits alone."""
+    cases = [("hex", "abcdef" * 3), ("hex", "abcde" * 4), ("hex", "0123456789123456"), ("hex", "0a1b2c3d4e5f6789"), ("assign", "abcdefgh" * 2), ("assign", "abcdefg" * 3), ("access", "AKIA" + "BCDEFGHJLMNOPQR"), ("access", "AKIA" * 5), ("assign", "a" * 30_000)]
+    got = [r[0] for r in spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "n int, kind string, value string").orderBy("n").select(P.looks_random(F.col("kind"), F.col("value"))).collect()]
+    assert got == [brute_looks(*c) for c in cases] == [True, False, False, True, True, False, True, False, False]
+
+
+def test_classes_by_both_counts(docs):
+    value = lambda k: f"token = {string.ascii_letters[k:k + 20]}"
+    rows = [(k, value(0), "a") for k in range(P.EXAMPLE_REPOSITORIES)] + [(100 + k, value(1), "a") for k in range(P.EXAMPLE_REPOSITORIES - 1)]
+    rows += [(200, value(2), "a"), (201, value(2), "b"), (202, value(3), "a"), (203, value(3), "b"), (204, value(3), None), (205, "token = aaaaaaaaaaaaaaaa", "a")]
+    got = {r.doc_id: (r.n_live, r.n_shared, r.n_example) for r in P.secret_scan(docs(*rows)).collect()}
+    assert got[0] == (0, 0, 1) and got[100] == (1, 0, 0) and got[200] == got[201] == (0, 1, 0) and got[202] == got[204] == (0, 0, 1) and got[205] == (0, 0, 0)
