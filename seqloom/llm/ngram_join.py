@@ -108,17 +108,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 SENT = "part long, block long, payload binary, times binary"
 
 
-def _send(head: list[bytes], sets: list[np.ndarray], block: int, bits: int) -> pd.DataFrame:
-    """A row for the block itself, with what it needs to read the answers, and a row per part of the token
-    space (the top bits): the next 40 bits of each distinct token there and how many of the sets hold it."""
-    tokens, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def _send(head: list[bytes], sets: list[np.ndarray], block: int, bits: int, keep: bool = False) -> pd.DataFrame:
+    """A row for the block itself, with what it needs to read the answers (also the tokens, if it is to ``keep`` them), and a
+    row per part of the token space (the top bits): the next 40 bits of each distinct token there and how many of the sets hold it."""
     sizes = np.array([len(s) for s in sets], np.uint32)
-    rows = [{"part": -1 - block, "block": block, "payload": pack(*head, sizes.tobytes(), inverse.astype(np.uint32).tobytes(), tokens.tobytes()), "times": b""}]
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), sizes)[order].astype(np.uint16 if len(sets) <= 1 << 16 else np.uint32)
+    every = every[order]
+    first = np.flatnonzero(np.append(np.ones(min(1, len(every)), bool), every[1:] != every[:-1]))
+    tokens, times = every[first], np.diff(np.append(first, len(every))).astype(np.uint32)
+    rows = [{"part": -1 - block, "block": block, "payload": pack(*head, sizes.tobytes(), owner.tobytes(), times.tobytes(), tokens.tobytes() if keep else b""), "times": b""}]
     if len(tokens):
         part = (tokens >> np.uint64(64 - bits)).astype(np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
         low = np.ascontiguousarray(((tokens << np.uint64(bits)) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
-        times = times.astype(np.uint32)
         rows += [{"part": int(part[lo]), "block": block, "payload": low[lo:hi].tobytes(), "times": times[lo:hi].tobytes()} for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     return pd.DataFrame(rows)
 
@@ -149,19 +153,19 @@ def _exchange(sent: DataFrame) -> DataFrame:
     return sent.groupBy("part").applyInPandas(_answer, "block long, part long, payload binary")
 
 
-def _answered(rows: pd.DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Back at a block: what it kept for itself, the sizes of its sets, and token and code of each token of each set in turn."""
+def _answered(rows: pd.DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Back at a block: what it kept for itself, the sizes of its sets, and set, code and (if kept) token of each token of a set."""
     own = rows["part"] < 0
-    *head, sizes, inverse, tokens = unpack(rows["payload"][own].iloc[0])
-    code = np.frombuffer(b"".join(rows[~own].sort_values("part")["payload"]), np.uint8)
-    at = np.frombuffer(inverse, np.uint32)
-    return head, np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(tokens, np.uint64)[at], code[at]
+    *head, sizes, owner, times, tokens = unpack(rows["payload"][own].iloc[0])
+    sizes, times = np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(times, np.uint32)
+    code = np.repeat(np.frombuffer(b"".join(rows[~own].sort_values("part")["payload"]), np.uint8), times)
+    return head, sizes, np.frombuffer(owner, np.uint16 if len(sizes) <= 1 << 16 else np.uint32).astype(np.int64), code, np.repeat(np.frombuffer(tokens, np.uint64), times) if tokens else np.zeros(0, np.uint64)
 
 
 def _shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
     """Of each distinct set of a block: digest, tokens, tokens that other sets hold too, ids of its documents."""
-    (known, ids, which, digests), n, _, code = _answered(rows)
-    shared = np.bincount(np.repeat(np.arange(len(n)), n)[code > 0], minlength=len(n))
+    (known, ids, which, digests), n, owner, code, _ = _answered(rows)
+    shared = np.bincount(owner[code > 0], minlength=len(n))
     members: list[list[int | None]] = [[] for _ in n]
     for k, i, w in zip(known, np.frombuffer(ids, np.int64).tolist(), np.frombuffer(which, np.uint32).tolist(), strict=True):
         members[w].append(i if k else None)
@@ -172,8 +176,8 @@ def _prefixes(percent: int):
     """Each set's prefix under every order, without the tokens that it alone holds."""
 
     def prefixes(rows: pd.DataFrame) -> pd.DataFrame:
-        (dids,), n, token, code = _answered(rows)
-        dids, owner = np.frombuffer(dids, np.int64), np.repeat(np.arange(len(n)), n)
+        (dids,), n, owner, code, token = _answered(rows)
+        dids = np.frombuffer(dids, np.int64)
         token, owner, kind = token[code > 0], owner[code > 0], code[code > 0]
         shared = np.bincount(owner, minlength=len(n))
         take = (n - least_shared(n, percent) + 1) - (n - shared)
@@ -242,10 +246,10 @@ def _send_sets(bits: int):
                 sets.append(np.frombuffer(tokens, np.uint64))
                 n += len(sets[-1])
                 if n >= most:
-                    yield _send([np.array(dids, np.int64).tobytes()], sets, block, bits)
+                    yield _send([np.array(dids, np.int64).tobytes()], sets, block, bits, True)
                     dids, sets, n, block = [], [], 0, block + 1
         if sets:
-            yield _send([np.array(dids, np.int64).tobytes()], sets, block, bits)
+            yield _send([np.array(dids, np.int64).tobytes()], sets, block, bits, True)
 
     return send
 

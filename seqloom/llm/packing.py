@@ -38,8 +38,8 @@ LENGTH, END_ID = 2048, 0
 PIECES_PER_NODE, FAN = 20_000, 8
 #: A bin with at most so many free places is sealed.
 SLACK = 16
-#: Words whose ids a worker remembers at once: so many new ones, and as many from before.
-CACHED = 120_000
+#: Words whose ids a worker remembers at once: so many new ones, and as many from before (about 200 bytes each).
+CACHED = 350_000
 
 # White space that the word split below may not treat as such.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
