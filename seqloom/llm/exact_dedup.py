@@ -39,7 +39,7 @@ STATE_SETTINGS = {
 #: Files that a micro-batch takes in at most, which bounds what a retry repeats.
 FILES_PER_BATCH = 10_000
 #: Copies that one task compares with the row that stays.
-COPIES_PER_SALT = 500
+COPIES_PER_SALT = 100
 #: Most bytes of digests that are broadcast to pick the hits; more are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 
