@@ -173,6 +173,19 @@ def with_locator(docs: DataFrame, name: str, file: str = "file", row: str = "row
     return located(docs, name).select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, members: str, hot: int = 500, most_hot: int = 100_000) -> DataFrame:
+    """Joins each row with its group's one row in ``groups``, a written table whose column ``members`` counts the group's rows.
+
+    Groups of more than ``hot`` rows (more, where there would be over ``most_hot`` of them, so their keys can be
+    broadcast) are salted: their rows are dealt out and the group's row is repeated."""
+    most = max(hot, (groups.agg(F.sum(members)).first()[0] or 0) // most_hot)
+    large = F.broadcast(groups.where(F.col(members) > most).select(key, F.ceil(F.col(members) / most).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = rows.join(large, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), salts).cast("int")).drop("__salts")
+    repeated = groups.join(large, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts", members)
+    return dealt.join(repeated, [key, "__salt"]).drop("__salt")
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import cache_cleared_by, few_records, finished, pack, partitions, remove_table, tidy, unpack, with_locator, written
+from seqloom.llm.common import cache_cleared_by, few_records, finished, join_groups, pack, partitions, remove_table, tidy, unpack, with_locator, written
 from seqloom.llm.components import merge_components
 
 WORDS, PERCENT = 5, 80
@@ -316,15 +316,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     least = every.where("n > 0").groupBy("digest").agg(F.min(F.array_min("ids")).alias("least"))
     known = sets.select("digest", "did").join(comps, "did")
-    of_comp = known.join(least, "digest").groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_set = known.join(of_comp, "comp").select("digest", "component_id")
+    of_comp = written(known.join(least, "digest").groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "ngram-components")
+    of_set = join_groups(known.select("comp", "digest"), of_comp, "comp", "members").select("digest", "component_id")
     classes = written(least.join(of_set, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id")), "ngram-classes")
     # A digest has at most one row per block here, its documents' ids in an array.
     in_class = every.where("n > 0").join(classes, "digest").select("ids", "n", "component_id")
     rows = in_class.unionByName(every.where("n = 0").select("ids", "n", F.lit(None).cast("long").alias("component_id")))
     told = rows.select(F.explode("ids").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     told = told.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col(id_col)).otherwise(F.col("component_id")))
-    return finished(told, "ngram-result", every, sets, comps, classes)
+    return finished(told, "ngram-result", every, sets, comps, of_comp, classes)
 
 
 def _lists(prefixed: DataFrame, hot: int) -> DataFrame:
