@@ -3,19 +3,22 @@
 Vectors are lifted by one coordinate, sqrt(M^2 - |v|^2) with M the largest norm, so
 that the largest inner product is the smallest distance.  Pivots come from a bounded
 sample; every vector is indexed by its nearest pivot and its distance to it.  A cell
-of the index is a pivot, and a salt where a pivot has more than ``CELL`` vectors; within a
+of the index is a ring: a pivot's vectors are cut by distance so that about ``CELL`` fall into each, and only a
+ring whose vectors are all as far away (copies of one vector) is cut by a hash.  Within a
 cell vectors are sorted by distance and cut into annuli.  A query first searches its
-own cell, which gives it a k-th score.  It then visits the cells whose annuli can
+own cell, which gives it a k-th score.  It then visits the cells whose rings can
 still hold a better one: by the triangle inequality a vector is no nearer to the query
 than the difference of their distances to the pivot.  Within a cell the annuli are
 expanded from the query's own distance and left once that bound is beyond the k-th.
 
-Cells and query blocks are bounded, so a task never holds more than one of each.
+Queries are sent to cells.  A task holds one cell and streams its queries past it, block by
+block; only a cell that over ``CROWD`` queries visit is copied, once for each so many.  The driver holds the
+pivots and two numbers per cell.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components
 take no part; shorter vectors count as padded with zeros; a null id is no query and
 no candidate; equal ids are candidates of their own; fewer than k candidates are all
-returned; an empty table gives no rows.
+returned; an empty table gives no rows; vectors of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -28,14 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.llm.common import written
+from seqloom.llm.common import few_records, finished, remove_table, tidy, written
 
 K = 5
-#: Vectors in a cell and queries in a block, about.
-CELL, BLOCK = 8192, 2048
+#: Vectors in a cell, about, queries searched at once, and queries from which on a cell is copied.
+CELL, BLOCK, CROWD = 8192, 2048, 65_536
 ANNULUS = 512
-#: Rows that pivots are chosen from, and most pivots.
-SAMPLE, PIVOTS = 4096, 256
+#: Rows that pivots are chosen from, and most pivots: their distances are a matrix on the driver.
+SAMPLE, PIVOTS = 16_384, 2048
+#: Places at which a pivot's distances may be cut.
+CUTS = 1024
+#: Bytes of vectors between JVM and Python at once.
+BATCH_BYTES = 8 << 20
 
 
 def as_matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -53,7 +60,7 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """Centres after a few rounds of k-means from evenly taken rows."""
     centres = sample[np.linspace(0, len(sample) - 1, n).astype(int)].copy()
     for _ in range(4):
-        near = distances(sample, centres).argmin(1)
+        near = np.concatenate([distances(part, centres).argmin(1) for part in np.array_split(sample, -(-len(sample) // 2048))])
         for k in range(n):
             if (near == k).any():
                 centres[k] = sample[near == k].mean(0)
@@ -101,30 +108,89 @@ class Best:
 FOUND = "query_id long, query_row long, vec_id long, row long, score long"
 
 
-def search_cell(vectors: pd.DataFrame, queries: pd.DataFrame, width: int, top: float, k: int) -> pd.DataFrame:
-    """The best of one cell for a block of queries."""
-    if not len(vectors) or not len(queries):
-        return Best(np.zeros(0), np.zeros(0), k).frame()
-    vectors = vectors.sort_values(["dist", "vec_id"])
-    m, q = as_matrix(vectors["v"], width), as_matrix(queries["v"], width)
-    ids, rows, dist, to_pivot = (x.to_numpy() for x in (vectors["vec_id"], vectors["row"], vectors["dist"], queries["to_pivot"]))
-    best = Best(queries["vec_id"].to_numpy(), queries["row"].to_numpy(), k)
-    squares, floor = (q * q).sum(1) + top, queries["floor"].to_numpy(dtype=float)
-    starts = np.arange(0, len(m), ANNULUS)
-    lo, hi = dist[starts], dist[np.minimum(starts + ANNULUS, len(m)) - 1]
-    gap = np.maximum(np.maximum(lo - to_pivot[:, None], to_pivot[:, None] - hi), 0)
-    for a in np.argsort(gap.mean(0), kind="stable"):
-        known = np.array([np.nan if (x := best.least(i)) is None else x for i in range(len(q))], float)
-        least = np.fmax(known, floor)
-        reach = np.where(np.isnan(least), np.inf, np.sqrt(np.maximum(squares - 2 * np.nan_to_num(least), 0)))
-        which = np.flatnonzero(gap[:, a] <= reach + 1e-6 * (1 + np.sqrt(top)))
-        if len(which):
-            part = slice(starts[a], starts[a] + ANNULUS)
-            best.add(which, products(q[which], m[part]), ids[part], rows[part])
-    return best.frame()
-
-
-def top_k(vectors: DataFrame, k: int = K, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+class Cell:
+    """A cell's vectors by their distance to the pivot, in annuli."""
+
+    def __init__(self, vectors: pd.DataFrame, width: int):
+        vectors = vectors.sort_values(["at", "vec_id"])
+        self.m, self.ids, self.rows, dist = as_matrix(vectors["v"], width), vectors["vec_id"].to_numpy(), vectors["row"].to_numpy(), vectors["at"].to_numpy()
+        self.starts = np.arange(0, len(self.m), ANNULUS)
+        self.lo, self.hi = dist[self.starts], dist[np.minimum(self.starts + ANNULUS, len(self.m)) - 1]
+
+    def search(self, queries: pd.DataFrame, width: int, top: float, k: int) -> pd.DataFrame:
+        """The best of the cell for a block of queries."""
+        q, to_pivot, floor = as_matrix(queries["v"], width), queries["at"].to_numpy(), queries["floor"].to_numpy(dtype=float)
+        best = Best(queries["vec_id"].to_numpy(), queries["row"].to_numpy(), k)
+        squares = (q * q).sum(1) + top
+        gap = np.maximum(np.maximum(self.lo - to_pivot[:, None], to_pivot[:, None] - self.hi), 0)
+        for a in np.argsort(gap.mean(0), kind="stable"):
+            known = np.array([np.nan if (x := best.least(i)) is None else x for i in range(len(q))], float)
+            which = np.flatnonzero(gap[:, a] <= reach(squares, np.fmax(known, floor), top))
+            if len(which):
+                part = slice(self.starts[a], self.starts[a] + ANNULUS)
+                best.add(which, products(q[which], self.m[part]), self.ids[part], self.rows[part])
+        return best.frame()
+
+
+def reach(squares: np.ndarray, least: np.ndarray, top: float) -> np.ndarray:
+    """How far from a query, in the lifted space, a vector of at least the score ``least`` can be."""
+    return np.where(np.isnan(least), np.inf, np.sqrt(np.maximum(squares - 2 * np.nan_to_num(least), 0))) + 1e-6 * (1 + np.sqrt(top))
+
+
+def _searcher(width: int, top: float, k: int, block: int):
+    """Reads rows sorted by cell, its vectors before its queries."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, cell = None, [], None
+        for batch in batches:
+            for now, group in batch.groupby(["cell", "copy"], sort=False):
+                if now != key:
+                    key, held, cell = now, [], None
+                vectors, queries = group[group["kind"] == 0], group[group["kind"] == 1]
+                if len(vectors):
+                    held.append(vectors)
+                if len(queries) and held:
+                    cell = cell or Cell(pd.concat(held), width)
+                    for at in range(0, len(queries), block):
+                        yield cell.search(queries.iloc[at : at + block], width, top, k)
+
+    return search
+
+
+class Cells:
+    """The directory of the index: of each cell its pivot and its nearest and farthest distance."""
+
+    def __init__(self, pivots: np.ndarray, stats: list, cell: int):
+        self.pivots, self.cuts, self.first = pivots, [np.zeros(0)] * len(pivots), np.zeros(len(pivots), np.int64)
+        at = 0
+        for r in sorted(stats, key=lambda r: r["pivot"]):
+            rings = min(CUTS, -(-r["n"] // cell))
+            edges = np.array(r["cuts"])[np.linspace(0, len(r["cuts"]) - 1, rings + 1).round().astype(int)[1:-1]]
+            self.cuts[r["pivot"]], self.first[r["pivot"]] = np.unique(edges), at
+            at += len(self.cuts[r["pivot"]]) + 1
+        self.rings = at
+
+    def ring(self, pivot: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        out = np.empty(len(pivot), np.int64)
+        for p in np.unique(pivot):
+            mine = pivot == p
+            out[mine] = self.first[p] + np.searchsorted(self.cuts[p], dist[mine], side="right")
+        return out
+
+    def fill(self, stats: list, cell: int) -> None:
+        """Takes in what each ring holds; rings with far too many vectors are several cells."""
+        by_ring = {r["ring"]: r for r in stats}
+        self.salts = np.array([max(1, -(-by_ring[k]["n"] // (2 * cell))) if k in by_ring else 1 for k in range(self.rings)])
+        self.base = np.cumsum(self.salts) - self.salts
+        told = [by_ring.get(k, {"pivot": 0, "lo": np.inf, "hi": -np.inf}) for k in range(self.rings)]
+        self.pivot, self.lo, self.hi = (np.repeat([t[c] for t in told], self.salts) for c in ("pivot", "lo", "hi"))
+
+    def place(self, ring: np.ndarray, row: np.ndarray) -> np.ndarray:
+        mixed = (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.base[ring] + (mixed % self.salts[ring].astype(np.uint64)).astype(np.int64)
+
+
+def top_k(vectors: DataFrame, k: int = K, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, cell: int = CELL, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of every query: the rows whose id is divisible by ``query_every``."""
     spark = vectors.sparkSession
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
@@ -137,7 +203,8 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = 50, id_col: str = "
     n, width, top = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(square)).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sample = as_matrix(pd.Series([r["v"] for r in rows.orderBy(F.xxhash64("vec_id", "row")).limit(SAMPLE).select("v").collect()]), width)
+    sampled = rows.orderBy(F.xxhash64("vec_id", "row")).limit(min(SAMPLE, max(1, (64 << 20) // (8 * width)))).select("v").collect()
+    sample = as_matrix(pd.Series([r["v"] for r in sampled]), width)
     pivots = choose_pivots(lifted(sample, top), max(1, min(PIVOTS, len(sample), round((n / 8) ** 0.5))))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,51 +213,69 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = 50, id_col: str = "
                 d = distances(lifted(as_matrix(batch["v"], width), top), pivots)
                 yield batch.assign(pivot=d.argmin(1).astype(np.int32), dist=d.min(1))
 
-    index = rows.mapInPandas(assign, "vec_id long, v array<double>, row long, pivot int, dist double")
-    index = written(index, "topk-index")
-    ranges = {r["pivot"]: (r["lo"], r["hi"], -(-r["n"] // cell)) for r in index.groupBy("pivot").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
-    salts = F.create_map(*[F.lit(x) for p, (_, _, s) in ranges.items() for x in (p, s)])
-    index = index.withColumn("salt", F.pmod(F.xxhash64("row"), F.element_at(salts, F.col("pivot"))).cast("int"))
-    queries = index.where(F.pmod(F.col("vec_id"), F.lit(query_every)) == 0)
-    blocks = max(1, -(-queries.count() // block))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
-
-    visits = "vec_id long, v array<double>, row long, pivot int, salt int, block int, to_pivot double, floor double"
-    first = queries.select("vec_id", "v", "row", "pivot", "salt", "block", F.col("dist").alias("to_pivot"), F.lit(None).cast("double").alias("floor"))
-
-    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """All other cells whose ring of distances can hold something at least as good as the k-th so far."""
-        for batch in batches:
-            if not len(batch):
-                continue
-            q = as_matrix(batch["v"], width)
-            d = distances(np.concatenate([q, np.zeros((len(q), 1))], 1), pivots)
-            least = batch["floor"].to_numpy(dtype=float)
-            reach = np.where(np.isnan(least), np.inf, np.sqrt(np.maximum((q * q).sum(1) + top - 2 * np.nan_to_num(least), 0))) + 1e-6 * (1 + top**0.5)
-            for p, (lo, hi, n_salts) in ranges.items():
-                near = np.maximum(np.maximum(lo - d[:, p], d[:, p] - hi), 0) <= reach
-                for s in range(n_salts):
-                    yield batch[near & ~((batch["pivot"] == p) & (batch["salt"] == s)).to_numpy()].assign(pivot=np.int32(p), salt=np.int32(s), to_pivot=d[near & ~((batch["pivot"] == p) & (batch["salt"] == s)).to_numpy(), p])
-
-    def searched(asked: DataFrame) -> DataFrame:
-        held = index if blocks == 1 else index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        keys = ["pivot", "salt"] + ["block"] * (blocks > 1)
-        return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(lambda v, q: search_cell(v, q, width, top, k), FOUND)
-
-    # A query's own lifted coordinate is 0, so its distance to its cell's pivot is not the indexed one.
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                q = as_matrix(batch["v"], width)
-                d = distances(np.concatenate([q, np.zeros((len(q), 1))], 1), pivots)
-                yield batch.assign(to_pivot=d[np.arange(len(q)), batch["pivot"]])
-
-    seeds = written(searched(first.mapInPandas(own, visits)), "topk-seeds")
-    kth = seeds.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("kth"))
-    asked = first.drop("floor").join(kth, "row", "left").select("vec_id", "v", "row", "pivot", "salt", "block", "to_pivot", F.col("kth").alias("floor")).mapInPandas(further, visits)
-    both = seeds.unionByName(searched(written(asked, "topk-asked")))
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with few_records(spark, max(16, BATCH_BYTES // (8 * width))):
+        indexed = written(rows.mapInPandas(tidy(assign), "vec_id long, v array<double>, row long, pivot int, dist double"), "topk-index")
+        remove_table(rows)
+        cuts = F.percentile_approx("dist", [i / CUTS for i in range(CUTS + 1)], 4 * CUTS)
+        cells = Cells(pivots, indexed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts")).collect(), cell)
+
+        def ring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(ring=cells.ring(batch["pivot"].to_numpy(), batch["dist"].to_numpy()))
+
+        ringed = written(indexed.mapInPandas(ring, "vec_id long, v array<double>, row long, pivot int, dist double, ring long"), "topk-rings")
+        remove_table(indexed)
+        cells.fill(ringed.groupBy("ring").agg(F.first("pivot").alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect(), cell)
+        shape = "cell long, kind int, vec_id long, v array<double>, row long, at double, floor double"
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(cell=cells.place(batch["ring"].to_numpy(), batch["row"].to_numpy()), kind=0, at=batch["dist"], floor=np.nan)[["cell", "kind", "vec_id", "v", "row", "at", "floor"]]
+
+        def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Each query in its own cell.  Its lifted coordinate is 0, so its distance to the pivot is not the indexed one."""
+            for batch in batches:
+                if len(batch):
+                    d = distances(np.pad(as_matrix(batch["v"], width), ((0, 0), (0, 1))), pivots)
+                    at = cells.place(batch["ring"].to_numpy(), batch["row"].to_numpy())
+                    yield batch.assign(cell=at, kind=1, at=d[np.arange(len(batch)), batch["pivot"]], floor=np.nan)[["cell", "kind", "vec_id", "v", "row", "at", "floor"]]
+
+        def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Each query in all other cells whose ring of distances can hold something at least as good as the k-th so far."""
+            for batch in batches:
+                for some in np.array_split(np.arange(len(batch)), max(1, len(batch) * len(cells.pivot) >> 21)):
+                    if not len(some):
+                        continue
+                    part = batch.iloc[some]
+                    q = as_matrix(part["v"], width)
+                    d = distances(np.pad(q, ((0, 0), (0, 1))), pivots)[:, cells.pivot]
+                    near = np.maximum(np.maximum(cells.lo - d, d - cells.hi), 0) <= reach((q * q).sum(1) + top, part["floor"].to_numpy(dtype=float), top)[:, None]
+                    near[np.arange(len(part)), part["cell"]] = False
+                    which, cell_ = np.nonzero(near)
+                    yield part.iloc[which].assign(cell=cell_, at=d[which, cell_])
+
+        index = ringed.mapInPandas(place, shape)
+
+        def searched(asked: DataFrame) -> DataFrame:
+            visits = asked.groupBy("cell").count().where(F.col("count") > crowd).collect()  # one row for each so many visits at most
+            copies = F.lit(1)
+            if visits:
+                copies = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in visits for x in (r["cell"], -(-r["count"] // crowd))]), F.col("cell")), copies)
+            held = index.withColumn("copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
+            dealt = asked.withColumn("copy", F.pmod(F.xxhash64("row"), copies).cast("int"))
+            both = held.unionByName(dealt).repartition("cell", "copy").sortWithinPartitions("cell", "copy", "kind")
+            return both.mapInPandas(tidy(_searcher(width, top, k, block)), FOUND)
+
+        queries = ringed.where(F.pmod(F.col("vec_id"), F.lit(query_every)) == 0)
+        first = written(queries.mapInPandas(own, shape), "topk-first")
+        seeds = written(searched(first), "topk-seeds")
+        kth = seeds.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("kth"))
+        known = first.drop("floor").join(kth, "row", "left").select("cell", "kind", "vec_id", "v", "row", "at", F.col("kth").alias("floor"))
+        asked = written(known.mapInPandas(tidy(further), shape), "topk-asked")
+        both = seeds.unionByName(searched(asked))
+        rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
+        told = both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return finished(told, "topk-result", ringed, first, seeds, asked)
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,12 +147,12 @@ def vectors(kind):
     return rows + odd
 
 
-@pytest.mark.parametrize(("kind", "cell", "block"), [("spread", 8192, 2048), ("clusters", 20, 3)])
-def test_top_k(spark, kind, cell, block):
+@pytest.mark.parametrize(("kind", "cell", "block", "crowd"), [("spread", 8192, 2048, 65_536), ("clusters", 20, 3, 2)])
+def test_top_k(spark, kind, cell, block, crowd):
     rows = vectors(kind)
     frame = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, v string")
     got = defaultdict(list)
-    for r in T.top_k(frame, cell=cell, block=block).collect():
+    for r in T.top_k(frame, cell=cell, block=block, crowd=crowd).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     valid = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = defaultdict(list)
@@ -169,6 +169,14 @@ def test_top_k_few(spark):
     assert T.top_k(frame.limit(0)).isEmpty() and T.top_k(frame.limit(1)).isEmpty()
 
 
+def test_rings_are_cut_by_distance():
+    stats = [{"pivot": 0, "n": 100, "cuts": list(np.linspace(0, 10, T.CUTS + 1))}, {"pivot": 1, "n": 7, "cuts": [3.0] * (T.CUTS + 1)}]
+    cells = T.Cells(np.zeros((2, 3)), stats, 25)
+    assert cells.rings == 5 and cells.ring(np.array([0, 0, 0, 1]), np.array([0.1, 5.1, 9.9, 3.0])).tolist() == [0, 2, 3, 4]
+    cells.fill([{"ring": 4, "pivot": 1, "n": 160, "lo": 3.0, "hi": 3.0}], 25)
+    assert cells.salts.tolist() == [1, 1, 1, 1, 4] and set(cells.place(np.full(99, 4), np.arange(99))) == {4, 5, 6, 7}
+
+
 def test_pipeline(spark, docs, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     base = "the quick brown fox jumps over the lazy dog and runs far away from every other animal in sight today "
