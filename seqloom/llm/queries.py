@@ -27,6 +27,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.SQL,
     "op4_mixing": mixing.SQL,
     "op5_secret_scan": secret_scan.SQL,
+    "op6_suffix_dedup": suffix_dedup.SQL,
     "op7_ngram_join": ngram_join.SQL,
     "op9_top_k": topk.SQL,
 }

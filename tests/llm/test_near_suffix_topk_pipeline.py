@@ -120,6 +120,14 @@ def test_suffix(docs, anchor):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_suffix_longer_than_243_bytes(docs):
+    """A level more; a level's needs are the names below it and the ranks above it."""
+    rows = [(k, t and t * (3 if (k or 0) % 7 == 0 else 1), None) for k, t, _ in suffix_rows() if t is None or len(t) < 5000]
+    got = X.suffix_dedup(docs(*rows), length=300, anchor=190).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_suffix(rows, 300)
+    assert X.Stages(200).needs == {"N3": [], "N4": ["N3"], "N5": ["N3", "N4"], "R4": ["N3", "N4", "N5"], "R3": ["N3", "N4", "R4"], "R2": ["N3", "R3"], "R1": ["R2"], "R0": ["R1"]}
+
+
 def test_suffix_empty(docs):
     assert X.suffix_dedup(docs((1, "a", None)).limit(0)).isEmpty()
     assert X.suffix_dedup(docs((1, "a", None), (2, None, None))).count() == 2
