@@ -56,6 +56,8 @@ ROUNDS = 5
 BLOCK_TOKENS = 250_000
 #: Members from which on a token's list is salted, and most lists of so many or more.
 HOT, MOST_HOT = 500, 100_000
+#: Bytes in a row that a block sends to itself, at least, and most such rows, which travel apart so that tasks get even shares.
+PIECE, PIECES = 16 << 10, 4096
 #: Pairs of sets that a worker is handed at once.
 PAIRS = 128
 #: Identifiers that are broadcast at most, to pick the documents that are left; more are joined by shuffle.
@@ -109,7 +111,7 @@ SENT = "part long, block long, payload binary, times binary"
 
 
 def _send(head: list[bytes], sets: list[np.ndarray], block: int, bits: int, keep: bool = False) -> pd.DataFrame:
-    """A row for the block itself, with what it needs to read the answers (also the tokens, if it is to ``keep`` them), and a
+    """Rows for the block itself, with what it needs to read the answers (also the tokens, if it is to ``keep`` them), and a
     row per part of the token space (the top bits): the next 40 bits of each distinct token there and how many of the sets hold it."""
     sizes = np.array([len(s) for s in sets], np.uint32)
     every = np.concatenate(sets)
@@ -118,7 +120,9 @@ def _send(head: list[bytes], sets: list[np.ndarray], block: int, bits: int, keep
     every = every[order]
     first = np.flatnonzero(np.append(np.ones(min(1, len(every)), bool), every[1:] != every[:-1]))
     tokens, times = every[first], np.diff(np.append(first, len(every))).astype(np.uint32)
-    rows = [{"part": -1 - block, "block": block, "payload": pack(*head, sizes.tobytes(), owner.tobytes(), times.tobytes(), tokens.tobytes() if keep else b""), "times": b""}]
+    own = pack(*head, sizes.tobytes(), owner.tobytes(), times.tobytes(), tokens.tobytes() if keep else b"")
+    piece = max(PIECE, -(-len(own) // PIECES))
+    rows = [{"part": -1 - block * PIECES - j, "block": block, "payload": own[at : at + piece], "times": b""} for j, at in enumerate(range(0, len(own), piece))]
     if len(tokens):
         part = (tokens >> np.uint64(64 - bits)).astype(np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
@@ -136,7 +140,7 @@ def _wide(payload: bytes) -> np.ndarray:
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Of a part of the token space, for each token sent: 0 if one set holds it, else 1 + the binary logarithm of how many do."""
-    if rows["part"].iloc[0] < 0:  # a block's own row comes back as it is
+    if rows["part"].iloc[0] < 0:  # blocks' own rows come back as they are
         return rows[["block", "part", "payload"]]
     parts = [_wide(p) for p in rows["payload"]]
     tokens, times = np.concatenate(parts), np.concatenate([np.frombuffer(t, np.uint32) for t in rows["times"]]).astype(np.int64)
@@ -156,7 +160,7 @@ def _exchange(sent: DataFrame) -> DataFrame:
 def _answered(rows: pd.DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Back at a block: what it kept for itself, the sizes of its sets, and set, code and (if kept) token of each token of a set."""
     own = rows["part"] < 0
-    *head, sizes, owner, times, tokens = unpack(rows["payload"][own].iloc[0])
+    *head, sizes, owner, times, tokens = unpack(b"".join(rows[own].sort_values("part", ascending=False)["payload"]))
     sizes, times = np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(times, np.uint32)
     code = np.repeat(np.frombuffer(b"".join(rows[~own].sort_values("part")["payload"]), np.uint8), times)
     return head, sizes, np.frombuffer(owner, np.uint16 if len(sizes) <= 1 << 16 else np.uint32).astype(np.int64), code, np.repeat(np.frombuffer(tokens, np.uint64), times) if tokens else np.zeros(0, np.uint64)
