@@ -13,6 +13,7 @@ from seqloom.plans import queries as Q
 
 HEADLINE = [
     "overlap_join", "chain_radius", "islands", "site_copies", "site_clusters", "kmer_counts", "absent_count", "guide_filter", "triplet_filter", "offsites_bag",
+    "kmer_symdiff", "neighbors_set", "db_annotate18", "db_best_n_by_chrom",
 ]
 
 

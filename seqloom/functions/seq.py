@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,6 +87,12 @@ def motif_regex(pattern: str) -> str:
         raise ValueError(f"no motif letter: {e}") from None
 
 
+def literals(pattern: str) -> tuple[int, str]:
+    """The longest run of single bases in a motif and its place; an empty one if it has none."""
+    runs = [(m.start(), m[0]) for m in re.finditer("[ACGT]+", pattern.upper())]
+    return max(runs, key=lambda r: len(r[1]), default=(0, ""))
+
+
 def reverse_motif(pattern: str) -> str:
     """The motif that the other strand shows where this one matches."""
     other = {frozenset(v): k for k, v in AMBIGUITY.items()}
@@ -102,5 +110,5 @@ def register(spark) -> None:
     """Makes the string functions callable from SQL as temporary functions that stay expressions."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION revcomp(s STRING) RETURNS STRING RETURN translate(reverse(s), 'ACGTacgtUu', 'TGCAtgcaAa')")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION hamming2bit(a BIGINT, b BIGINT) RETURNS INT RETURN bit_count((shiftrightunsigned(a ^ b, 1) | (a ^ b)) & {PAIRS})")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kmer_key(s STRING) RETURNS BIGINT RETURN aggregate(sequence(length(s), 1, -1), 7L, (a, i) -> shiftleft(a, 3) | cast(locate(substring(s, i, 1), 'ACTG') - 1 AS BIGINT))")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kmer_code(s STRING) RETURNS BIGINT RETURN aggregate(sequence(1, length(s)), 0L, (a, i) -> shiftleft(a, 2) | cast(locate(substring(s, i, 1), 'ACGT') - 1 AS BIGINT))")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kmer_key(s STRING) RETURNS BIGINT RETURN CASE WHEN s RLIKE '^[ACGT]{1,20}$' THEN aggregate(sequence(length(s), 1, -1), 7L, (a, i) -> shiftleft(a, 3) | cast(locate(substring(s, i, 1), 'ACTG') - 1 AS BIGINT)) END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kmer_code(s STRING) RETURNS BIGINT RETURN CASE WHEN s RLIKE '^[ACGT]{1,31}$' THEN aggregate(sequence(1, length(s)), 0L, (a, i) -> shiftleft(a, 2) | cast(locate(substring(s, i, 1), 'ACGT') - 1 AS BIGINT)) END")

@@ -16,13 +16,17 @@ CTT
 """.split()
 
 
-def guide_quality(kmer: Column, copies: Column, min_copies: int = 1, max_copies: int = 0, max_t: int = 4, min_gc: float = 0.4, max_gc: float = 0.6, starts_with: str = "", max_tandem_t: int | None = None) -> Column:
-    """No lower case, few T in all (and in a row, if asked for), GC within bounds, copies in [min, max); 0 is no maximum."""
-    gc = F.length(F.regexp_replace(kmer, "[^GC]", "")) / F.length(kmer)
-    keep = ~kmer.rlike("[a-z]") & (copies >= min_copies) & (F.length(F.regexp_replace(kmer, "[^T]", "")) <= max_t) & gc.between(min_gc, max_gc) & kmer.startswith(starts_with)
+def guide_quality(kmer: Column, copies: Column, min_copies: int = 1, max_copies: int = 0, max_t: int = 4, min_gc: float = 0.4, max_gc: float = 0.6, starts_with: str = "", max_tandem_t: int | None = None, allow_lowercase: bool = False) -> Column:
+    """Few T in all (and in a row, if asked for), GC within bounds, copies from min to max, both included (0 is no maximum).
+    Bases are counted without regard to case; k-mers with lower-case bases go unless allowed."""
+    upper = F.upper(kmer)
+    gc = F.length(F.regexp_replace(upper, "[^GC]", "")) / F.length(kmer)
+    keep = (copies >= min_copies) & (F.length(F.regexp_replace(upper, "[^T]", "")) <= max_t) & gc.between(min_gc, max_gc) & upper.startswith(starts_with.upper())
+    if not allow_lowercase:
+        keep &= ~kmer.rlike("[acgt]")
     if max_copies:
-        keep &= copies < max_copies
-    return keep & ~kmer.contains("T" * (max_tandem_t + 1)) if max_tandem_t is not None else keep
+        keep &= copies <= max_copies
+    return keep & ~upper.contains("T" * (max_tandem_t + 1)) if max_tandem_t is not None else keep
 
 
 def triplets_only(seq: Column) -> Column:
@@ -40,7 +44,3 @@ def copies_match(copies: Column, expression: str) -> Column:
         op, n = found[1], int(found[2])
         keep &= {"==": copies == n, "!=": copies != n, "<=": copies <= n, ">=": copies >= n, "<": copies < n, ">": copies > n}[op]
     return keep
-
-
-def copies_sql(column: str, expression: str) -> str:
-    return " AND ".join(f"{column} {re.sub('==', '=', p)}" for p in expression.split("&&"))

@@ -2,77 +2,102 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.sources.shared import written
+
 
-def _bins(lo: Column, hi: Column, size: int) -> Column:
+def _bins(lo: Column, hi: Column, size: Column | int) -> Column:
     return F.explode(F.sequence(F.floor(lo / size), F.floor(F.greatest(lo, hi) / size)))
 
 
+def _holding(a: DataFrame, points: DataFrame, at: str, size: int = 128) -> DataFrame:
+    """Pairs of an interval (chrom, s, e) of ``a`` and a row of ``points`` (chrom_b) whose ``at`` lies in the closed interval.
+
+    Intervals are sorted into classes by length, each with bins as wide as its intervals may be, so that one is
+    written out twice at most, however long it is; a point is written out for each class that occurs.  A pair
+    meets in one bin only."""
+    width = F.greatest(F.col("e") - F.col("s") + 1, F.lit(1))
+    classed = a.where("s <= e").withColumn("class", F.ceil(F.greatest(F.log(width / size) / F.log(F.lit(4.0)), F.lit(0.0)) - 1e-9).cast("int"))
+    classes = sorted(r[0] for r in classed.select("class").distinct().collect())
+    wide = lambda c: F.pow(F.lit(4.0), c) * size
+    left = classed.select("*", _bins(F.col("s"), F.col("e"), wide(F.col("class"))).alias("bin"))
+    right = points.select("*", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>")).alias("class_b")).withColumn("bin_b", F.floor(F.col(at) / wide(F.col("class_b"))))
+    on = (F.col("chrom") == F.col("chrom_b")) & (F.col("class") == F.col("class_b")) & (F.col("bin") == F.col("bin_b")) & F.col(at).between(F.col("s"), F.col("e"))
+    return left.join(right, on).drop("class", "class_b", "bin", "bin_b")
+
+
 def overlap_join(a: DataFrame, b: DataFrame, mode: str = "endpoint", size: int = 128) -> DataFrame:
     """Pairs of intervals on one chromosome, columns of a as they are and of b with ``_b`` added.
 
     ``endpoint``: the start or the end of b lies in the closed interval a (so b holding all of a is no
-    pair); ``overlap``: half-open intervals share a base.  a is written out by bins of ``size`` and
-    joined by equality; a pair is kept in one bin only, so nothing is deduplicated."""
+    pair); ``overlap``: half-open intervals share a base.  Either is a matter of points in intervals, joined by equality
+    of bins; what the second join finds the first can't have found, so nothing is deduplicated."""
     right = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
+    names = [*a.columns, *right.columns]
     if mode == "overlap":
-        left = a.where("s < e").select("*", _bins(F.col("s"), F.col("e") - 1, size).alias("bin"))
-        right = right.where("s_b < e_b").select("*", _bins(F.col("s_b"), F.col("e_b") - 1, size).alias("bin_b"))
-        first = F.floor(F.greatest("s", "s_b") / size) == F.col("bin")
-        hit = (F.col("s") < F.col("e_b")) & (F.col("s_b") < F.col("e")) & first
-    else:
-        left = a.select("*", _bins(F.col("s"), F.col("e"), size).alias("bin"))
-        ends = F.array(F.struct(F.lit(0).alias("which"), F.col("s_b").alias("at")), F.struct(F.lit(1).alias("which"), F.col("e_b").alias("at")))
-        right = right.select("*", F.explode(ends).alias("p")).select("*", F.floor(F.col("p.at") / size).alias("bin_b"))
-        inside = F.col("p.at").between(F.col("s"), F.col("e"))
-        # The end counts only where the start doesn't.
-        hit = inside & ((F.col("p.which") == 0) | ~F.col("s_b").between(F.col("s"), F.col("e")))
-    found = left.join(right, (F.col("chrom") == F.col("chrom_b")) & (F.col("bin") == F.col("bin_b")) & hit)
-    return found.select(*a.columns, *[f"{c}_b" for c in b.columns])
+        left, right = a.where("s < e"), right.where("s_b < e_b")
+        starts = _holding(left.withColumn("e", F.col("e") - 1), right, "s_b", size).withColumn("e", F.col("e") + 1)
+        swapped = right.select(F.col("chrom_b").alias("chrom"), F.col("s_b").alias("s"), (F.col("e_b") - 1).alias("e"), F.struct(*right.columns).alias("of_b"))
+        points = left.select(F.col("chrom").alias("chrom_b"), F.col("s").alias("at_a"), F.struct(*a.columns).alias("of_a"))
+        inner = _holding(swapped, points, "at_a", size).where("at_a > s").select("of_a.*", "of_b.*")
+        return starts.select(*names).unionByName(inner.select(*names))
+    ends = F.array(F.struct(F.lit(0).alias("which"), F.col("s_b").alias("at")), F.struct(F.lit(1).alias("which"), F.col("e_b").alias("at")))
+    points = right.select("*", F.explode(ends).alias("p")).select("*", F.col("p.at").alias("at_b"))
+    found = _holding(a, points, "at_b", size)
+    # The end counts only where the start doesn't.
+    return found.where((F.col("p.which") == 0) | ~F.col("s_b").between(F.col("s"), F.col("e"))).select(*names)
 
 
 def chains(items: DataFrame, lo: int, hi: int, least: int, most: int, overlap: bool = False, size: int | None = None) -> DataFrame:
     """Maximal chains of ``least`` to ``most`` distinct intervals (chrom, s, e, name) whose gaps lie in [lo, hi].
 
-    The next one starts beyond the end of the last one or, if ``overlap``, only comes later in order.  Grown by
-    ``most`` - 1 equality joins on bins of the reach; a chain is maximal if it has ``most`` members or no next one."""
+    The next one starts beyond the end of the last one or, if ``overlap``, only comes later in order; names then carry ``/strand``, if
+    there is one.  A chain ends where its last interval does.  Which interval can follow which is found by one equality join on
+    bins of the reach and written down; chains grow along these links by equality and are maximal if they have ``most`` members or their last one has no link."""
     size = size or max(1, hi - lo + 1)
-    rows = items.select("chrom", "s", "e", "name").distinct()
-    nexts = rows.select(F.col("chrom").alias("c"), F.struct("s", "e", "name").alias("x"), F.floor(F.col("s") / size).alias("bin"))
-    paths = rows.select("chrom", "s", "e", F.struct("s", "e", "name").alias("last"), F.array(F.struct("s", "e", "name")).alias("blocks"))
-    done = None
+    name = F.concat("name", F.lit("/"), "strand") if overlap and "strand" in items.columns else F.col("name")
+    rows = items.select("chrom", "s", "e", name.alias("name")).distinct().select("chrom", F.struct("s", "e", "name").alias("x"))
+    reach = rows.select("*", _bins(F.col("x.e") + lo, F.col("x.e") + hi, size).alias("bin"))
+    nexts = rows.select(F.col("chrom").alias("c"), F.col("x").alias("y"), F.floor(F.col("x.s") / size).alias("b"))
+    after = F.col("y") > F.col("x") if overlap else F.col("y.s") > F.col("x.e")
+    links = reach.join(nexts, (F.col("chrom") == F.col("c")) & (F.col("bin") == F.col("b")) & (F.col("y.s") - F.col("x.e")).between(lo, hi) & after).select("chrom", "x", "y")
+    links = written(links, "chain-links")
+    last = links.select("chrom", F.col("x").alias("y")).distinct()
+    paths, done = rows.select("chrom", F.array("x").alias("blocks"), F.col("x").alias("y")), []
     for n in range(1, most + 1):
-        out = paths if n == most else None
-        if n < most:
-            reach = paths.select("*", _bins(F.col("last.e") + lo, F.col("last.e") + hi, size).alias("b"))
-            gap = F.col("x.s") - F.col("last.e")
-            after = F.col("x") > F.col("last") if overlap else F.col("x.s") > F.col("last.e")
-            on = (F.col("chrom") == F.col("c")) & (F.col("b") == F.col("bin")) & gap.between(lo, hi) & after
-            if n >= least:
-                keys = reach.join(nexts, on, "left_semi").select("chrom", "blocks").distinct()
-                out = paths.join(keys, ["chrom", "blocks"], "left_anti")
-            grown = reach.join(nexts, on).select("chrom", "s", F.greatest("e", "x.e").alias("e"), F.col("x").alias("last"), F.concat("blocks", F.array("x")).alias("blocks"))
-        if out is not None and n >= least:
-            out = out.select("chrom", "s", "e", F.size("blocks").cast("long").alias("n"), F.array_join(F.transform("blocks", lambda x: x["name"]), ":").alias("name"))
-            done = out if done is None else done.unionByName(out)
+        if n >= least:
+            done.append(paths if n == most else paths.join(last, ["chrom", "y"], "left_anti"))
         if n < most:
-            paths = grown
-    return done
+            follow = links.select("chrom", "x", F.col("y").alias("z"))
+            paths = paths.withColumnRenamed("y", "x").join(follow, ["chrom", "x"]).select("chrom", F.concat("blocks", F.array("z")).alias("blocks"), F.col("z").alias("y"))
+    rows = reduce(DataFrame.unionByName, [d.select("chrom", "blocks") for d in done])
+    return rows.select("chrom", F.col("blocks")[0]["s"].alias("s"), F.element_at("blocks", -1)["e"].alias("e"), F.size("blocks").cast("long").alias("n"), F.array_join(F.transform("blocks", lambda x: x["name"]), ":").alias("name"))
+
+
+def _runs(p: DataFrame, by: list[str], s: str, e: str) -> DataFrame:
+    """Joins adjacent runs (s to e, inclusive) within groups."""
+    turn = Window.partitionBy(*by).orderBy(s)
+    new = F.coalesce(F.lag(e).over(turn) != F.col(s) - 1, F.lit(True)).cast("int")
+    marked = p.withColumn("new", new).withColumn("run", F.sum("new").over(turn.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*by, "run").agg(F.min(s).alias("start0"), F.max(e).alias("end0")).drop("run")
 
 
-def islands(points: DataFrame) -> DataFrame:
+def islands(points: DataFrame, size: int = 1 << 16) -> DataFrame:
     """Runs of adjacent distinct places s of a chromosome: chrom, start0, end0 (inclusive), n.
 
-    A run starts where no place comes just before and ends where none comes just after; ranks of
-    starts and ends pair them, over bounds alone."""
-    p = points.select("chrom", "s").distinct()
-    by = Window.partitionBy("chrom").orderBy("s")
-    marked = p.withColumns({"first": F.coalesce(F.lag("s").over(by) != F.col("s") - 1, F.lit(True)), "last": F.coalesce(F.lead("s").over(by) != F.col("s") + 1, F.lit(True))})
-    ends = marked.where("first OR last").withColumn("end0", F.when(F.col("last"), F.col("s")).otherwise(F.lead("s").over(by)))
-    return ends.where("first").select("chrom", F.col("s").alias("start0"), "end0", (F.col("end0") - F.col("s") + 1).alias("n"))
+    Runs are made within ranges of ``size`` places, so no task sees a whole chromosome; then those that touch the edge of a range,
+    two a range at most, are joined."""
+    p = points.select("chrom", "s").distinct().withColumns({"range": F.floor(F.col("s") / size), "e": F.col("s")})
+    parts = _runs(p, ["chrom", "range"], "s", "e")
+    edge = (F.pmod("start0", F.lit(size)) == 0) | (F.pmod(F.col("end0") + 1, F.lit(size)) == 0)
+    joined = _runs(parts.where(edge).select("chrom", "start0", "end0"), ["chrom"], "start0", "end0")
+    rows = parts.where(~edge).select("chrom", "start0", "end0").unionByName(joined)
+    return rows.withColumn("n", F.col("end0") - F.col("start0") + 1)
 
 
 def legal_blocks(sizes: str = "block_sizes", starts: str = "block_starts") -> Column:

@@ -46,13 +46,22 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
 
 
 def absent(spark: SparkSession, present: DataFrame, k: int, prefix: str = "", motif: str = "") -> DataFrame:
-    """(code, kmer) of all k-mers that ``present`` lacks; a prefix bounds the codes and a motif filters them before the anti-join."""
+    """(code, kmer) of all k-mers that ``present`` lacks; a prefix bounds the codes.  Codes are compared, and only what is left is spelled."""
     lo = sum("ACGT".index(c) * 4 ** (k - 1 - i) for i, c in enumerate(prefix))
     space = spark.range(lo, lo + 4 ** (k - len(prefix))).select(F.col("id").alias("code"))
-    rows = space.withColumn("kmer", S.kmer_of_code(F.col("code"), k))
-    if motif:
-        rows = rows.where(F.col("kmer").rlike(S.motif_regex(motif)))
-    return rows.join(present.select("kmer"), "kmer", "left_anti").select("code", "kmer")
+    held = present.select(F.col("code") if "code" in present.columns else S.kmer_code(F.col("kmer")).alias("code"))
+    rows = space.join(held, "code", "left_anti").withColumn("kmer", S.kmer_of_code(F.col("code"), k))
+    return rows.where(F.col("kmer").rlike(S.motif_regex(motif))) if motif else rows
+
+
+def with_range(spark: SparkSession, codes: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(code) of a set with all codes from lo to below hi added."""
+    return codes.select("code").union(spark.range(lo, hi).select(F.col("id").alias("code"))).distinct()
+
+
+def within_range(codes: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The rows of a set whose codes lie from lo to below hi."""
+    return codes.where((F.col("code") >= lo) & (F.col("code") < hi))
 
 
 def absent_count(present: DataFrame, k: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.operators import kmers
 from seqloom.plans.hamming import BlockPlan, choose
 
 
@@ -37,16 +38,17 @@ def pairs(queries: DataFrame, table: DataFrame, k: int, m: int, plan: BlockPlan
     return both.where(F.col("j") == first).select("q", "code", "n", "d")
 
 
-def profile(queries: DataFrame, counts: DataFrame, m: int, bag: bool = True, listing: bool = False, k: int | None = None) -> DataFrame:
+def profile(queries: DataFrame, counts: DataFrame, m: int, bag: bool = True, listing: bool = False, k: int | None = None, plan: BlockPlan | None = None) -> DataFrame:
     """Adds n0..nm and off_site_counts to ``queries`` (with a column kmer): sites at each distance, or
     distinct k-mers if not ``bag``.  With ``listing``, also ``found``: each k-mer found with its count, by
     distance and code, bases that differ in lower case; the query itself comes first even with none.
-    Queries that are no k-mers get nulls.  k saves a look at the table."""
+    Queries that are no k-mers get nulls.  k saves a look at the table; a plan for the real numbers of rows may be given."""
     k = k or counts.select(F.max(F.length("kmer"))).first()[0] or 1
     coded = queries.withColumn("q", S.kmer_code(F.upper("kmer")))
-    table = counts.select(S.kmer_code(F.col("kmer")).alias("code"), F.col("n") if bag else F.lit(1).cast("long").alias("n"))
+    code = F.col("code") if "code" in counts.columns else S.kmer_code(F.col("kmer"))
+    table = counts.select(code.alias("code"), F.col("n") if bag else F.lit(1).cast("long").alias("n"))
     asked = coded.where(F.col("q").isNotNull() & (F.length("kmer") == k)).select("q").distinct()
-    found = pairs(asked, table, k, m)
+    found = pairs(asked, table, k, m, plan)
     at = [F.coalesce(F.sum(F.when(F.col("d") == i, F.col("n"))), F.lit(0)).cast("long").alias(f"n{i}") for i in range(m + 1)]
     extra = [F.array_sort(F.collect_list(F.struct("d", "code", "n"))).alias("found")] if listing else []
     per_query = found.groupBy("q").agg(*at, *extra)
@@ -79,6 +81,15 @@ def within(profiled: DataFrame, text: str) -> DataFrame:
     return profiled.where(keep)
 
 
+def absent_within(spark: SparkSession, counts: DataFrame, k: int, bounds: list[int | None], motif: str = "", prefix: str = "", limit: int = 0) -> DataFrame:
+    """(code, kmer, n1..nm) of k-mers that the table lacks, match a motif or start with a prefix, and have at most ``bounds[d - 1]``
+    sites at each distance d (None is no bound); the first ``limit`` by code, if it is over 0."""
+    m = len(bounds)
+    lacking = kmers.absent(spark, counts, k, prefix, motif)
+    kept = within(profile(lacking, counts, m, k=k), "/".join(str(-1 if x is None else x) for x in [None, *bounds, None]))
+    return kmers.first(kept.select("code", "kmer", *[f"n{d}" for d in range(1, m + 1)]), limit)
+
+
 def merge_profiles(a, b):
     """Two slash lists added place by place."""
     total = F.zip_with(F.split(a, "/"), F.split(b, "/"), lambda x, y: (x.cast("long") + y.cast("long")).cast("string"))

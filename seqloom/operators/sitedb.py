@@ -3,18 +3,20 @@
 A query is written as lines (or with ``/`` for tabs, as single arguments):
 ``chrom start end`` asks for a region, ``$column min max`` (or ``.column``) bounds a
 column, ``!BEST n`` keeps the n best rows of each region by the ``!MIN column`` and
-``!MAX column`` lines in their order, ``:file`` reads more lines, ``#`` starts a comment.
+``!MAX column`` lines in their order, ``:file`` names the table to ask, ``#`` starts a comment.
 A column is a name or a number from 1.  All bounds hold together and include their ends."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.operators import intervals
+
 NO_BOUND = -10000
 
 
@@ -25,9 +27,10 @@ class SiteQuery:
     best: int | None = None
     order: list[tuple[str, bool]] = field(default_factory=list)
     comments: list[str] = field(default_factory=list)
+    table: str | None = None
 
 
-def parse(lines: Iterable[str], read: Callable[[str], Iterable[str]] | None = None, query: SiteQuery | None = None) -> SiteQuery:
+def parse(lines: Iterable[str], query: SiteQuery | None = None) -> SiteQuery:
     query = query or SiteQuery()
     for raw in lines:
         line = raw.rstrip("\r\n")
@@ -38,9 +41,7 @@ def parse(lines: Iterable[str], read: Callable[[str], Iterable[str]] | None = No
             continue
         parts = [p.strip() for p in (line.split("\t") if "\t" in line else line.split("/") if line[0] != ":" and "/" in line else line.split(None, 2))]
         if line[0] == ":":
-            if read is None:
-                raise ValueError("no way to read further files was given")
-            parse(read(line[1:].strip()), read, query)
+            query.table = line[1:].strip()
         elif line[0] in "$.":
             lo, hi = (None if int(x) == NO_BOUND else int(x) for x in parts[1:3])
             query.ranges.append((parts[0][1:], lo, hi))
@@ -71,24 +72,27 @@ def regions_frame(spark: SparkSession, regions: list[tuple[str, int, int]]) -> D
     return spark.createDataFrame([(k, c, s, e) for k, (c, s, e) in enumerate(regions)], "rid int, r_chrom string, r_start long, r_end long")
 
 
-def in_regions(db: DataFrame, regions: DataFrame, size: int = 1 << 14, broadcast_rows: int = 100_000) -> DataFrame:
-    """Rows with each region that they overlap (half-open); an end of 0 is the end of the chromosome.
+def chromosome_sizes(db: DataFrame) -> DataFrame:
+    """(chrom, size) as far as the rows of a table tell."""
+    return db.groupBy("chrom").agg(F.max("chromEnd").alias("size"))
+
+
+def in_regions(db: DataFrame, regions: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Rows with each region that they overlap (half-open); an end of 0 or less is the end of the chromosome, and r_end comes back as such.
 
-    Regions of few rows are broadcast; more are cut into bins and joined by equality."""
-    start, end = F.col("chromStart"), F.col("chromEnd")
-    hit = (F.col("chrom") == F.col("r_chrom")) & (end > F.col("r_start")) & ((F.col("r_end") <= 0) | (start < F.col("r_end")))
-    if regions.count() <= broadcast_rows:
-        return db.join(F.broadcast(regions), hit)
-    ends = db.groupBy("chrom").agg(F.max("chromEnd").alias("size"))
-    closed = regions.join(ends, F.col("r_chrom") == F.col("chrom")).withColumn("to", F.when(F.col("r_end") > 0, F.least("r_end", "size")).otherwise(F.col("size"))).drop("chrom")
-    left = closed.select("*", F.explode(F.sequence(F.floor(F.col("r_start") / size), F.floor(F.greatest("r_start", F.col("to") - 1) / size))).alias("bin"))
-    right = db.select("*", F.explode(F.sequence(F.floor(start / size), F.floor((end - 1) / size))).alias("db_bin"))
-    first = F.floor(F.greatest("r_start", start) / size) == F.col("bin")
-    return right.join(left, (F.col("db_bin") == F.col("bin")) & hit & first).drop("db_bin", "bin", "size", "to")
+    ``sizes`` has (chrom, size); without it, the last end in ``db`` counts.  Rows and regions are joined by bins, so a
+    row meets only regions near it."""
+    sizes = (sizes or chromosome_sizes(db)).select(F.col("chrom").alias("r_chrom"), F.col("size").cast("long"))
+    closed = regions.join(sizes, "r_chrom").withColumn("r_end", F.when(F.col("r_end") <= 0, F.col("size")).otherwise(F.col("r_end")))
+    asked = closed.select(F.col("r_chrom").alias("chrom"), F.col("r_start").alias("s"), F.col("r_end").alias("e"), "rid")
+    rows = db.select("chrom", F.col("chromStart").alias("s"), F.col("chromEnd").alias("e"), F.struct(*db.columns).alias("row"))
+    found = intervals.overlap_join(rows, asked, mode="overlap", size=1 << 10)
+    return found.select("row.*", F.col("rid_b").alias("rid"), F.col("chrom_b").alias("r_chrom"), F.col("s_b").alias("r_start"), F.col("e_b").alias("r_end"))
 
 
-def run(db: DataFrame, query: SiteQuery, range_in_name: bool = False, max_items: int | None = None, ignore_missing: bool = False, regions: DataFrame | None = None) -> DataFrame:
+def run(db: DataFrame, query: SiteQuery, range_in_name: bool = False, max_items: int | None = None, ignore_missing: bool = False, regions: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Rows of ``db`` that a query asks for, with ``rid`` and the region; without regions, each chromosome is one."""
+    sizes = sizes or chromosome_sizes(db)
     for name, lo, hi in query.ranges:
         found = column_name(db, name, ignore_missing)
         if found is not None:
@@ -97,9 +101,11 @@ def run(db: DataFrame, query: SiteQuery, range_in_name: bool = False, max_items:
     if regions is None and query.regions:
         regions = regions_frame(db.sparkSession, query.regions)
     if regions is not None:
-        rows, group = in_regions(db, regions), ["rid"]
+        rows, group = in_regions(db, regions, sizes), ["rid"]
     else:
-        rows, group = db.withColumns({"rid": F.lit(None).cast("int"), "r_chrom": F.col("chrom"), "r_start": F.lit(0).cast("long"), "r_end": F.lit(0).cast("long")}), ["r_chrom"]
+        rows, group = db.withColumns({"rid": F.lit(None).cast("int"), "r_chrom": F.col("chrom"), "r_start": F.lit(0).cast("long")}), ["r_chrom"]
+        if range_in_name:
+            rows = rows.join(sizes.select("chrom", F.col("size").alias("r_end")), "chrom")
     order = [F.col(c).asc() if up else F.col(c).desc() for n, up in query.order if (c := column_name(db, n, ignore_missing))]
     most = query.best if query.best is not None else max_items
     if most is not None:
@@ -109,3 +115,9 @@ def run(db: DataFrame, query: SiteQuery, range_in_name: bool = False, max_items:
     if range_in_name:
         rows = rows.withColumn("name", F.concat("r_chrom", F.lit(":"), F.col("r_start").cast("string"), F.lit("-"), F.col("r_end").cast("string"), F.lit("/"), "name"))
     return rows
+
+
+def header(db: DataFrame, query: SiteQuery, with_header: bool = False, print_comments: bool = False) -> list[str]:
+    """The lines that go before a query's result: comments and regions as asked for, and the header."""
+    lines = [*query.comments, *[f"#range={c}:{s}-{e}" for c, s, e in query.regions]] if print_comments else []
+    return lines + ["#" + "\t".join(db.columns)] * with_header

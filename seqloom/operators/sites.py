@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions import seq as S
+from seqloom.sources.shared import written
 
 #: Bases in a chunk of a sequence: places are found by counting within a chunk only.
 CHUNK = 256
 
 
-def windows(genome: DataFrame, n: int, keep: list[str] | None = None) -> DataFrame:
+def windows(genome: DataFrame, n: int, keep: list[str] | None = None, literals: tuple[tuple[int, str], ...] = ()) -> DataFrame:
     """All windows of n bases of ``seq``: the other columns, i (0-based) and win.  A record is cut
-    into chunks in one pass and each chunk borrows the start of the next, so the work grows with its length."""
+    into chunks in one pass and each chunk borrows the start of the next, so the work grows with its length.
+    With ``literals``, (place, bases), only windows that hold one of them are made."""
     keep = keep if keep is not None else [c for c in genome.columns if c != "seq"]
     reach = (n - 2) // CHUNK + 1 if n > 1 else 0
     chunks = genome.where(F.length("seq") >= n).select(*keep, F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("chunks"))
     cut = chunks.select(*keep, F.posexplode(F.transform("chunks", lambda c, j: F.substring(F.array_join(F.slice("chunks", j + 1, reach + 1), ""), 1, CHUNK + n - 1))).alias("nth", "chunk"))
     cut = cut.where(F.length("chunk") >= n)
     at = cut.select(*keep, "nth", "chunk", F.explode(F.sequence(F.lit(0), F.length("chunk") - n)).alias("o"))
+    if all(text for _, text in literals):
+        hits = [F.substring(F.col("chunk"), F.col("o") + place + 1, F.lit(len(text))) == text for place, text in literals]
+        at = at.where(reduce(lambda a, b: a | b, hits)) if hits else at
     return at.select(*keep, (F.col("nth").cast("long") * CHUNK + F.col("o")).alias("i"), F.substring(F.col("chunk"), F.col("o") + 1, F.lit(n)).alias("win"))
 
 
@@ -37,7 +44,9 @@ def sites(genome: DataFrame, pattern: str, upper: bool = True, prefix: str = "",
     With ``upper`` false, lower-case (masked) windows match nothing."""
     n, (ks, ke) = len(pattern), key_range(pattern)
     seq = S.normalise(F.col("seq")) if upper else F.translate("seq", "U", "T")
-    rows = windows(genome.select("chrom", seq.alias("seq")), n)
+    places = [S.literals(pattern)] + [S.literals(_reversed_letters(pattern))] * (not forward_only)
+    base = F.col("offset") if "offset" in genome.columns else F.lit(0).cast("long")  # of records that come in chunks
+    rows = windows(genome.select("chrom", base.alias("base"), seq.alias("seq")), n, literals=tuple(places)).withColumn("i", F.col("base") + F.col("i"))
     plus = F.struct(F.lit("+").alias("strand"), (F.col("i") + ks).alias("start0"), F.substring("win", ks + 1, ke - ks).alias("kmer"))
     minus = F.struct(F.lit("-").alias("strand"), (F.col("i") + n - ke).alias("start0"), S.revcomp(F.substring("win", n - ke + 1, ke - ks)).alias("kmer"))
     # Each strand's motif is tested on the forward window, so nothing is reversed that doesn't match.
@@ -51,9 +60,18 @@ def sites(genome: DataFrame, pattern: str, upper: bool = True, prefix: str = "",
     return rows.where(F.col("kmer").startswith(prefix)) if prefix else rows
 
 
-def _lenient_reverse(pattern: str) -> str:
+def _reversed_letters(pattern: str) -> str:
     swap = str.maketrans("ACGT", "TGCA")
-    return S.lenient_regex("".join(c.translate(swap) if c in "ACGT" else c for c in reversed(pattern.upper())))
+    return "".join(c.translate(swap) if c in "ACGT" else c for c in reversed(pattern.upper()))
+
+
+def _lenient_reverse(pattern: str) -> str:
+    return S.lenient_regex(_reversed_letters(pattern))
+
+
+def site_table(found: DataFrame) -> DataFrame:
+    """Sites written once to shared storage: what uses them several times scans no sequence again."""
+    return written(found, "sites")
 
 
 def with_copies(found: DataFrame, lo: int = 1, hi: int = 0) -> DataFrame:
@@ -73,8 +91,34 @@ def site_name(kmer: Column, copies: Column) -> Column:
     return F.concat(S.kmer_key(kmer).cast("string"), F.lit("."), copies.cast("string"), F.lit("/"), kmer)
 
 
-def to_bed6(counted: DataFrame) -> DataFrame:
-    return counted.select("chrom", "start0", "end1", site_name(F.col("kmer"), F.col("copies")).alias("name"), "copies", "strand")
+def to_bed6(counted: DataFrame, with_seq: bool = True) -> DataFrame:
+    """BED6 rows; the older form has no sequence in its names."""
+    name = site_name(F.col("kmer"), F.col("copies")) if with_seq else F.concat(S.kmer_key(F.col("kmer")).cast("string"), F.lit("."), F.col("copies").cast("string"))
+    return counted.select("chrom", "start0", "end1", name.alias("name"), "copies", "strand")
+
+
+def totals(found: DataFrame, lo: int = 1, hi: int = 0) -> DataFrame:
+    """One row: sites, distinct k-mers, and k-mers and sites with lo to hi copies."""
+    counts = found.groupBy("kmer").agg(F.count(F.lit(1)).alias("copies"))
+    kept = in_range(F.col("copies"), lo, hi)
+    zero = F.lit(0).cast("long")
+    return counts.agg(
+        F.coalesce(F.sum("copies"), zero).alias("n_sites"), F.count(F.lit(1)).alias("n_kmers"), F.count_if(kept).alias("n_kept"), F.coalesce(F.sum(F.when(kept, F.col("copies"))), zero).alias("n_kept_sites"))
+
+
+def by_key(found: DataFrame) -> DataFrame:
+    """Sites by descending key, those of a key by chromosome, place and strand."""
+    return found.withColumn("key", S.kmer_key(F.col("kmer"))).orderBy(F.desc("key"), "chrom", "start0", "strand")
+
+
+def by_place(found: DataFrame) -> DataFrame:
+    return found.orderBy("chrom", "start0", "strand", "kmer")
+
+
+def text_dump(found: DataFrame) -> DataFrame:
+    """(line) of each site: its key in bits, strand, chromosome and place."""
+    key = F.conv(S.kmer_key(F.col("kmer")).cast("string"), 10, 2)
+    return found.select(F.concat_ws("\t", key, F.concat(F.when(F.col("strand") == "+", "F:").otherwise("R:"), "chrom", F.lit(":"), F.col("start0").cast("string"))).alias("line"))
 
 
 def first_of_each(counted: DataFrame, max_copies: int) -> DataFrame:
@@ -88,9 +132,12 @@ def clusters(found: DataFrame) -> DataFrame:
     K-mers on several chromosomes go by aggregation before any list is made."""
     k = F.length("kmer")
     one = found.groupBy("kmer").agg(F.min("chrom").alias("chrom"), F.max("chrom").alias("other")).where("chrom = other").select("kmer")
-    lists = found.join(one, "kmer").groupBy("kmer", "chrom").agg(
-        F.array_sort(F.collect_list("start0")).alias("starts"), F.min("strand").alias("lo"), F.max("strand").alias("hi"))
-    apart = F.when(F.size("starts") > 1, F.forall(F.sequence(F.lit(2), F.size("starts")), lambda i: F.element_at("starts", i) - F.element_at("starts", i - 1) >= k)).otherwise(True)
+    # The least gap is known before any list is made.
+    gap = F.col("start0") - F.lag("start0").over(Window.partitionBy("kmer").orderBy("start0"))
+    placed = found.join(one, "kmer").withColumn("gap", gap)
+    lists = placed.groupBy("kmer", "chrom").agg(
+        F.min("gap").alias("gap"), F.array_sort(F.collect_list("start0")).alias("starts"), F.min("strand").alias("lo"), F.max("strand").alias("hi"))
+    apart = F.coalesce(F.col("gap") >= k, F.lit(True))
     rows = lists.where(apart).withColumns({"start0": F.col("starts")[0], "copies": F.size("starts").cast("long"), "end1": F.element_at("starts", -1) + k})
     name = F.concat(site_name(F.col("kmer"), F.col("copies")), F.lit("/k="), F.col("copies").cast("string"), F.lit("/s="), (F.col("end1") - F.col("start0")).cast("string"))
     return rows.select(
@@ -100,20 +147,40 @@ def clusters(found: DataFrame) -> DataFrame:
     )
 
 
-def same_item_chains(items: DataFrame, max_span: int, min_fraction: float = 0.0, exclusive: bool = False) -> DataFrame:
-    """Groups sites (chrom, start0, end1, name) of equal name by chromosome, skipping those that overlap the last one taken;
-    keeps chains up to a span and with at least a fraction of the name's sites (all on one chromosome if ``exclusive``)."""
-    total = items.groupBy("name").agg(F.count(F.lit(1)).alias("total"))
-    lists = items.groupBy("name", "chrom").agg(F.array_sort(F.collect_list(F.struct("start0", "end1"))).alias("all"), F.count(F.lit(1)).alias("here"))
+def same_item_chains(items: DataFrame, max_span: int, min_fraction: float = 0.0) -> DataFrame:
+    """BED12 rows: the sites (chrom, start0, end1, name, copies) of equal name on a chromosome as blocks, without those
+    that overlap the last one taken.
+
+    Keeps chains whose span (from the first site to the end of the last one) is at most ``max_span``, if that is over 0, and
+    whose blocks are at least ``min_fraction`` of the name's copies, if that is over 0; from 1 on, only
+    names on a single chromosome.  What fails by its bounds alone goes before any list is made."""
+    by = ["name", "chrom"]
+    bounds = items.groupBy(*by).agg(F.min("start0").alias("chain_start"), F.max(F.struct("start0", "end1"))["end1"].alias("chain_end"), F.max("copies").alias("score"), F.count(F.lit(1)).alias("here"))
+    if min_fraction >= 1:
+        single = items.groupBy("name").agg(F.min("chrom").alias("lo"), F.max("chrom").alias("hi")).where("lo = hi").select("name")
+        bounds = bounds.join(single, "name")
+    if max_span > 0:
+        bounds = bounds.where(F.col("chain_end") - F.col("chain_start") <= max_span)
+    if min_fraction > 0:
+        bounds = bounds.where(F.col("here") / F.col("score") >= min_fraction)
     fits = lambda a, x: F.when((F.size(a) > 0) & (x["start0"] < F.element_at(a, -1)["end1"]), a).otherwise(F.concat(a, F.array(x)))
-    empty = F.slice("all", 1, 0)
-    rows = lists.withColumn("blocks", F.aggregate("all", empty, fits)).join(total, "name")
-    rows = rows.withColumns({"start0": F.col("blocks")[0]["start0"], "end1": F.element_at("blocks", -1)["end1"], "fraction": F.col("here") / F.col("total")})
-    rows = rows.where((F.col("end1") - F.col("start0") <= max_span) & (F.col("fraction") >= min_fraction))
-    if exclusive:
-        rows = rows.where("here = total")
-    return rows.select("chrom", "start0", "end1", "name", F.size("blocks").cast("long").alias("block_count"), "fraction",
-                       F.array_join(F.transform("blocks", lambda b: (b["start0"] - F.col("start0")).cast("string")), ",").alias("block_starts"))
+    # A site beyond all ends before it is always taken, so the fold runs within runs of overlapping sites only.
+    ends = F.max("end1").over(Window.partitionBy(*by).orderBy("start0", "end1").rowsBetween(Window.unboundedPreceding, -1))
+    runs = items.join(bounds, by).withColumn("new", F.coalesce(F.col("start0") >= ends, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(Window.partitionBy(*by).orderBy("start0", "end1").rowsBetween(Window.unboundedPreceding, 0)))
+    folded = runs.groupBy(*by, "chain_start", "chain_end", "score", "run").agg(F.array_sort(F.collect_list(F.struct("start0", "end1"))).alias("all"))
+    folded = folded.withColumn("blocks", F.aggregate("all", F.slice("all", 1, 0), fits))
+    rows = folded.groupBy(*by, "chain_start", "chain_end", "score").agg(F.array_sort(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    n, span = F.size("blocks").cast("long"), F.col("chain_end") - F.col("chain_start")
+    fraction = F.size("blocks") / F.col("score")
+    rows = rows.where(fraction >= min_fraction) if min_fraction > 0 else rows
+    listed = lambda f: F.array_join(F.transform("blocks", f), ",")
+    return rows.select(
+        "chrom", F.col("chain_start").alias("start0"), F.col("chain_end").alias("end1"),
+        F.concat("name", F.lit("/k="), n.cast("string"), F.lit("/s="), span.cast("string"), F.lit("/f="), fraction.cast("string")).alias("name"),
+        F.col("score").alias("copies"), F.lit("+").alias("strand"), F.col("chain_start").alias("thick_start"), F.col("chain_end").alias("thick_end"), F.lit("0,0,0").alias("rgb"),
+        n.alias("block_count"), listed(lambda b: (b["end1"] - b["start0"]).cast("string")).alias("block_sizes"), listed(lambda b: (b["start0"] - F.col("chain_start")).cast("string")).alias("block_starts"),
+    )
 
 
 def partitioned_by_chrom(found: DataFrame, path: str, forward_only: bool = False) -> None:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
 from seqloom.operators import annotate, filters, intervals, kmers, neighbors, sitedb, sites
+from seqloom.plans import hamming
 from seqloom.plans import views as V
+from seqloom.sources import files, shared
 
 NGG, NGG_RE = "X" * 20 + "NGG", "[ACGT]{21}GG"
 K = 8
@@ -41,24 +43,29 @@ def _ngg(spark: SparkSession, d: str) -> DataFrame:
     return sites.sites(V.genome(spark, d), NGG)
 
 
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same, written once for queries that use them several times."""
+    return sites.site_table(_ngg(spark, d))
+
+
 def _kmers(spark: SparkSession, d: str, pam: str = "", prefix: str = "") -> DataFrame:
     return kmers.kmers(V.genome(spark, d), K, pam, prefix)
 
 
 def _others(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.kmers(V.pages_genome(spark, d), K)
+    return kmers.kmers(V.benchmark_genome(spark, d), K)
 
 
 # --- sites ------------------------------------------------------------------------------------
 
 @_query(f"{COUNTED_SQL} SELECT chrom, start0, start0 + 20 AS end1, kmer, copies, strand FROM counted")
 def site_copies(spark, d):
-    return sites.with_copies(_ngg(spark, d)).select("chrom", "start0", "end1", "kmer", "copies", "strand")
+    return sites.with_copies(_stored(spark, d)).select("chrom", "start0", "end1", "kmer", "copies", "strand")
 
 
 @_query(f"{COUNTED_SQL} SELECT chrom, start0, kmer, copies, strand FROM counted WHERE copies BETWEEN 2 AND 5")
 def site_copy_range(spark, d):
-    return sites.with_copies(_ngg(spark, d), 2, 5).select("chrom", "start0", "kmer", "copies", "strand")
+    return sites.with_copies(_stored(spark, d), 2, 5).select("chrom", "start0", "kmer", "copies", "strand")
 
 
 @_query(f"{NGG_SQL} SELECT chrom, start0, kmer, strand FROM sites WHERE kmer LIKE 'AC%'")
@@ -76,19 +83,14 @@ def site_iupac_motif(spark, d):
     return sites.sites(V.genome(spark, d), "XXXXXXXXNRYWB").groupBy("kmer", "strand").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(f"WITH {V.GENOME_SQL}, {V.sites_sql('X' * 12 + 'NRG', '[ACGT]{12}..G')} SELECT chrom, start0, kmer, strand FROM sites WHERE kmer LIKE 'ACG%'")
-def site_lenient_motif(spark, d):
-    return sites.sites(V.genome(spark, d), "X" * 12 + "NRG", prefix="ACG", lenient=True).select("chrom", "start0", "kmer", "strand")
-
-
 @_query(f"WITH {V.GENOME_SQL}, {V.sites_sql('X' * 12 + 'NRG', '[ACGT]{12}..G')} SELECT chrom, start0, kmer, strand FROM sites")
-def site_lenient_motif_whole(spark, d):
+def site_lenient_motif(spark, d):
     return sites.sites(V.genome(spark, d), "X" * 12 + "NRG", lenient=True).select("chrom", "start0", "kmer", "strand")
 
 
 @_query(f"{COUNTED_SQL} SELECT chrom, start0, start0 + 20 AS end1, ({_key('kmer')}) || '.' || copies || '/' || kmer AS name, copies, strand FROM counted")
 def bed6_names(spark, d):
-    return sites.to_bed6(sites.with_copies(_ngg(spark, d)))
+    return sites.to_bed6(sites.with_copies(_stored(spark, d)))
 
 
 @_query(f"""{NGG_SQL},
@@ -98,7 +100,7 @@ c AS (SELECT kmer, min(chrom) AS chrom, min(start0) AS lo, max(start0) AS hi, co
 SELECT chrom, lo AS start0, hi + 20 AS end1, ({_key('kmer')}) || '.' || copies || '/' || kmer || '/k=' || copies || '/s=' || (hi + 20 - lo) AS name, copies,
        CASE WHEN s1 = s2 THEN s1 ELSE '.' END AS strand, starts FROM c""")
 def site_clusters(spark, d):
-    rows = sites.clusters(_ngg(spark, d))
+    rows = sites.clusters(_stored(spark, d))
     starts = F.array_join(F.transform("block_starts", lambda x: (x + F.col("start0")).cast("string")), ",")
     return rows.select("chrom", "start0", "end1", "name", "copies", "strand", starts.alias("starts"))
 
@@ -114,19 +116,104 @@ def partition_chrom_forward(spark, d):
     return rows.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.min("start0").alias("lo"), F.max("start0").alias("hi"))
 
 
-@_query(f"""{COUNTED_SQL}, RECURSIVE_PLACEHOLDER""".replace(", RECURSIVE_PLACEHOLDER", f""",
-i AS (SELECT DISTINCT kmer AS name, chrom, start0 AS s FROM counted WHERE copies > 1),
-t AS (SELECT name, count(*) AS total FROM i GROUP BY name),
-h AS (SELECT name, chrom, count(*) AS here, list(s ORDER BY s) AS ss FROM i GROUP BY name, chrom),
-f AS (SELECT name, chrom, here, list_reduce(list_transform(ss, lambda x: [x]), lambda a, x: CASE WHEN x[1] < a[len(a)] + 20 THEN a ELSE list_concat(a, x) END) AS b FROM h)
-SELECT chrom, b[1] AS start0, b[len(b)] + 20 AS end1, name, len(b)::bigint AS block_count, here / total AS fraction,
-       list_aggregate(list_transform(b, lambda x: x - b[1]), 'string_agg', ',') AS block_starts
-FROM f JOIN t USING (name) WHERE b[len(b)] + 20 - b[1] <= 5000 AND here / total >= 0.5"""))
+@_query(f"""{COUNTED_SQL},
+i AS (SELECT DISTINCT kmer AS name, chrom, start0 AS s, copies FROM counted WHERE copies > 1),
+h AS (SELECT name, chrom, any_value(copies) AS score, list(s ORDER BY s) AS ss FROM i GROUP BY name, chrom),
+f AS (SELECT name, chrom, score, ss, list_reduce(list_transform(ss, lambda x: [x]), lambda a, x: CASE WHEN x[1] < a[len(a)] + 20 THEN a ELSE list_concat(a, x) END) AS b FROM h),
+c AS (SELECT *, ss[1] AS lo, ss[len(ss)] + 20 AS hi, len(b) / score AS fraction FROM f)
+SELECT chrom, lo AS start0, hi AS end1, name || '/k=' || len(b) || '/s=' || (hi - lo) || '/f=' || fraction AS name, score AS copies, '+' AS strand, lo AS thick_start, hi AS thick_end, '0,0,0' AS rgb, len(b)::bigint AS block_count,
+       list_aggregate(list_transform(b, lambda x: 20), 'string_agg', ',') AS block_sizes, list_aggregate(list_transform(b, lambda x: x - lo), 'string_agg', ',') AS block_starts
+FROM c WHERE hi - lo <= 5000 AND fraction >= 0.5""")
 def same_chrom_chain(spark, d):
-    rows = sites.with_copies(_ngg(spark, d), 2).select("chrom", "start0", "end1", F.col("kmer").alias("name")).distinct()
+    rows = sites.with_copies(_stored(spark, d), 2).select("chrom", "start0", "end1", F.col("kmer").alias("name"), "copies").distinct()
     return sites.same_item_chains(rows, 5000, 0.5)
 
 
+@_query(f"{COUNTED_SQL}, c AS (SELECT DISTINCT kmer, copies FROM counted) SELECT sum(copies)::bigint AS n_sites, count(*) AS n_kmers, count(*) FILTER (copies BETWEEN 2 AND 5) AS n_kept, (sum(copies) FILTER (copies BETWEEN 2 AND 5))::bigint AS n_kept_sites FROM c")
+def run_totals(spark, d):
+    return sites.totals(_ngg(spark, d), 2, 5)
+
+
+@_query(f"{NGG_SQL}, k AS (SELECT *, {_key('kmer')} AS key FROM sites), o AS (SELECT *, row_number() OVER (ORDER BY key DESC, chrom, start0, strand) AS n FROM k) SELECT chrom, start0, strand, key FROM o WHERE n <= 500")
+def sites_by_key(spark, d):
+    return sites.by_key(_ngg(spark, d)).select("chrom", "start0", "strand", "key").limit(500)
+
+
+# --- files --------------------------------------------------------------------------------------
+
+@_query(f"WITH {V.GENOME_SQL} SELECT chrom, length(seq) AS n, md5(seq) AS seq_md5 FROM genome WHERE seq <> ''")
+def fasta_scan(spark, d):
+    """Sequences written as a FASTA file and read again."""
+    path = shared.fresh_path(spark, "fasta")
+    files.write_fasta(V.genome(spark, d), path)
+    return files.read_fasta(spark, path).select("chrom", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("seq_md5"))
+
+
+@_query(f"{NGG_SQL} SELECT chrom, start0, kmer, strand FROM sites")
+def fasta_chunk_sites(spark, d):
+    """Sites of a FASTA file read line by line, in chunks far shorter than its records."""
+    path = shared.fresh_path(spark, "fasta")
+    files.write_fasta(V.genome(spark, d), path)
+    return sites.sites(files.read_fasta_chunks(spark, path, len(NGG), 1000), NGG).select("chrom", "start0", "kmer", "strand")
+
+
+QUERY_LIST_SQL = "q AS (SELECT item_id || chr(9) || 'id.' || item_id || '/' || substr(regexp_replace(translate(text, '{}', '{}'), '[^ACGTN]', '', 'g'), 1, 20) || '/x' AS line FROM benchmark)".format(V.SOURCE, V.TARGET)
+
+
+def _query_list(spark, d) -> DataFrame:
+    """A list of queries as a file, the k-mer being the second part of the second column's name."""
+    path = shared.fresh_path(spark, "queries")
+    items = V.benchmark_genome(spark, d)
+    number = F.substring("chrom", 5, 20)
+    items.select(F.concat(number, F.lit("\tid."), number, F.lit("/"), F.substring("seq", 1, 20), F.lit("/x")).alias("value")).write.text(path)
+    return files.read_queries(spark, path, "2,/,2")
+
+
+@_query(f"WITH {QUERY_LIST_SQL}, k AS (SELECT line, string_split(line, '/')[2] AS kmer FROM q) SELECT line, CASE WHEN regexp_full_match(kmer, '[ACGT]+') THEN kmer END AS kmer FROM k")
+def query_list(spark, d):
+    return _query_list(spark, d)
+
+
+@_query(f"""{NGG_SQL}, {QUERY_LIST_SQL}, k AS (SELECT line, string_split(line, '/')[2] AS kmer FROM q), c AS (SELECT kmer, count(*) AS n FROM sites GROUP BY kmer),
+h AS (SELECT k.line, k.kmer, {', '.join(f'coalesce(sum(c.n) FILTER (hamming(k.kmer, c.kmer) = {i}), 0)::bigint AS n{i}' for i in range(3))} FROM k LEFT JOIN c ON length(k.kmer) = 20 AND regexp_full_match(k.kmer, '[ACGT]+') AND hamming(k.kmer, c.kmer) <= 2 GROUP BY k.line, k.kmer)
+SELECT line || CASE WHEN length(kmer) = 20 AND regexp_full_match(kmer, '[ACGT]+') THEN chr(9) || n0 || '/' || n1 || '/' || n2 ELSE '' END AS value FROM h""")
+def profile_append(spark, d):
+    """The lines of a list of queries with their profiles behind them, written and read again."""
+    path = shared.fresh_path(spark, "profiles")
+    counts = shared.written(kmers.kmer_counts(_ngg(spark, d)), "counts")
+    profiled = neighbors.profile(_query_list(spark, d), counts, 2, k=20)
+    known = F.length("kmer") == 20
+    files.write_profiles(profiled.withColumn("off_site_counts", F.when(known, F.col("off_site_counts"))), path)
+    shared.remove_table(counts)
+    return spark.read.text(path)
+
+
+@_query(f"{NGG_SQL} SELECT chrom, start0, kmer, strand FROM sites WHERE strand = '+'")
+def partition_by_chrom(spark, d):
+    """Forward sites written to a folder per chromosome and read again."""
+    path = shared.fresh_path(spark, "by-chrom")
+    sites.partitioned_by_chrom(_ngg(spark, d), path, forward_only=True)
+    return spark.read.parquet(path).select("chrom", "start0", "kmer", "strand")
+
+
+@_query(f"WITH {V.GENOME_SQL} SELECT (row_number() OVER (ORDER BY chrom) - 1)::int AS chrom_id, chrom, length(seq) AS n FROM genome")
+def name_table(spark, d):
+    """Names written as a table and joined back to their numbers."""
+    genome, path = V.genome(spark, d), shared.fresh_path(spark, "names")
+    files.write_names(genome, path)
+    names = files.read_names(spark, path)
+    numbered = genome.join(names.withColumnRenamed("chrom", "name"), F.col("chrom") == F.col("name")).select("chrom_id", F.length("seq").cast("long").alias("n"))
+    return files.with_names(numbered, names).select("chrom_id", "chrom", "n")
+
+
+@_query(f"WITH {V.GENOME_SQL}, {V.sites_sql('X' * K + 'NGG', '[ACGT]{9}GG')} SELECT kmer, count(*) AS n FROM sites WHERE substr(kmer, 1, 2) IN ('AC', 'GT', 'TT') GROUP BY kmer")
+def shard_counts(spark, d):
+    """A count table written in shards, of which three are read."""
+    path = shared.fresh_path(spark, "shards")
+    files.write_kmers(kmers.kmer_counts(_kmers(spark, d, "NGG")).select("kmer", "n"), path)
+    return files.read_kmers(spark, path + ".[AC,GT,TT]").select("kmer", "n")
+
+
 @_query(f"WITH {V.GENOME_SQL} SELECT chrom, length(seq) AS n, md5(translate(reverse(seq), 'ACGT', 'TGCA')) AS revcomp_md5, md5(regexp_replace(seq, '[^ACGT]', 'N', 'g')) AS norm_md5 FROM genome")
 def revcomp_norm(spark, d):
     return V.genome(spark, d).select("chrom", F.length("seq").cast("long").alias("n"), F.md5(S.revcomp(F.col("seq"))).alias("revcomp_md5"), F.md5(S.normalise(F.col("seq"))).alias("norm_md5"))
@@ -194,13 +281,8 @@ def absent_motif_limited(spark, d):
     return kmers.first(kmers.absent(spark, _kmers(spark, d), K, motif="XXXXXXRY"), 100)
 
 
-@_query(f"{ALL_SQL}, {SPACE_SQL} SELECT code, kmer FROM absent WHERE kmer LIKE 'GT%' ORDER BY md5('7:' || kmer), kmer LIMIT 50")
-def absent_sample(spark, d):
-    return kmers.sample(kmers.absent(spark, _kmers(spark, d), K, prefix="GT"), 50, seed=7)
-
-
 @_query(f"{ALL_SQL}, {SPACE_SQL} SELECT code, kmer FROM absent ORDER BY md5('7:' || kmer), kmer LIMIT 50")
-def absent_sample_whole(spark, d):
+def absent_sample(spark, d):
     return kmers.sample(kmers.absent(spark, _kmers(spark, d), K), 50, seed=7)
 
 
@@ -212,6 +294,26 @@ def absent_profile(spark, d):
     return neighbors.profile(kmers.absent(spark, found, K).select("kmer"), kmers.kmer_counts(found), 1, k=K).select("kmer", "n0", "n1")
 
 
+def _absent_bounded_sql(bounds: list[int], where: str, limit: int) -> str:
+    n = ", ".join(f"coalesce(sum(c.n) FILTER (hamming(a.kmer, c.kmer) = {i + 1}), 0)::bigint AS n{i + 1}" for i in range(len(bounds)))
+    keep = " AND ".join(f"n{i + 1} <= {b}" for i, b in enumerate(bounds) if b is not None)
+    return f"""{ALL_SQL}, {SPACE_SQL}, c AS (SELECT kmer, count(*) AS n FROM sites GROUP BY kmer),
+p AS (SELECT a.code, a.kmer, {n} FROM absent AS a LEFT JOIN c ON hamming(a.kmer, c.kmer) <= {len(bounds)} WHERE {where} GROUP BY a.code, a.kmer)
+SELECT * FROM p WHERE {keep} ORDER BY code LIMIT {limit}"""
+
+
+@_query(_absent_bounded_sql([120, 4000], "regexp_full_match(a.kmer, '[ACGT]{6}[AG][CT]')", 200))
+def absent_bounded_motif(spark, d):
+    counts = shared.written(kmers.kmer_counts(_kmers(spark, d)), "counts")
+    return neighbors.absent_within(spark, counts, K, [120, 4000], motif="XXXXXXRY", limit=200)
+
+
+@_query(_absent_bounded_sql([None, 3000], "a.kmer LIKE 'GC%'", 200))
+def absent_bounded_prefix(spark, d):
+    counts = shared.written(kmers.kmer_counts(_kmers(spark, d)), "counts")
+    return neighbors.absent_within(spark, counts, K, [None, 3000], prefix="GC", limit=200)
+
+
 # --- neighbours -------------------------------------------------------------------------------
 
 def _profile_sql(m: int, bag: bool) -> str:
@@ -224,8 +326,9 @@ profile AS (SELECT kmer, {sums} FROM p GROUP BY kmer)"""
 
 
 def _profiled(spark, d, m: int, bag: bool = True, listing: bool = False) -> DataFrame:
-    counts = kmers.kmer_counts(_ngg(spark, d))
-    return neighbors.profile(counts.select("kmer"), counts, m, bag, listing, k=20)
+    counts = shared.written(kmers.kmer_counts(_ngg(spark, d)), "counts")
+    n = counts.count()
+    return neighbors.profile(counts.select("kmer"), counts, m, bag, listing, k=20, plan=hamming.choose(20, m, n, n))
 
 
 @_query(f"{_profile_sql(2, False)} SELECT kmer, n0, n1, n2 FROM profile")
@@ -259,7 +362,7 @@ def profile_merge(spark, d):
 @_query(f"""{_profile_sql(2, False)}, h AS (SELECT kmer AS pattern, d FROM p WHERE d > 0)
 SELECT c.kmer, count(h.d) FILTER (h.d = 0) AS n0, count(h.d) FILTER (h.d = 1) AS n1, count(h.d) FILTER (h.d = 2) AS n2 FROM c LEFT JOIN h ON h.pattern = c.kmer GROUP BY c.kmer""")
 def hit_histogram(spark, d):
-    counts = kmers.kmer_counts(_ngg(spark, d))
+    counts = shared.written(kmers.kmer_counts(_ngg(spark, d)), "counts")
     coded = counts.select(F.col("code").alias("q"), F.col("kmer").alias("pattern"))
     hits = neighbors.pairs(coded.select("q"), counts.select("code", "n"), 20, 2).where("d > 0").join(coded, "q").select("pattern", F.col("d").alias("mismatches"))
     return neighbors.hit_histogram(counts.select("kmer"), hits, 2).select("kmer", "n0", "n1", "n2")
@@ -272,45 +375,28 @@ def hit_search_input(spark, d):
 
 # --- intervals --------------------------------------------------------------------------------
 
-@_query(f"""WITH {V.BED_SQL} SELECT a.chrom, a.s, a.e, b.s AS s_b, b.e AS e_b FROM bed AS a JOIN bed AS b
-ON a.chrom = b.chrom AND a.name = 'R' AND b.name = 'A' AND (b.s BETWEEN a.s AND a.e OR b.e BETWEEN a.s AND a.e)""")
-def overlap_join(spark, d):
-    bed = V.bed(spark, d)
-    return intervals.overlap_join(bed.where("name = 'R'"), bed.where("name = 'A'")).select("chrom", "s", "e", "s_b", "e_b")
-
-
-@_query(f"""WITH {V.BED_SQL} SELECT a.chrom, a.s, a.e, b.s AS s_b, b.e AS e_b, (least(a.e, b.e) - greatest(a.s, b.s))::bigint AS n FROM bed AS a JOIN bed AS b
-ON a.chrom = b.chrom AND a.name = 'R' AND b.name = 'A' AND a.s < b.e AND b.s < a.e""")
-def overlap_join_halfopen(spark, d):
-    bed = V.bed(spark, d)
-    rows = intervals.overlap_join(bed.where("name = 'R'"), bed.where("name = 'A'"), mode="overlap")
-    return rows.select("chrom", "s", "e", "s_b", "e_b", intervals.overlap_length(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b")).alias("n"))
-
-
-# The sides R and A above leave out rows with N; these are R and all others.
-
 @_query(f"""WITH {V.BED_SQL} SELECT a.chrom, a.s, a.e, b.s AS s_b, b.e AS e_b FROM bed AS a JOIN bed AS b
 ON a.chrom = b.chrom AND a.name = 'R' AND b.name <> 'R' AND (b.s BETWEEN a.s AND a.e OR b.e BETWEEN a.s AND a.e)""")
-def overlap_join_whole(spark, d):
+def overlap_join(spark, d):
     bed = V.bed(spark, d)
     return intervals.overlap_join(bed.where("name = 'R'"), bed.where("name <> 'R'")).select("chrom", "s", "e", "s_b", "e_b")
 
 
 @_query(f"""WITH {V.BED_SQL} SELECT a.chrom, a.s, a.e, b.s AS s_b, b.e AS e_b, (least(a.e, b.e) - greatest(a.s, b.s))::bigint AS n FROM bed AS a JOIN bed AS b
 ON a.chrom = b.chrom AND a.name = 'R' AND b.name <> 'R' AND a.s < b.e AND b.s < a.e""")
-def overlap_join_halfopen_whole(spark, d):
+def overlap_join_halfopen(spark, d):
     bed = V.bed(spark, d)
     rows = intervals.overlap_join(bed.where("name = 'R'"), bed.where("name <> 'R'"), mode="overlap")
     return rows.select("chrom", "s", "e", "s_b", "e_b", intervals.overlap_length(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b")).alias("n"))
 
 
-def _chain_sql(after: str, lo: int, hi: int) -> str:
-    return f"""WITH RECURSIVE {V.BED_SQL}, b AS (SELECT DISTINCT chrom, s, e, name FROM bed),
+def _chain_sql(after: str, lo: int, hi: int, name: str = "name") -> str:
+    return f"""WITH RECURSIVE {V.BED_SQL}, b AS (SELECT DISTINCT chrom, s, e, {name} AS name FROM bed),
 p AS (
-  SELECT chrom, s AS gs, e AS ge, s AS ls, e AS le, name AS ln, 1::bigint AS n, name AS path FROM b
-  UNION ALL SELECT p.chrom, gs, greatest(ge, b.e), b.s, b.e, b.name, n + 1, path || ':' || b.name
+  SELECT chrom, s AS gs, s AS ls, e AS le, name AS ln, 1::bigint AS n, name AS path FROM b
+  UNION ALL SELECT p.chrom, gs, b.s, b.e, b.name, n + 1, path || ':' || b.name
   FROM p JOIN b ON b.chrom = p.chrom AND b.s - p.le BETWEEN {lo} AND {hi} AND {after} WHERE n < 3)
-SELECT chrom, gs AS s, ge AS e, n, path AS name FROM p WHERE n >= 2 AND (n = 3 OR NOT EXISTS (SELECT 1 FROM b WHERE b.chrom = p.chrom AND b.s - p.le BETWEEN {lo} AND {hi} AND {after}))"""
+SELECT chrom, gs AS s, le AS e, n, path AS name FROM p WHERE n >= 2 AND (n = 3 OR NOT EXISTS (SELECT 1 FROM b WHERE b.chrom = p.chrom AND b.s - p.le BETWEEN {lo} AND {hi} AND {after}))"""
 
 
 @_query(_chain_sql("b.s > p.le", 20, 40))
@@ -318,7 +404,7 @@ def chain_radius(spark, d):
     return intervals.chains(V.bed(spark, d), 20, 40, 2, 3)
 
 
-@_query(_chain_sql("(b.s, b.e, b.name) > (p.ls, p.le, p.ln)", -10, 5))
+@_query(_chain_sql("(b.s, b.e, b.name) > (p.ls, p.le, p.ln)", -10, 5, "name || '/' || strand"))
 def chain_radius_overlap(spark, d):
     return intervals.chains(V.bed(spark, d), -10, 5, 2, 3, overlap=True)
 
@@ -352,69 +438,44 @@ def illegal_blocks(spark, d):
 
 # --- site tables ------------------------------------------------------------------------------
 
+# Queries that neither return nor order by the third count have tables with two.
 TABLE_SQL = f"""{_profile_sql(2, True)}, t AS (
   SELECT s.chrom, s.start0 AS "chromStart", s.start0 + 20 AS "chromEnd", ({_key('s.kmer')}) || '.' || f.n0 || '/' || s.kmer AS name, f.n0 AS score, s.strand, n0, n1, n2, s.kmer AS seq
   FROM sites AS s JOIN profile AS f ON s.kmer = f.kmer)"""
 GC_SQL = "100.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq)"
 
 
-def _table(spark, d, m: int = 2) -> DataFrame:
-    """The 18 columns; off-sites beyond ``m`` mismatches, three at most, are not counted."""
-    found = sites.with_copies(_ngg(spark, d))
-    counts = found.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    profiled = neighbors.profile(counts.select("kmer"), counts, m, k=20)
-    rows = found.join(profiled.select("kmer", F.concat("off_site_counts", F.lit("/0" * (3 - m))).alias("off_site_counts")), "kmer")
-    return annotate.one_copy_table(rows.withColumn("name", sites.site_name(F.col("kmer"), F.col("copies"))))
-
-
-@_query(f"""{TABLE_SQL} SELECT chrom, "chromStart", "chromEnd", name, score, strand, "chromStart" AS "thickStart", "chromEnd" AS "thickEnd", '0,0,0' AS reserved, n0 AS n0mismatches, n1 AS n1mismatches,
-n2 AS n2mismatches, 0::bigint AS n3mismatches, n1 + n2 AS "totalOffSites", n0 || '/' || n1 || '/' || n2 || '/0' AS "offSiteCounts", seq AS "spacerSeq", {GC_SQL} AS "percentGC",
-list_max(list_transform(string_split_regex(seq, '[^T]+'), lambda x: length(x))) AS "longestTandemT" FROM t""")
-def db_annotate18(spark, d):
-    return _table(spark, d)
-
-
-@_query(f"""{NGG_SQL}, g AS (SELECT *, start0 - lag(start0) OVER (PARTITION BY kmer, chrom ORDER BY start0) AS gap FROM sites),
-c AS (SELECT kmer, min(chrom) AS chrom, min(start0) AS lo, max(start0) AS hi, count(*) AS n, string_agg('20', ',') AS sizes FROM g GROUP BY kmer HAVING count(DISTINCT chrom) = 1 AND coalesce(min(gap), 20) >= 20 AND count(*) > 1)
-SELECT chrom, lo AS "chromStart", hi + 20 AS "chromEnd", n AS "blockCount", sizes AS "blockSizes", n AS "clusterSize", kmer AS "spacerSeq", n || '/0/0/0' AS "offSiteCounts" FROM c""")
-def db_annotate22(spark, d):
-    rows = sites.clusters(_ngg(spark, d)).where("copies > 1").withColumn("off_site_counts", F.concat(F.col("copies").cast("string"), F.lit("/0/0/0")))
-    return annotate.cluster_table(rows).select("chrom", "chromStart", "chromEnd", "blockCount", "blockSizes", "clusterSize", "spacerSeq", "offSiteCounts")
+def _table(spark, d, m: int = 3) -> DataFrame:
+    """The 18 columns, off-sites to ``m`` mismatches; sequences are scanned once, and so is the profile made."""
+    found = _stored(spark, d)
+    counts = shared.written(kmers.kmer_counts(found), "counts")
+    n = counts.count()
+    profiled = neighbors.profile(counts.select("kmer", F.col("n").alias("copies")), counts, m, k=20, plan=hamming.choose(20, m, n, n))
+    rows = found.join(profiled.select("kmer", "copies", F.concat("off_site_counts", F.lit("/0" * (3 - m))).alias("off_site_counts")), "kmer")
+    return shared.finished(annotate.one_copy_table(rows.withColumn("name", sites.site_name(F.col("kmer"), F.col("copies")))), "site-table", found, counts)
 
 
 REGIONS = [("doc3", 0, 400), ("doc3", 300, 900), ("doc10", 100, 0), ("doc25", 0, 0), ("doc111", 50, 2000)]
-REGIONS_SQL = "r AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{c}', {s}, {e})" for k, (c, s, e) in enumerate(REGIONS)) + ") AS v(rid, rc, rs, re))"
-HIT_SQL = 'JOIN r ON t.chrom = r.rc AND t."chromEnd" > r.rs AND (r.re <= 0 OR t."chromStart" < r.re)'
+# An end of 0 is the chromosome's last place.
+REGIONS_SQL = """r AS (SELECT rid, rc, rs, CASE WHEN re <= 0 THEN (SELECT max("chromEnd") FROM t WHERE chrom = rc) ELSE re END AS re FROM (VALUES """ + ", ".join(f"({k}, '{c}', {s}, {e})" for k, (c, s, e) in enumerate(REGIONS)) + ") AS v(rid, rc, rs, re))"
+HIT_SQL = 'JOIN r ON t.chrom = r.rc AND t."chromEnd" > r.rs AND t."chromStart" < r.re'
 _LINES = [f"{c}\t{s}\t{e}" for c, s, e in REGIONS]
 
 
 @_query(f"""{TABLE_SQL} SELECT chrom, "chromStart", name FROM t WHERE ({GC_SQL}) BETWEEN 40 AND 60 AND n1 <= 2""")
 def db_filter_ranges(spark, d):
-    return sitedb.run(_table(spark, d), sitedb.parse(["$percentGC\t40\t60", ".11\t-10000\t2"])).select("chrom", "chromStart", "name")
+    return sitedb.run(_table(spark, d, 2), sitedb.parse(["$percentGC\t40\t60", ".11\t-10000\t2"])).select("chrom", "chromStart", "name")
 
 
 @_query(f"""{TABLE_SQL}, {REGIONS_SQL} SELECT rid, chrom, "chromStart", name FROM t {HIT_SQL}""")
 def db_regions(spark, d):
-    return sitedb.run(_table(spark, d), sitedb.parse(_LINES)).select("rid", "chrom", "chromStart", "name")
-
-
-@_query(f"""{TABLE_SQL}, {REGIONS_SQL}, b AS (SELECT rid, t.*, row_number() OVER (PARTITION BY rid ORDER BY n1 + n2, {GC_SQL} DESC, "chromStart", "chromEnd", name) AS rank FROM t {HIT_SQL})
-SELECT rid, chrom, "chromStart", name, rank::int AS rank FROM b WHERE rank <= 4""")
-def db_best_n(spark, d):
-    return sitedb.run(_table(spark, d), sitedb.parse([*_LINES, "!BEST\t4", "!MIN\ttotalOffSites", "!MAX\tpercentGC"])).select("rid", "chrom", "chromStart", "name", "rank")
-
-
-@_query(f"""{TABLE_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY n1 + n2, "chromStart", "chromEnd", name) AS rank FROM t) SELECT chrom, "chromStart", name, rank::int AS rank FROM b WHERE rank <= 2""")
-def db_best_n_by_chrom(spark, d):
-    return sitedb.run(_table(spark, d), sitedb.parse(["!BEST/2", "!MIN/14"])).select("chrom", "chromStart", "name", "rank")
+    return sitedb.run(_table(spark, d, 2), sitedb.parse(_LINES)).select("rid", "chrom", "chromStart", "name")
 
 
 @_query(f"""{TABLE_SQL}, {REGIONS_SQL} SELECT rid, chrom, "chromStart", rc || ':' || rs || '-' || re || '/' || name AS name FROM t {HIT_SQL}""")
 def db_range_in_name(spark, d):
-    return sitedb.run(_table(spark, d), sitedb.parse(_LINES), range_in_name=True).select("rid", "chrom", "chromStart", "name")
-
+    return sitedb.run(_table(spark, d, 2), sitedb.parse(_LINES), range_in_name=True).select("rid", "chrom", "chromStart", "name")
 
-# The same tables with off-sites to three mismatches.  The queries above stop at two (no profile at all in db_annotate22), as does their SQL.
 
 PROFILE3_SQL = _profile_sql(3, True)
 TABLE3_SQL = f"""{PROFILE3_SQL}, t AS (
@@ -425,8 +486,8 @@ seq AS "spacerSeq", {GC_SQL} AS "percentGC", list_max(list_transform(string_spli
 
 
 @_query(f"""{TABLE3_SQL} SELECT chrom, "chromStart", "chromEnd", name, score, strand, "chromStart" AS "thickStart", "chromEnd" AS "thickEnd", '0,0,0' AS reserved, {LAST_SQL} FROM t""")
-def db_annotate18_whole(spark, d):
-    return _table(spark, d, 3)
+def db_annotate18(spark, d):
+    return _table(spark, d)
 
 
 @_query(f"""{PROFILE3_SQL}, g AS (SELECT *, start0 - lag(start0) OVER (PARTITION BY kmer, chrom ORDER BY start0) AS gap FROM sites),
@@ -435,21 +496,24 @@ l AS (SELECT kmer, min(chrom) AS chrom, min(start0) AS lo, max(start0) AS hi, co
 t AS (SELECT l.*, l.kmer AS seq, n0, n1, n2, n3 FROM l JOIN profile AS f ON l.kmer = f.kmer)
 SELECT chrom, lo AS "chromStart", hi + 20 AS "chromEnd", ({_key('kmer')}) || '.' || n || '/' || kmer || '/k=' || n || '/s=' || (hi + 20 - lo) AS name, n AS score, CASE WHEN s1 = s2 THEN s1 ELSE '.' END AS strand,
 lo AS "thickStart", hi + 20 AS "thickEnd", '0,0,0' AS reserved, n AS "blockCount", sizes AS "blockSizes", list_aggregate(list_transform(ss, lambda x: x - lo), 'string_agg', ',') AS "chromStarts", n AS "clusterSize", {LAST_SQL} FROM t""")
-def db_annotate22_whole(spark, d):
-    profiled = _profiled(spark, d, 3).select("kmer", "off_site_counts")
-    rows = sites.clusters(_ngg(spark, d)).where("copies > 1").withColumn("kmer", F.split("name", "/")[1])
+def db_annotate22(spark, d):
+    found = _stored(spark, d)
+    counts = shared.written(kmers.kmer_counts(found), "counts")
+    n = counts.count()
+    rows = sites.clusters(found).where("copies > 1").withColumn("kmer", F.split("name", "/")[1])
+    profiled = neighbors.profile(rows.select("kmer"), counts, 3, k=20, plan=hamming.choose(20, 3, n, n)).select("kmer", "off_site_counts")
     return annotate.cluster_table(rows.join(profiled, "kmer"))
 
 
 @_query(f"""{TABLE3_SQL}, {REGIONS_SQL}, b AS (SELECT rid, t.*, row_number() OVER (PARTITION BY rid ORDER BY n1 + n2 + n3, {GC_SQL} DESC, "chromStart", "chromEnd", name) AS rank FROM t {HIT_SQL})
 SELECT rid, chrom, "chromStart", name, rank::int AS rank FROM b WHERE rank <= 4""")
-def db_best_n_whole(spark, d):
-    return sitedb.run(_table(spark, d, 3), sitedb.parse([*_LINES, "!BEST\t4", "!MIN\ttotalOffSites", "!MAX\tpercentGC"])).select("rid", "chrom", "chromStart", "name", "rank")
+def db_best_n(spark, d):
+    return sitedb.run(_table(spark, d), sitedb.parse([*_LINES, "!BEST\t4", "!MIN\ttotalOffSites", "!MAX\tpercentGC"])).select("rid", "chrom", "chromStart", "name", "rank")
 
 
 @_query(f"""{TABLE3_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY n1 + n2 + n3, "chromStart", "chromEnd", name) AS rank FROM t) SELECT chrom, "chromStart", name, rank::int AS rank FROM b WHERE rank <= 2""")
-def db_best_n_by_chrom_whole(spark, d):
-    return sitedb.run(_table(spark, d, 3), sitedb.parse(["!BEST/2", "!MIN/14"])).select("chrom", "chromStart", "name", "rank")
+def db_best_n_by_chrom(spark, d):
+    return sitedb.run(_table(spark, d), sitedb.parse(["!BEST/2", "!MIN/14"])).select("chrom", "chromStart", "name", "rank")
 
 
 @_query(f"""{COUNTED_SQL} SELECT DISTINCT kmer, copies FROM counted WHERE length(regexp_replace(kmer, '[^T]', '', 'g')) <= 4 AND length(regexp_replace(kmer, '[^GC]', '', 'g')) / 20 BETWEEN 0.4 AND 0.6""")
@@ -458,6 +522,15 @@ def guide_filter(spark, d):
     return rows.where(filters.guide_quality(F.col("kmer"), F.col("copies"))).select("kmer", "copies")
 
 
+@_query(f"""WITH {V.MASKED_SQL}, g AS (SELECT unnest(range(1, length(seq) - 18)) AS i, seq FROM genome), k AS (SELECT substr(seq, i::int, 20) AS kmer FROM g), c AS (SELECT kmer, count(*) AS copies FROM k WHERE regexp_full_match(kmer, '[ACGTacgt]{{20}}') GROUP BY kmer)
+SELECT kmer, copies FROM c WHERE copies BETWEEN 2 AND 3 AND length(regexp_replace(upper(kmer), '[^T]', '', 'g')) <= 4 AND length(regexp_replace(upper(kmer), '[^GC]', '', 'g')) / 20 BETWEEN 0.4 AND 0.6""")
+def guide_filter_max(spark, d):
+    """At most three copies, masked bases allowed and counted like others."""
+    rows = sites.windows(V.genome(spark, d, masked=True), 20, ["chrom"]).select(F.col("win").alias("kmer")).where("kmer RLIKE '^[ACGTacgt]{20}$'")
+    rows = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("copies"))
+    return rows.where(filters.guide_quality(F.col("kmer"), F.col("copies"), 2, 3, allow_lowercase=True))
+
+
 TRIPLET_SQL = "regexp_full_match(kmer, '(" + "|".join(filters.TRIPLETS) + ")*')"
 
 

@@ -21,22 +21,22 @@ def genome(spark: SparkSession, sf_dir: str, masked: bool = False) -> DataFrame:
     return docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("chrom"), F.regexp_replace(text, "[^ACGTNacgt]", "").alias("seq"))
 
 
-def pages_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return pages.select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("chrom"), F.regexp_replace(F.translate("text", SOURCE, TARGET), "[^ACGTN]", "").alias("seq"))
+def benchmark_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return items.select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("chrom"), F.regexp_replace(F.translate("text", SOURCE, TARGET), "[^ACGTN]", "").alias("seq"))
 
 
 def bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     s = F.col("l_partkey") * 10 + F.col("l_orderkey") % 10
-    return lines.select(F.concat(F.lit("chr"), F.col("l_suppkey").cast("string")).alias("chrom"), s.cast("long").alias("s"), (s + F.col("l_quantity")).cast("long").alias("e"), F.col("l_returnflag").alias("name"))
+    return lines.select(F.concat(F.lit("chr"), F.col("l_suppkey").cast("string")).alias("chrom"), s.cast("long").alias("s"), (s + F.col("l_quantity")).cast("long").alias("e"), F.col("l_returnflag").alias("name"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"))
 
 
 GENOME_SQL = f"genome AS (SELECT 'doc' || doc_id AS chrom, regexp_replace(translate(text, '{SOURCE}', '{TARGET}'), '[^ACGTN]', '', 'g') AS seq FROM documents)"
 MASKED_SQL = f"genome AS (SELECT 'doc' || doc_id AS chrom, regexp_replace(translate(text, '{SOURCE}', '{MASKED}'), '[^ACGTNacgt]', '', 'g') AS seq FROM documents)"
 ITEMS_SQL = f"items AS (SELECT 'item' || item_id AS chrom, regexp_replace(translate(text, '{SOURCE}', '{TARGET}'), '[^ACGTN]', '', 'g') AS seq FROM benchmark)"
 BED_SQL = """bed AS (SELECT 'chr' || l_suppkey AS chrom, (l_partkey * 10 + l_orderkey % 10)::bigint AS s,
-  (l_partkey * 10 + l_orderkey % 10 + l_quantity)::bigint AS e, l_returnflag AS name FROM lineitem)"""
+  (l_partkey * 10 + l_orderkey % 10 + l_quantity)::bigint AS e, l_returnflag AS name, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand FROM lineitem)"""
 
 
 def sites_sql(pattern: str, regex: str, source: str = "genome", name: str = "sites") -> str:

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BED6 = "chrom string, start0 long, end1 long, name string, copies long, strand string"
 BED12 = BED6 + ", thick_start long, thick_end long, rgb string, block_count long, block_sizes string, block_starts string"
@@ -28,11 +29,51 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return record.where(F.size("r") == 2).select(chrom.alias("chrom"), seq.alias("seq")).where("chrom <> '' AND seq <> ''")
 
 
-def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, seq) by lines for files of one long record per file: no line waits for the rest of its record."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    names = lines.where(F.col("value").startswith(">")).select("file", F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("chrom"))
-    return lines.where(~F.col("value").startswith(">")).join(names, "file").select("chrom", F.regexp_replace("value", r"\s", "").alias("seq"))
+def read_fasta_chunks(spark: SparkSession, path: str, n: int = 1, size: int = 1 << 16) -> DataFrame:
+    """(chrom, offset, seq): records in chunks of ``size`` bases, each with the first n - 1 of the next, so that every window of n bases lies in one.
+
+    For records of any length: no line waits for the rest of its record.  A line's record and place follow from running
+    counts within a split of its file and, one row each, over the splits and over the records' parts in them."""
+    split = ["file", "block"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    head = F.col("value").startswith(">")
+    lines = lines.withColumns({"head": head.cast("long"), "bases": F.when(head, "").otherwise(F.regexp_replace("value", r"\s", ""))})
+    so_far = Window.partitionBy(*split).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    heads = lines.groupBy(*split).agg(F.sum("head").alias("heads"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*split, F.coalesce(F.sum("heads").over(ahead), F.lit(0)).alias("before"))
+    lines = lines.withColumn("here", F.sum("head").over(so_far)).join(heads, split).withColumn("record", F.col("before") + F.col("here"))
+    names = lines.where("head = 1").select("file", "record", F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("chrom")).where("chrom <> ''")
+    lines = lines.where("head = 0 AND bases <> ''").withColumn("length", F.length("bases").cast("long"))
+    parts = lines.groupBy("file", "record", "block").agg(F.sum("length").alias("part"))
+    earlier = Window.partitionBy("file", "record").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("file", "record", "block", F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("file", "record", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumn("to", F.sum("length").over(within)).join(parts, ["file", "record", "block"]).join(names, ["file", "record"])
+    placed = placed.select("file", "record", "chrom", "bases", "length", (F.col("start") + F.col("to") - F.col("length")).alias("at"))
+    first = F.greatest(F.lit(0), F.floor((F.col("at") - (n - 1)) / size))
+    cut = placed.withColumn("chunk", F.explode(F.sequence(first, F.floor((F.col("at") + F.col("length") - 1) / size))))
+    lo, hi = F.greatest("at", F.col("chunk") * size), F.least(F.col("at") + F.col("length"), (F.col("chunk") + 1) * size + (n - 1))
+    pieces = cut.select("file", "record", "chrom", "chunk", "at", F.substring(F.col("bases"), (lo - F.col("at") + 1).cast("int"), (hi - lo).cast("int")).alias("piece")).where("piece <> ''")
+    chunks = pieces.groupBy("file", "record", "chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
+    return chunks.select("chrom", (F.col("chunk") * size).alias("offset"), F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("seq"))
+
+
+def write_fasta(genome: DataFrame, path: str, width: int = 60) -> None:
+    """(chrom, seq) as records with lines of so many bases."""
+    wrapped = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    genome.select(F.concat(F.lit(">"), "chrom", F.lit("\n"), wrapped).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_names(genome: DataFrame, path: str) -> None:
+    """``id<tab>name`` of the records, numbered from 0 by name."""
+    turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("chrom")) - 1  # one row per record name
+    genome.select("chrom").distinct().select(turn.alias("chrom_id"), "chrom").coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+def with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows with a column chrom_id and their chromosome's name."""
+    return rows.join(names.select("chrom_id", "chrom"), "chrom_id")
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +117,12 @@ def shards(path: str) -> tuple[str, list[str]]:
 
 
 def read_kmers(spark: SparkSession, path: str, prefixes: list[str] | None = None) -> DataFrame:
-    """A k-mer set or count table written by :func:`write_kmers`; only the folders of ``prefixes`` are read."""
+    """A k-mer or site table written by :func:`write_kmers`; only the folders of ``prefixes`` are read.
+
+    A path ``table.[AA,AC]`` names the prefixes itself."""
+    if prefixes is None and "[" in path:
+        found = re.fullmatch(r"(.*?)\.?\[([^\]]*)\]", path)
+        path, prefixes = found[1], found[2].split(",")
     table = spark.read.parquet(path)
     return table.where(F.col("prefix").isin(prefixes)) if prefixes else table
 
@@ -91,6 +137,16 @@ def write_bed(rows: DataFrame, path: str, header: bool = False) -> None:
     flat.orderBy(*flat.columns[:2]).write.mode("overwrite").option("sep", "\t").option("header", header).csv(path)
 
 
+def write_profiles(profiled: DataFrame, path: str) -> None:
+    """Each query's line and, behind a tab, its counts by distance."""
+    profiled.select(F.concat_ws("\t", "line", "off_site_counts").alias("value")).write.mode("overwrite").text(path)
+
+
+def read_hits(spark: SparkSession, path: str) -> DataFrame:
+    """What an external search found."""
+    return read_table(spark, path, HITS)
+
+
 def header_line(rows: DataFrame) -> str:
     return "#" + "\t".join(rows.columns)
 

@@ -53,3 +53,11 @@ def test_sql_functions(spark):
     S.register(spark)
     row = spark.sql("SELECT revcomp('ACGTn') AS r, hamming2bit(kmer_code('ACGT'), kmer_code('AGGT')) AS d, kmer_key('CCCGGTAGAGTATTTGAAGA') AS k").first()
     assert (row.r, row.d, row.k) == ("nACGT", 1, 8124609316492752457)
+
+
+def test_sql_functions_on_odd_input(spark):
+    S.register(spark)
+    one = lambda call: spark.sql(f"SELECT {call} AS x").first().x
+    for call in ("kmer_key('ACNT')", "kmer_key('')", "kmer_key(repeat('A', 25))", "kmer_code('ACNT')", "kmer_code('')", "kmer_code(repeat('A', 40))", "kmer_key(CAST(NULL AS STRING))"):
+        assert one(call) is None, call
+    assert one("kmer_key('AC')") == 456 and one("kmer_code('ACGT')") == 27

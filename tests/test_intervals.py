@@ -45,10 +45,40 @@ def test_islands_and_blocks(spark):
 
 
 def test_same_item_chain(spark):
-    rows = spark.createDataFrame([("x", "1", 0, 20), ("x", "1", 10, 30), ("x", "1", 50, 70), ("x", "2", 5, 25), ("y", "1", 0, 20)], "name string, chrom string, start0 long, end1 long")
-    got = {(r.name, r.chrom): (r.block_count, r.block_starts, round(r.fraction, 2)) for r in sites.same_item_chains(rows, 100, 0.5).collect()}
-    assert got == {("x", "1"): (2, "0,50", 0.75), ("y", "1"): (1, "0", 1.0)}
-    assert sites.same_item_chains(rows, 100, 0.0, exclusive=True).count() == 1
+    rows = [("x", "1", 0, 20, 4), ("x", "1", 10, 30, 4), ("x", "1", 50, 70, 4), ("x", "2", 5, 25, 4), ("y", "1", 0, 20, 1), ("z", "3", 0, 20, 3), ("z", "3", 900, 920, 3), ("z", "3", 890, 910, 3)]
+    items = spark.createDataFrame(rows, "name string, chrom string, start0 long, end1 long, copies long")
+    got = {(r.name.split("/")[0], r.chrom): (r.name, r.block_count, r.block_starts) for r in sites.same_item_chains(items, 100, 0.5).collect()}
+    assert got == {("x", "1"): ("x/k=2/s=70/f=0.5", 2, "0,50"), ("y", "1"): ("y/k=1/s=20/f=1.0", 1, "0")}
+    every = {(r.name, r.chrom): r for r in sites.same_item_chains(items, 0).collect()}
+    assert set(every) == {("x/k=2/s=70/f=0.5", "1"), ("x/k=1/s=20/f=0.25", "2"), ("y/k=1/s=20/f=1.0", "1"), ("z/k=2/s=920/f=0.6666666666666666", "3")}
+    z = every[("z/k=2/s=920/f=0.6666666666666666", "3")]
+    assert len(z) == 12 and (z.block_starts, z.block_sizes, z.thick_end, z.strand) == ("0,890", "20,20", 920, "+")
+    assert [r.name for r in sites.same_item_chains(items, 0, 1.0).collect()] == ["y/k=1/s=20/f=1.0"]
+
+
+def test_chains_with_strands(spark):
+    rows = spark.createDataFrame([("c", 0, 50, "a", "+"), ("c", 45, 48, "b", "-"), ("d", 0, 9, "a", "+")], "chrom string, s long, e long, name string, strand string")
+    got = [(r.s, r.e, r.n, r.name) for r in intervals.chains(rows, -10, 5, 2, 3, overlap=True).collect()]
+    assert got == [(0, 48, 2, "a/+:b/-")]
+
+
+def test_intervals_of_all_lengths(spark):
+    """Classes of length: one interval of millions of places among short ones, on either side."""
+    rng = random.Random(2)
+    side = lambda n: [("c", s, s + rng.choice((0, 1, 5, 127, 128, 129, 5000, 3_000_000)), str(k)) for k, s in enumerate(rng.randint(0, 4_000_000) for _ in range(n))]
+    a, b = side(60), side(60)
+    fa, fb = (spark.createDataFrame(x, "chrom string, s long, e long, name string") for x in (a, b))
+    point = sorted((x[3], y[3]) for x in a for y in b if x[1] <= y[1] <= x[2] or x[1] <= y[2] <= x[2])
+    assert sorted((r.name, r.name_b) for r in intervals.overlap_join(fa, fb).collect()) == point
+    half = sorted((x[3], y[3]) for x in a for y in b if x[1] < y[2] and y[1] < x[2] and x[1] < x[2] and y[1] < y[2])
+    assert sorted((r.name, r.name_b) for r in intervals.overlap_join(fa, fb, mode="overlap").collect()) == half
+
+
+@pytest.mark.parametrize("size", [1, 3, 1 << 16])
+def test_islands_across_ranges(spark, size):
+    places = [0, 1, 2, 3, 4, 5, 6, 7, 9, 12, 14, 15, 17, 18, 19, 20, 26, 29, 30]
+    got = sorted((r.start0, r.end0, r.n) for r in intervals.islands(spark.createDataFrame([("c", s) for s in places], "chrom string, s long"), size).collect())
+    assert got == [(0, 7, 8), (9, 9, 1), (12, 12, 1), (14, 15, 2), (17, 20, 4), (26, 26, 1), (29, 30, 2)]
 
 
 @pytest.fixture(scope="module")
@@ -69,10 +99,13 @@ def test_site_queries(spark, db):
     assert q.comments == ["# note"] and got == [(0, 10, 1), (0, 40, 2), (1, 5, 1)]
     assert sitedb.run(db, sitedb.parse(["c1/0/5"]), range_in_name=True).first().name.startswith("c1:0-5/0.1/")
     assert sitedb.run(db, sitedb.parse([]), max_items=3).count() == 4
-    assert sitedb.parse([":more"], lambda name: ["!BEST/7"]).best == 7
+    assert sitedb.run(db, sitedb.parse(["c2/0/0"]), range_in_name=True).first().name.startswith("c2:0-25/9.1/")
+    sizes = spark.createDataFrame([("c1", 5000), ("c2", 700)], "chrom string, size long")
+    assert sitedb.run(db, sitedb.parse(["c2/0/0"]), range_in_name=True, sizes=sizes).first().name.startswith("c2:0-700/9.1/")
+    assert sitedb.parse([":other.bb", "!BEST/7"]).table == "other.bb"
+    assert sitedb.header(db, q, True, True)[:2] == ["# note", "#range=c1:15-45"] and sitedb.header(db, q, True)[0].startswith("#chrom\tchromStart")
     regions = sitedb.regions_frame(spark, [("c1", 15, 45), ("c1", 0, 0)])
-    few, many = (sorted((r.rid, r.chromStart) for r in sitedb.in_regions(db, regions, 16, n).collect()) for n in (100, 0))
-    assert few == many and len(few) == 15
+    assert sitedb.in_regions(db, regions).count() == 15
     with pytest.raises(ValueError):
         sitedb.run(db, sitedb.parse(["$nothing\t0\t1"]))
     assert sitedb.run(db, sitedb.parse(["$nothing\t0\t1"]), ignore_missing=True).count() == 11
@@ -88,4 +121,6 @@ def test_filters(spark):
         filters.copies_match(F.col("n"), "__import__('os')")
     g = spark.createDataFrame([("ACGTACGTAC", 1), ("ACgTACGTAC", 1), ("TTTTTCGCGC", 1), ("ACGTACGTAC", 9), ("AAAAAAAAAC", 1)], "kmer string, n long")
     assert g.where(filters.guide_quality(F.col("kmer"), F.col("n"), max_copies=5)).count() == 1
+    assert g.where(filters.guide_quality(F.col("kmer"), F.col("n"), max_copies=9)).count() == 2
+    assert g.where(filters.guide_quality(F.col("kmer"), F.col("n"), max_copies=9, allow_lowercase=True)).count() == 3
     assert g.where(filters.guide_quality(F.col("kmer"), F.col("n"), max_t=9, max_tandem_t=4)).count() == 2

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,34 @@ def test_streaming_counts(spark, tmp_path):
     query = streaming_counts(stream, 2).writeStream.outputMode("complete").format("memory").queryName("kmer_stream").trigger(availableNow=True).start()
     query.awaitTermination()
     assert rows(spark.table("kmer_stream"), "kmer", "n") == [("AA", 1), ("AC", 2), ("CG", 2), ("GT", 2), ("TT", 1)]
+
+
+def test_fasta_in_chunks(spark, tmp_path):
+    """Records over several lines, files and splits: every window once, at its place in its record."""
+    rng = random.Random(1)
+    seqs = {f"c{k}": "".join(rng.choices("ACGT", k=n)) for k, n in enumerate((1, 90, 700, 5000, 3))}
+    (tmp_path / "g").mkdir()
+    for f, names in (("a.fa", ["c0", "c1", "c2"]), ("b.fa", ["c3", "c4"])):
+        (tmp_path / "g" / f).write_text("".join(f">{c} text\n" + "".join(seqs[c][i : i + 7] + "\n" for i in range(0, len(seqs[c]), 7)) + "\n" for c in names))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600b")
+    try:
+        chunks = files.read_fasta_chunks(spark, str(tmp_path / "g"), 9, 50)
+        got = rows(sites.sites(chunks, "XXXXXXXGG"), "chrom", "start0", "kmer", "strand")
+        whole = spark.createDataFrame(list(seqs.items()), "chrom string, seq string")
+        assert got == rows(sites.sites(whole, "XXXXXXXGG"), "chrom", "start0", "kmer", "strand") and len(got) > 100
+        assert rows(files.read_fasta_chunks(spark, str(tmp_path / "g"), 1, 1 << 20), "chrom", "offset", "seq") == sorted((c, 0, s) for c, s in seqs.items())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_dumps_and_orders(spark):
+    found = spark.createDataFrame([("AC", "1", 5, "+"), ("AC", "1", 2, "-"), ("GT", "2", 0, "+")], "kmer string, chrom string, start0 long, strand string")
+    assert [r.line for r in sites.text_dump(found).collect()] == ["111001000\tF:1:5", "111001000\tR:1:2", "111010011\tF:2:0"]
+    assert [(r.kmer, r.start0) for r in sites.by_key(found).collect()] == [("GT", 0), ("AC", 2), ("AC", 5)]
+    assert [r.start0 for r in sites.by_place(found).collect()] == [2, 5, 0]
+    assert tuple(sites.totals(found, 2).first()) == (3, 2, 1, 2) and tuple(sites.totals(found.limit(0)).first()) == (0, 0, 0, 0)
+    old = sites.to_bed6(sites.with_copies(found).withColumn("end1", F.col("start0") + 2), with_seq=False)
+    assert {r.name for r in old.collect()} == {"456.2", "467.1"}
+    codes = spark.createDataFrame([(2,), (9,)], "code long")
+    assert rows(kmers.with_range(spark, codes, 4, 6), "code") == [(2,), (4,), (5,), (9,)] and rows(kmers.within_range(codes, 2, 9), "code") == [(2,)]

@@ -45,11 +45,11 @@ def profiles(found):
 def test_tables_count_three_mismatches(spark, near_sites):
     d, found = near_sites
     want = profiles(found)
-    got = Q.QUERIES["db_annotate18_whole"](spark, d).collect()
+    got = Q.QUERIES["db_annotate18"](spark, d).collect()
     assert len(got[0]) == 18 and sorted((r.chrom, r.chromStart, r.spacerSeq, r.strand) for r in got) == sorted(found)
     assert all([r.n0mismatches, r.n1mismatches, r.n2mismatches, r.n3mismatches] == want[r.spacerSeq] and r.totalOffSites == sum(want[r.spacerSeq][1:]) for r in got)
     assert any(r.n3mismatches for r in got)
-    clusters = Q.QUERIES["db_annotate22_whole"](spark, d).collect()
+    clusters = Q.QUERIES["db_annotate22"](spark, d).collect()
     assert clusters and len(clusters[0]) == 22 and all(r.offSiteCounts == "/".join(map(str, want[r.spacerSeq])) and r.clusterSize == r.n0mismatches for r in clusters)
 
 
@@ -60,26 +60,26 @@ def test_best_by_three_mismatches(spark, near_sites):
     for chrom, start, kmer, _ in found:
         by_chrom[chrom].append((sum(want[kmer][1:]), start, kmer))
     best = {(c, s, k) for c, rows in by_chrom.items() for _, s, k in sorted(rows)[:2]}
-    got = Q.QUERIES["db_best_n_by_chrom_whole"](spark, d).collect()
+    got = Q.QUERIES["db_best_n_by_chrom"](spark, d).collect()
     assert {(r.chrom, r.chromStart, r.name.split("/")[1]) for r in got} == best
     gc = lambda kmer: sum(c in "GC" for c in kmer)
     for rid, (chrom, lo, hi) in enumerate(Q.REGIONS):
         rows = [r for r in by_chrom[chrom] if r[1] + 20 > lo and (hi <= 0 or r[1] < hi)]
         first = sorted(rows, key=lambda r: (r[0], -gc(r[2]), r[1]))[:4]
-        told = sorted((r["rank"], r.chromStart, r.name.split("/")[1]) for r in Q.QUERIES["db_best_n_whole"](spark, d).where(f"rid = {rid}").collect())
+        told = sorted((r["rank"], r.chromStart, r.name.split("/")[1]) for r in Q.QUERIES["db_best_n"](spark, d).where(f"rid = {rid}").collect())
         assert [x[1:] for x in told] == [r[1:] for r in first]
 
 
 def test_lenient_sites_and_absent_sample_of_all_prefixes(spark, near_sites):
     d, _ = near_sites
-    assert {r.kmer[0] for r in Q.QUERIES["site_lenient_motif_whole"](spark, d).collect()} == set(BASES)
+    assert {r.kmer[0] for r in Q.QUERIES["site_lenient_motif"](spark, d).collect()} == set(BASES)
     spark.createDataFrame([(1, "abcd" * 3)], "item_id long, text string").write.mode("overwrite").parquet(f"{d}/benchmark.parquet")
-    drawn = [r.kmer for r in Q.QUERIES["absent_sample_whole"](spark, d).collect()]
+    drawn = [r.kmer for r in Q.QUERIES["absent_sample"](spark, d).collect()]
     assert len(drawn) == 50 and len({k[:2] for k in drawn}) > 4
 
 
 def test_overlaps_of_all_flags(spark, tmp_path):
-    lines = [(1, 1, 7, 5.0, "R"), (1, 1, 7, 4.0, "A"), (2, 1, 7, 9.0, "N"), (2, 50, 7, 9.0, "N")]
-    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert sorted((r.s_b, r.e_b) for r in Q.QUERIES["overlap_join_whole"](spark, str(tmp_path)).collect()) == [(11, 15), (12, 21)]
-    assert sorted((r.s_b, r.e_b, r.n) for r in Q.QUERIES["overlap_join_halfopen_whole"](spark, str(tmp_path)).collect()) == [(11, 15, 4), (12, 21, 4)]
+    lines = [(1, 1, 7, 5.0, "R", "O"), (1, 1, 7, 4.0, "A", "O"), (2, 1, 7, 9.0, "N", "F"), (2, 50, 7, 9.0, "N", "F")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted((r.s_b, r.e_b) for r in Q.QUERIES["overlap_join"](spark, str(tmp_path)).collect()) == [(11, 15), (12, 21)]
+    assert sorted((r.s_b, r.e_b, r.n) for r in Q.QUERIES["overlap_join_halfopen"](spark, str(tmp_path)).collect()) == [(11, 15, 4), (12, 21, 4)]
