@@ -82,7 +82,7 @@ def chains(items: DataFrame, lo: int, hi: int, least: int, most: int, overlap: b
 def _runs(p: DataFrame, by: list[str], s: str, e: str) -> DataFrame:
     """Joins adjacent runs (s to e, inclusive) within groups."""
     turn = Window.partitionBy(*by).orderBy(s)
-    new = F.coalesce(F.lag(e).over(turn) != F.col(s) - 1, F.lit(True)).cast("int")
+    new = F.coalesce(F.lag(e).over(turn) < F.col(s) - 1, F.lit(True)).cast("int")  # equal places are one
     marked = p.withColumn("new", new).withColumn("run", F.sum("new").over(turn.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*by, "run").agg(F.min(s).alias("start0"), F.max(e).alias("end0")).drop("run")
 
@@ -92,7 +92,7 @@ def islands(points: DataFrame, size: int = 1 << 16) -> DataFrame:
 
     Runs are made within ranges of ``size`` places, so no task sees a whole chromosome; then those that touch the edge of a range,
     two a range at most, are joined."""
-    p = points.select("chrom", "s").distinct().withColumns({"range": F.floor(F.col("s") / size), "e": F.col("s")})
+    p = points.select("chrom", "s").withColumns({"range": F.floor(F.col("s") / size), "e": F.col("s")})
     parts = _runs(p, ["chrom", "range"], "s", "e")
     edge = (F.pmod("start0", F.lit(size)) == 0) | (F.pmod(F.col("end0") + 1, F.lit(size)) == 0)
     joined = _runs(parts.where(edge).select("chrom", "start0", "end0"), ["chrom"], "start0", "end0")
