@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -17,81 +14,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: blank and the five ASCII controls 9 to 13.
-SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
-#: Folders made and not yet deleted, with the session that made them.
-_left: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what ``spark.checkpoint.dir`` names.  Only where that is unset and the
-    session runs on one machine a fresh temporary folder is made and remembered,
-    so that all operators of one session use the same one; a cluster must name it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _left[path] = spark
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back: lineage ends here,
-    and a lost executor costs no recomputation of what came before."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.written_to = path
-    return table
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared storage through Spark's own file system layer, where the session has one."""
-    _left.pop(path, None)
-    if hasattr(spark, "_jvm"):
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+from seqloom.sources.shared import finished, fresh_path, remove, remove_all, remove_table, shared_dir, written
 
+__all__ = ["finished", "fresh_path", "remove", "remove_all", "remove_table", "shared_dir", "written"]
 
-def remove_table(*tables: DataFrame | None) -> None:
-    """Delete the folders behind tables made by :func:`written` when their last reader is done."""
-    for table in tables:
-        if table is not None and getattr(table, "written_to", None) in _left:
-            remove(table.sparkSession, table.written_to)
-
-
-def finished(result: DataFrame, name: str, *tables: DataFrame | None) -> DataFrame:
-    """The result, written, and the tables that it was made of deleted."""
-    out = written(result, name)
-    remove_table(*tables)
-    return out
-
-
-def remove_all(spark: SparkSession | None = None) -> None:
-    """Delete every folder still there.  Results that are not read yet lose their tables: a long session calls this
-    between queries, any other is cleaned at its end."""
-    for path in list(_left):
-        try:
-            remove(spark or _left[path], path)
-        except Exception:  # noqa: BLE001  the session may be gone
-            _left.pop(path, None)
-
-
-atexit.register(remove_all)
-
-
-@contextmanager
+#: White space of the contracts: blank and the five ASCII controls 9 to 13.
+SPACE = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]
 def few_records(spark: SparkSession, n: int = 4) -> Iterator[None]:
     """For jobs started within: at most n rows at once between JVM and Python, where a row is large."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
