@@ -20,7 +20,10 @@ __all__ = ["finished", "fresh_path", "remove", "remove_all", "remove_table", "sh
 
 #: White space of the contracts: blank and the five ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+@contextmanager
 def few_records(spark: SparkSession, n: int = 4) -> Iterator[None]:
     """For jobs started within: at most n rows at once between JVM and Python, where a row is large."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
