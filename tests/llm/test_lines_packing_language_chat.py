@@ -3,7 +3,6 @@ import random
 import zlib
 
 import numpy as np
-import pytest
 
 from seqloom.llm import chat as C
 from seqloom.llm import langid as G
@@ -35,11 +34,10 @@ def told(rows):
     return sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in rows.collect())
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 20])
-def test_lines(spark, docs, limit):
+def test_lines(spark, docs):
     index = L.LineIndex(spark, keys_per_shard=3)
     index.insert(docs(*LINES))
-    assert told(index.dropped(docs(*LINES), broadcast_bytes=limit)) == brute_lines(LINES)
+    assert told(index.dropped(docs(*LINES))) == brute_lines(LINES)
 
 
 def test_lines_are_reversible(spark, docs):
@@ -71,7 +69,7 @@ TEXTS = ["", None, "It's 12 naïve, É don't!", "<|endoftext|> x", "日本\x1cab
 def test_packing(docs):
     rows = [(k if k != 6 else None, t, None) for k, t in enumerate(TEXTS)] + [(50 + k, "some words here " * (k % 90), None) for k in range(200)]
     cache = P.word_cache(P.word_tokenizer())
-    got = P.pack(docs(*rows), P.word_tokenizer(), pieces_per_node=20, fan=2, carried=5).collect()
+    got = P.pack(docs(*rows), P.word_tokenizer(), pieces_per_node=20, fan=2, handed_on=5).collect()
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -101,7 +99,7 @@ def test_odd_white_space_between_plain_ends(docs):
 
 def test_bound_on_bins_costs_no_sequences(spark):
     pieces = spark.range(800).selectExpr("id AS uid", "0 AS piece", "CAST(IF(id % 40 = 0, 1 + id % 900, 1025 + pmod(xxhash64(id), 1000)) AS INT) AS length")
-    few, all_ = (P.packed(pieces, pieces_per_node=50, fan=4, carried=n).select("sequence_id").distinct().count() for n in (4, 10**9))
+    few, all_ = (P.packed(pieces, pieces_per_node=50, fan=4, handed_on=n).select("sequence_id").distinct().count() for n in (4, 10**9))
     assert few == all_
 
 
