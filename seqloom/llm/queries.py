@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, secret_scan, suffix_dedup, topk
+from seqloom.llm import ann, chat, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, repair, secret_scan, suffix_dedup, topk, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_top_k": topk.op9_top_k,
     "op10_language_id": langid.op10_language_id,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_nearest": ann.op13_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {
