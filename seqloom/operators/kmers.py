@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
+from seqloom.operators import absence
 from seqloom.operators.sites import sites
 
 
@@ -22,6 +23,25 @@ def kmer_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).withColumn("code", S.kmer_code(F.col("kmer")))
 
 
+def strand_counts(genome: DataFrame, k: int) -> DataFrame:
+    """(kmer, n, code) of the windows of both strands of (chrom, seq): what :func:`kmer_counts` of :func:`kmers` gives.
+
+    Runs of bases are cut into chunks in one pass, each with the first k - 1 bases of the next, so no window is tested.  A window is counted once,
+    as the lesser of itself and its reverse complement, which is read off the chunk's reverse complement; both
+    have the same count in the end, so half as many rows are made and shuffled as there are windows on two strands."""
+    size = max(64, 2 * k)
+    chunk = f"(?=([ACGT]{{{k},{size + k - 1}}}))[ACGT]{{1,{size}}}"
+    chunks = genome.select(F.explode(F.regexp_extract_all(S.normalise(F.col("seq")), F.lit(chunk), F.lit(1))).alias("chunk"))
+    places = chunks.select("chunk", S.revcomp(F.col("chunk")).alias("other"), F.explode(F.sequence(F.lit(1), F.length("chunk") - (k - 1))).alias("o"))
+    back = F.length("chunk") - (k - 2) - F.col("o")
+    lesser = F.least(F.substring(F.col("chunk"), F.col("o"), F.lit(k)), F.substring(F.col("other"), back, F.lit(k)))
+    counts = places.select(lesser.alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    twin = S.revcomp(F.col("kmer"))
+    one = lambda kmer, n: F.struct(kmer.alias("kmer"), n.alias("n"))
+    both = F.when(F.col("kmer") == twin, F.array(one(F.col("kmer"), 2 * F.col("n")))).otherwise(F.array(one(F.col("kmer"), F.col("n")), one(twin, F.col("n"))))
+    return counts.select(F.inline(both)).withColumn("code", S.kmer_code(F.col("kmer")))
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("kmer").union(b.select("kmer")).distinct()
 
@@ -45,13 +65,9 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
     return symmetric_difference(a, b).isEmpty()
 
 
-def absent(spark: SparkSession, present: DataFrame, k: int, prefix: str = "", motif: str = "") -> DataFrame:
-    """(code, kmer) of all k-mers that ``present`` lacks; a prefix bounds the codes.  Codes are compared, and only what is left is spelled."""
-    lo = sum("ACGT".index(c) * 4 ** (k - 1 - i) for i, c in enumerate(prefix))
-    space = spark.range(lo, lo + 4 ** (k - len(prefix))).select(F.col("id").alias("code"))
-    held = present.select(F.col("code") if "code" in present.columns else S.kmer_code(F.col("kmer")).alias("code"))
-    rows = space.join(held, "code", "left_anti").withColumn("kmer", S.kmer_of_code(F.col("code"), k))
-    return rows.where(F.col("kmer").rlike(S.motif_regex(motif))) if motif else rows
+def absent(spark: SparkSession, present: DataFrame, k: int, prefix: str = "", motif: str = "", limit: int = 0) -> DataFrame:
+    """(code, kmer) of all k-mers that ``present`` lacks, or of the ``limit`` smallest; see :mod:`seqloom.operators.absence`."""
+    return absence.absent(present, k, prefix, motif, limit)
 
 
 def with_range(spark: SparkSession, codes: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -65,7 +81,7 @@ def within_range(codes: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def absent_count(present: DataFrame, k: int) -> DataFrame:
-    return present.select("kmer").distinct().agg((F.lit(4**k).cast("long") - F.count(F.lit(1))).alias("n_absent"))
+    return absence.absent_count(present, k)
 
 
 def sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -42,9 +42,9 @@ def profile(queries: DataFrame, counts: DataFrame, m: int, bag: bool = True, lis
     """Adds n0..nm and off_site_counts to ``queries`` (with a column kmer): sites at each distance, or
     distinct k-mers if not ``bag``.  With ``listing``, also ``found``: each k-mer found with its count, by
     distance and code, bases that differ in lower case; the query itself comes first even with none.
-    Queries that are no k-mers get nulls.  k saves a look at the table; a plan for the real numbers of rows may be given."""
+    Queries that are no k-mers get nulls; a column ``code`` of theirs is taken as it is.  k saves a look at the table; a plan for the real numbers of rows may be given."""
     k = k or counts.select(F.max(F.length("kmer"))).first()[0] or 1
-    coded = queries.withColumn("q", S.kmer_code(F.upper("kmer")))
+    coded = queries.withColumn("q", F.col("code") if "code" in queries.columns else S.kmer_code(F.upper("kmer")))
     code = F.col("code") if "code" in counts.columns else S.kmer_code(F.col("kmer"))
     table = counts.select(code.alias("code"), F.col("n") if bag else F.lit(1).cast("long").alias("n"))
     asked = coded.where(F.col("q").isNotNull() & (F.length("kmer") == k)).select("q").distinct()

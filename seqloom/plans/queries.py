@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
-from seqloom.operators import annotate, filters, intervals, kmers, neighbors, sitedb, sites
+from seqloom.operators import absence, annotate, filters, intervals, kmers, neighbors, pages, shards, sitedb, sites
 from seqloom.plans import hamming
 from seqloom.plans import views as V
 from seqloom.sources import files, shared
@@ -52,8 +52,12 @@ def _kmers(spark: SparkSession, d: str, pam: str = "", prefix: str = "") -> Data
     return kmers.kmers(V.genome(spark, d), K, pam, prefix)
 
 
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.strand_counts(V.genome(spark, d), K)
+
+
 def _others(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.kmers(V.benchmark_genome(spark, d), K)
+    return kmers.strand_counts(V.benchmark_genome(spark, d), K)
 
 
 # --- sites ------------------------------------------------------------------------------------
@@ -229,12 +233,12 @@ def kmer_encodings(spark, d):
 
 @_query(f"{ALL_SQL} SELECT DISTINCT kmer, {_code('kmer')} AS code FROM sites")
 def kmer_set(spark, d):
-    return kmers.kmer_set(_kmers(spark, d))
+    return kmers.kmer_set(_counts(spark, d))
 
 
 @_query(f"{ALL_SQL} SELECT kmer, count(*) AS n, {_code('kmer')} AS code FROM sites GROUP BY kmer")
 def kmer_counts(spark, d):
-    return kmers.kmer_counts(_kmers(spark, d))
+    return _counts(spark, d)
 
 
 @_query(f"WITH {V.GENOME_SQL}, {V.sites_sql('X' * K + 'NGG', '[ACGT]{9}GG')} SELECT kmer, count(*) AS n FROM sites WHERE kmer LIKE 'CA%' GROUP BY kmer")
@@ -244,22 +248,22 @@ def kmer_counts_prefix(spark, d):
 
 @_query(f"{ALL_SQL} SELECT kmer FROM sites UNION SELECT kmer FROM others")
 def kmer_union(spark, d):
-    return kmers.union(_kmers(spark, d), _others(spark, d))
+    return kmers.union(_counts(spark, d), _others(spark, d))
 
 
 @_query(f"{ALL_SQL} SELECT kmer FROM sites INTERSECT SELECT kmer FROM others")
 def kmer_intersect(spark, d):
-    return kmers.intersection(_kmers(spark, d), _others(spark, d))
+    return kmers.intersection(_counts(spark, d), _others(spark, d))
 
 
 @_query(f"{ALL_SQL} SELECT kmer FROM sites EXCEPT SELECT kmer FROM others")
 def kmer_except(spark, d):
-    return kmers.difference(_kmers(spark, d), _others(spark, d))
+    return kmers.difference(_counts(spark, d), _others(spark, d))
 
 
 @_query(f"{ALL_SQL} SELECT kmer, max(l) AS in_left, max(r) AS in_right FROM (SELECT kmer, 1 AS l, 0 AS r FROM sites UNION ALL SELECT kmer, 0, 1 FROM others) GROUP BY kmer HAVING max(l) <> max(r)")
 def kmer_symdiff(spark, d):
-    return kmers.symmetric_difference(_kmers(spark, d), _others(spark, d))
+    return kmers.symmetric_difference(_counts(spark, d), _others(spark, d))
 
 
 SPACE_SQL = f"""space AS (SELECT c AS code, list_aggregate(list_transform(range(0, {K}), lambda i: substr('ACGT', ((c >> (2 * ({K - 1} - i))::int) & 3)::int + 1, 1)), 'string_agg', '') AS kmer
@@ -268,30 +272,31 @@ SPACE_SQL = f"""space AS (SELECT c AS code, list_aggregate(list_transform(range(
 
 @_query(f"{ALL_SQL}, {SPACE_SQL} SELECT code, kmer FROM absent")
 def absent_kmers(spark, d):
-    return kmers.absent(spark, _kmers(spark, d), K)
+    return kmers.absent(spark, _counts(spark, d), K)
 
 
 @_query(f"{ALL_SQL} SELECT ({4**K} - count(DISTINCT kmer))::bigint AS n_absent FROM sites")
 def absent_count(spark, d):
-    return kmers.absent_count(_kmers(spark, d), K)
+    return kmers.absent_count(_counts(spark, d), K)
 
 
 @_query(f"{ALL_SQL}, {SPACE_SQL} SELECT code, kmer FROM absent WHERE regexp_full_match(kmer, '[ACGT]{{6}}[AG][CT]') ORDER BY code LIMIT 100")
 def absent_motif_limited(spark, d):
-    return kmers.first(kmers.absent(spark, _kmers(spark, d), K, motif="XXXXXXRY"), 100)
+    return kmers.absent(spark, _counts(spark, d), K, motif="XXXXXXRY", limit=100)
 
 
 @_query(f"{ALL_SQL}, {SPACE_SQL} SELECT code, kmer FROM absent ORDER BY md5('7:' || kmer), kmer LIMIT 50")
 def absent_sample(spark, d):
-    return kmers.sample(kmers.absent(spark, _kmers(spark, d), K), 50, seed=7)
+    return kmers.sample(kmers.absent(spark, _counts(spark, d), K), 50, seed=7)
 
 
 @_query(f"""{ALL_SQL}, {SPACE_SQL}, c AS (SELECT kmer, count(*) AS n FROM sites GROUP BY kmer),
 v AS (SELECT a.kmer, substr(a.kmer, 1, i::int) || b || substr(a.kmer, i::int + 2) AS v FROM absent AS a, (SELECT unnest(range(0, {K})) AS i), (SELECT unnest(['A', 'C', 'G', 'T']) AS b) WHERE substr(a.kmer, i::int + 1, 1) <> b)
 SELECT a.kmer, 0::bigint AS n0, coalesce(sum(c.n), 0)::bigint AS n1 FROM absent AS a JOIN v ON a.kmer = v.kmer LEFT JOIN c ON c.kmer = v.v GROUP BY a.kmer""")
 def absent_profile(spark, d):
-    found = _kmers(spark, d)
-    return neighbors.profile(kmers.absent(spark, found, K).select("kmer"), kmers.kmer_counts(found), 1, k=K).select("kmer", "n0", "n1")
+    counts = shared.written(_counts(spark, d), "counts")
+    rows = neighbors.profile(kmers.absent(spark, counts, K), counts, 1, k=K).select("kmer", "n0", "n1")
+    return shared.finished(rows, "absent-profile", counts)
 
 
 def _absent_bounded_sql(bounds: list[int], where: str, limit: int) -> str:
@@ -304,14 +309,79 @@ SELECT * FROM p WHERE {keep} ORDER BY code LIMIT {limit}"""
 
 @_query(_absent_bounded_sql([120, 4000], "regexp_full_match(a.kmer, '[ACGT]{6}[AG][CT]')", 200))
 def absent_bounded_motif(spark, d):
-    counts = shared.written(kmers.kmer_counts(_kmers(spark, d)), "counts")
-    return neighbors.absent_within(spark, counts, K, [120, 4000], motif="XXXXXXRY", limit=200)
+    counts = shared.written(_counts(spark, d), "counts")
+    return shared.finished(neighbors.absent_within(spark, counts, K, [120, 4000], motif="XXXXXXRY", limit=200), "absent-bounded", counts)
 
 
 @_query(_absent_bounded_sql([None, 3000], "a.kmer LIKE 'GC%'", 200))
 def absent_bounded_prefix(spark, d):
-    counts = shared.written(kmers.kmer_counts(_kmers(spark, d)), "counts")
-    return neighbors.absent_within(spark, counts, K, [None, 3000], prefix="GC", limit=200)
+    counts = shared.written(_counts(spark, d), "counts")
+    return shared.finished(neighbors.absent_within(spark, counts, K, [None, 3000], prefix="GC", limit=200), "absent-bounded", counts)
+
+# --- absent k-mers as gaps and draws; sets as pages -------------------------------------------------
+
+def _gaps_sql(k: int, codes: str = "SELECT DISTINCT code FROM coded") -> str:
+    return f"""coded AS (SELECT {_code('kmer')} AS code FROM (SELECT DISTINCT kmer FROM sites)), held AS ({codes} UNION ALL SELECT {4**k}),
+gaps AS (SELECT first, code - 1 AS last, code - first AS n FROM (SELECT code, coalesce(lag(code) OVER (ORDER BY code), -1) + 1 AS first FROM held) WHERE first < code)"""
+
+
+@_query(f"{ALL_SQL}, {_gaps_sql(K)} SELECT first, last, n FROM gaps")
+def absent_gaps(spark, d):
+    """Runs of codes that do not occur."""
+    return absence.gaps(_counts(spark, d), K).select("first", "last", "n")
+
+
+@_query(f"""WITH {V.GENOME_SQL}, {V.sites_sql('X' * 16, '[ACGT]{16}')}, {_gaps_sql(16)},
+r AS (SELECT *, sum(n) OVER (ORDER BY first) - n AS ahead FROM gaps), f AS (SELECT first, least(last, first + 999 - ahead)::bigint AS last FROM r WHERE ahead < 1000)
+SELECT unnest(range(first, last + 1)) AS code FROM f""")
+def absent_first_16(spark, d):
+    """The first 1,000 of the 16-mers that do not occur, of 4^16."""
+    return kmers.absent(spark, kmers.strand_counts(V.genome(spark, d), 16), 16, limit=1000).select("code")
+
+
+def _draw_sql(size: int, seed: int) -> str:
+    """The bijection of :func:`absence.shuffled` over all draws."""
+    bits = absence.half_bits(size)
+    steps = [f"r0 AS (SELECT draw, draw >> {bits} AS l, draw & {(1 << bits) - 1} AS r FROM (SELECT unnest(range(0, {4**bits})) AS draw))"]
+    for k, key in enumerate(absence.keys(seed)):
+        steps.append(f"m{k} AS (SELECT draw, l, r, (r * {absence.MIX_A} + {key}) % {1 << absence.MIX_BITS} AS t FROM r{k})")
+        steps.append(f"x{k} AS (SELECT draw, l, r, (xor(t, t >> 13) * {absence.MIX_B}) % {1 << absence.MIX_BITS} AS t FROM m{k})")
+        steps.append(f"r{k + 1} AS (SELECT draw, r AS l, xor(l, xor(t, t >> 15) & {(1 << bits) - 1}) AS r FROM x{k})")
+    return ", ".join(steps) + f", drawn AS (SELECT draw, (l << {bits}) | r AS rank FROM r{absence.ROUNDS})"
+
+
+@_query(f"{ALL_SQL}, {SPACE_SQL}, {_draw_sql(4**K, 7)} SELECT d.draw, a.code, a.kmer FROM drawn AS d JOIN absent AS a ON a.code = d.rank ORDER BY d.draw LIMIT 50")
+def absent_draw(spark, d):
+    """Fifty 8-mers that do not occur, drawn at random without listing the others."""
+    return absence.draw_absent(spark, _counts(spark, d), K, 50, seed=7)
+
+
+def _page_sets(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The sets of documents and of benchmark items, stored as pages and read again."""
+    out = []
+    for table in (_counts(spark, d), _others(spark, d)):
+        path = shared.fresh_path(spark, "pages")
+        pages.write_pages(pages.pages(table), path)
+        out.append(pages.read_pages(spark, path))
+    return out[0], out[1]
+
+
+@_query(f"{ALL_SQL}, u AS (SELECT kmer FROM sites UNION SELECT kmer FROM others) SELECT kmer, {_code('kmer')} AS code FROM u")
+def page_union(spark, d):
+    return pages.members(pages.union(*_page_sets(spark, d)), K).select("kmer", "code")
+
+
+@_query(f"""{ALL_SQL}, a AS (SELECT DISTINCT kmer FROM sites), b AS (SELECT DISTINCT kmer FROM others)
+SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, (SELECT count(*) FROM a WHERE kmer IN (FROM b)) AS n_both, (SELECT count(*) FROM (FROM a UNION FROM b)) AS n_either,
+{4**K} - (SELECT count(*) FROM (FROM a UNION FROM b)) AS n_absent""")
+def page_counts(spark, d):
+    """Sizes of two stored sets, of what both and what either has, and of what neither has, by counting bits."""
+    a, b = _page_sets(spark, d)
+    named = [("left", a), ("right", b), ("both", pages.intersection(a, b)), ("either", pages.union(a, b))]
+    sides = [rows.select(F.lit(name).alias("side"), F.bitmap_count("bits").alias("n")) for name, rows in named]
+    both = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("side") == name, F.col("n"))), F.lit(0).cast("long"))
+    return both.agg(*[of(name).alias(f"n_{name}") for name, _ in named]).withColumn("n_absent", F.lit(4**K).cast("long") - F.col("n_either"))
 
 
 # --- neighbours -------------------------------------------------------------------------------
@@ -373,6 +443,34 @@ def hit_search_input(spark, d):
     return neighbors.hit_search_input(_ngg(spark, d).select("kmer").distinct(), 3)
 
 
+# --- tables in shards ---------------------------------------------------------------------------
+
+def _sharded(spark, d, p: int) -> str:
+    """The counts of all 20-mers before NGG, a folder for each prefix of p bases."""
+    path = shared.fresh_path(spark, "kmer-shards")
+    files.write_kmers(kmers.kmer_counts(_ngg(spark, d)), path, p)
+    return path
+
+
+ITEM_SQL = "q AS (SELECT item_id, substr(regexp_replace(translate(text, '{}', '{}'), '[^ACGTN]', '', 'g'), 1, 20) AS kmer FROM benchmark)".format(V.SOURCE, V.TARGET)
+
+
+@_query(f"""{NGG_SQL}, {ITEM_SQL}, c AS (SELECT kmer, count(*) AS n FROM sites GROUP BY kmer), f AS (SELECT * FROM q WHERE regexp_full_match(kmer, '[ACGT]{{20}}'))
+SELECT f.item_id::bigint AS item_id, f.kmer, {', '.join(f'coalesce(sum(c.n) FILTER (hamming(f.kmer, c.kmer) = {i}), 0)::bigint AS n{i}' for i in range(4))} FROM f LEFT JOIN c ON hamming(f.kmer, c.kmer) <= 3 GROUP BY f.item_id, f.kmer""")
+def shard_profile(spark, d):
+    """The first 20-mer of each benchmark item against a table in shards, of which only those are read that a query can reach."""
+    items = V.benchmark_genome(spark, d).select(F.substring("chrom", 5, 20).cast("long").alias("item_id"), F.substring("seq", 1, 20).alias("kmer")).where("kmer RLIKE '^[ACGT]{20}$'")
+    return shards.profile(items, _sharded(spark, d, 4), 3, 20)
+
+
+@_query(f"{_profile_sql(2, True)} SELECT kmer, n0, n1, n2 FROM profile WHERE kmer LIKE 'AC%' AND n0 <= 2 AND n1 <= 1 AND n0 + n1 + n2 <= 4")
+def shard_profile_bounded(spark, d):
+    """All 20-mers that start with AC, asked shard by shard; what is beyond a bound is not asked again."""
+    path = _sharded(spark, d, 3)
+    asked = files.read_kmers(spark, path).where("kmer LIKE 'AC%'").select("kmer")
+    return shards.profile(asked, path, 2, 20, "2/1/-1/4").select("kmer", "n0", "n1", "n2")
+
+
 # --- intervals --------------------------------------------------------------------------------
 
 @_query(f"""WITH {V.BED_SQL} SELECT a.chrom, a.s, a.e, b.s AS s_b, b.e AS e_b FROM bed AS a JOIN bed AS b
@@ -536,11 +634,10 @@ TRIPLET_SQL = "regexp_full_match(kmer, '(" + "|".join(filters.TRIPLETS) + ")*')"
 
 @_query(f"WITH {V.GENOME_SQL}, {V.sites_sql('X' * 9, '[ACGT]{9}')} SELECT kmer, count(*) AS copies FROM sites WHERE {TRIPLET_SQL} GROUP BY kmer")
 def triplet_filter(spark, d):
-    found = kmers.kmers(V.genome(spark, d), 9).where(filters.triplets_only(F.col("kmer")))
-    return found.groupBy("kmer").agg(F.count(F.lit(1)).alias("copies"))
+    return kmers.strand_counts(V.genome(spark, d), 9).where(filters.triplets_only(F.col("kmer"))).select("kmer", F.col("n").alias("copies"))
 
 
 @_query(f"WITH {V.GENOME_SQL}, {V.sites_sql('X' * 9, '[ACGT]{9}')} SELECT kmer, count(*) AS copies FROM sites WHERE {TRIPLET_SQL} GROUP BY kmer HAVING count(*) > 3 AND count(*) <= 50")
 def triplet_copy_filter(spark, d):
-    found = kmers.kmers(V.genome(spark, d), 9).where(filters.triplets_only(F.col("kmer")))
-    return found.groupBy("kmer").agg(F.count(F.lit(1)).alias("copies")).where(filters.copies_match(F.col("copies"), ">3&&<=50"))
+    counts = kmers.strand_counts(V.genome(spark, d), 9).where(filters.triplets_only(F.col("kmer"))).select("kmer", F.col("n").alias("copies"))
+    return counts.where(filters.copies_match(F.col("copies"), ">3&&<=50"))
