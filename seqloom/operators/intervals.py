@@ -23,10 +23,10 @@ def _holding(a: DataFrame, points: DataFrame, at: str, size: int = 128) -> DataF
     meets in one bin only."""
     width = F.greatest(F.col("e") - F.col("s") + 1, F.lit(1))
     classed = a.where("s <= e").withColumn("class", F.ceil(F.greatest(F.log(width / size) / F.log(F.lit(4.0)), F.lit(0.0)) - 1e-9).cast("int"))
-    classes = sorted(r[0] for r in classed.select("class").distinct().collect())
+    classes = classed.agg(F.collect_set("class")).scalar()  # 30 numbers at most, found when the join runs
     wide = lambda c: F.pow(F.lit(4.0), c) * size
     left = classed.select("*", _bins(F.col("s"), F.col("e"), wide(F.col("class"))).alias("bin"))
-    right = points.select("*", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>")).alias("class_b")).withColumn("bin_b", F.floor(F.col(at) / wide(F.col("class_b"))))
+    right = points.select("*", F.explode(classes).alias("class_b")).withColumn("bin_b", F.floor(F.col(at) / wide(F.col("class_b"))))
     on = (F.col("chrom") == F.col("chrom_b")) & (F.col("class") == F.col("class_b")) & (F.col("bin") == F.col("bin_b")) & F.col(at).between(F.col("s"), F.col("e"))
     return left.join(right, on).drop("class", "class_b", "bin", "bin_b")
 
@@ -53,12 +53,12 @@ def overlap_join(a: DataFrame, b: DataFrame, mode: str = "endpoint", size: int =
     return found.where((F.col("p.which") == 0) | ~F.col("s_b").between(F.col("s"), F.col("e"))).select(*names)
 
 
-def chains(items: DataFrame, lo: int, hi: int, least: int, most: int, overlap: bool = False, size: int | None = None) -> DataFrame:
+def chains(items: DataFrame, lo: int, hi: int, least: int, most: int, overlap: bool = False, size: int | None = None, blocks: bool = False) -> DataFrame:
     """Maximal chains of ``least`` to ``most`` distinct intervals (chrom, s, e, name) whose gaps lie in [lo, hi].
 
     The next one starts beyond the end of the last one or, if ``overlap``, only comes later in order; names then carry ``/strand``, if
     there is one.  A chain ends where its last interval does.  Which interval can follow which is found by one equality join on
-    bins of the reach and written down; chains grow along these links by equality and are maximal if they have ``most`` members or their last one has no link."""
+    bins of the reach and written down; chains grow along these links by equality and are maximal if they have ``most`` members or their last one has no link.  With ``blocks`` the members come too."""
     size = size or max(1, hi - lo + 1)
     name = F.concat("name", F.lit("/"), "strand") if overlap and "strand" in items.columns else F.col("name")
     rows = items.select("chrom", "s", "e", name.alias("name")).distinct().select("chrom", F.struct("s", "e", "name").alias("x"))
@@ -76,7 +76,16 @@ def chains(items: DataFrame, lo: int, hi: int, least: int, most: int, overlap: b
             follow = links.select("chrom", "x", F.col("y").alias("z"))
             paths = paths.withColumnRenamed("y", "x").join(follow, ["chrom", "x"]).select("chrom", F.concat("blocks", F.array("z")).alias("blocks"), F.col("z").alias("y"))
     rows = reduce(DataFrame.unionByName, [d.select("chrom", "blocks") for d in done])
-    return rows.select("chrom", F.col("blocks")[0]["s"].alias("s"), F.element_at("blocks", -1)["e"].alias("e"), F.size("blocks").cast("long").alias("n"), F.array_join(F.transform("blocks", lambda x: x["name"]), ":").alias("name"))
+    return rows.select("chrom", F.col("blocks")[0]["s"].alias("s"), F.element_at("blocks", -1)["e"].alias("e"), F.size("blocks").cast("long").alias("n"), F.array_join(F.transform("blocks", lambda x: x["name"]), ":").alias("name"), *["blocks"] * blocks)
+
+
+def chain_bed12(chained: DataFrame) -> DataFrame:
+    """BED12 rows of chains with their blocks: sizes and starts within the chain; they have no score and no strand."""
+    listed = lambda f: F.array_join(F.transform("blocks", f), ",")
+    return chained.select(
+        "chrom", F.col("s").alias("start0"), F.col("e").alias("end1"), "name", F.lit(0).cast("long").alias("copies"), F.lit(".").alias("strand"), F.col("s").alias("thick_start"), F.col("e").alias("thick_end"), F.lit("0,0,0").alias("rgb"),
+        F.col("n").alias("block_count"), listed(lambda b: (b["e"] - b["s"]).cast("string")).alias("block_sizes"), listed(lambda b: (b["s"] - F.col("s")).cast("string")).alias("block_starts"),
+    )
 
 
 def _runs(p: DataFrame, by: list[str], s: str, e: str) -> DataFrame:

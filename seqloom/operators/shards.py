@@ -58,7 +58,7 @@ def shard_table(spark: SparkSession, path: str, shards: list[str]) -> DataFrame:
 
 
 def profile(queries: DataFrame, path: str, m: int, k: int, bounds: str = "", per_round: int = 16, bag: bool = True) -> DataFrame:
-    """``queries`` (with a column kmer) with n0..nm over the table in shards at ``path``.
+    """``queries`` (with a column kmer) with n0..nm over the table in shards at ``path``, or ``path.[AA,AC]`` for some of its shards.
 
     With ``bounds`` (``m0/m1/../mm/total``, -1 is none) only queries within them come back.  Queries that are no k-mers of k bases have null
     counts, or with bounds do not come back."""
@@ -67,7 +67,8 @@ def profile(queries: DataFrame, path: str, m: int, k: int, bounds: str = "", per
     names = [f"n{i}" for i in range(m + 1)]
     coded = queries.withColumn("q", F.when(F.length("kmer") == k, S.kmer_code(F.upper("kmer"))))
     asked = written(coded.select("q").where("q IS NOT NULL").distinct(), "shard-queries")
-    shards = shard_list(spark.read.parquet(path))
+    shards = shard_list(files.read_kmers(spark, path))
+    path = path.split("[")[0].removesuffix(".")
     p = len(shards[0]) if shards else 0
     state = asked.select("q", *[F.lit(0).cast("long").alias(n) for n in names])
     within = F.lit(True)

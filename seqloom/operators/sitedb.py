@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.operators import intervals
+from seqloom.sources import stores
 
 NO_BOUND = -10000
 
@@ -121,3 +122,16 @@ def header(db: DataFrame, query: SiteQuery, with_header: bool = False, print_com
     """The lines that go before a query's result: comments and regions as asked for, and the header."""
     lines = [*query.comments, *[f"#range={c}:{s}-{e}" for c, s, e in query.regions]] if print_comments else []
     return lines + ["#" + "\t".join(db.columns)] * with_header
+
+
+def ask(spark: SparkSession, lines: Iterable[str], db: DataFrame | None = None, **options) -> DataFrame:
+    """What a query written as lines asks for, of ``db`` or of the stored site table that its ``:`` line names.
+
+    Of a stored table only the folders and row groups that the regions can touch are read, and chromosomes have their stored sizes."""
+    query = parse(lines)
+    if query.table is None:
+        if db is None:
+            raise ValueError("no table to ask")
+        return run(db, query, **options)
+    store = stores.open_sites(spark, query.table)
+    return run(store.near(query.regions), query, sizes=store.sizes, **options)

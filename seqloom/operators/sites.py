@@ -129,16 +129,16 @@ def first_of_each(counted: DataFrame, max_copies: int) -> DataFrame:
 def clusters(found: DataFrame) -> DataFrame:
     """BED12 rows of k-mers whose sites all lie on one chromosome without overlapping; single sites are clusters of one.
 
-    K-mers on several chromosomes go by aggregation before any list is made."""
+    K-mers on several chromosomes, or with more sites than fit side by side from their first to their last, go by aggregation; of the rest the least
+    gap is known before any list is made."""
     k = F.length("kmer")
-    one = found.groupBy("kmer").agg(F.min("chrom").alias("chrom"), F.max("chrom").alias("other")).where("chrom = other").select("kmer")
-    # The least gap is known before any list is made.
+    room = F.count(F.lit(1)) * F.max(k) <= F.max("start0") - F.min("start0") + F.max(k)
+    one = found.groupBy("kmer").agg(F.min("chrom").alias("chrom"), F.max("chrom").alias("other"), room.alias("room")).where("chrom = other AND room").select("kmer")
     gap = F.col("start0") - F.lag("start0").over(Window.partitionBy("kmer").orderBy("start0"))
-    placed = found.join(one, "kmer").withColumn("gap", gap)
-    lists = placed.groupBy("kmer", "chrom").agg(
-        F.min("gap").alias("gap"), F.array_sort(F.collect_list("start0")).alias("starts"), F.min("strand").alias("lo"), F.max("strand").alias("hi"))
-    apart = F.coalesce(F.col("gap") >= k, F.lit(True))
-    rows = lists.where(apart).withColumns({"start0": F.col("starts")[0], "copies": F.size("starts").cast("long"), "end1": F.element_at("starts", -1) + k})
+    placed = found.join(one, "kmer").withColumn("gap", gap).withColumn("gap", F.min("gap").over(Window.partitionBy("kmer")))
+    placed = placed.where(F.coalesce(F.col("gap") >= k, F.lit(True)))
+    lists = placed.groupBy("kmer", "chrom").agg(F.array_sort(F.collect_list("start0")).alias("starts"), F.min("strand").alias("lo"), F.max("strand").alias("hi"))
+    rows = lists.withColumns({"start0": F.col("starts")[0], "copies": F.size("starts").cast("long"), "end1": F.element_at("starts", -1) + k})
     name = F.concat(site_name(F.col("kmer"), F.col("copies")), F.lit("/k="), F.col("copies").cast("string"), F.lit("/s="), (F.col("end1") - F.col("start0")).cast("string"))
     return rows.select(
         "chrom", "start0", "end1", name.alias("name"), "copies", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(".").alias("strand"),

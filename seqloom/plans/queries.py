@@ -11,7 +11,8 @@ from seqloom.functions import seq as S
 from seqloom.operators import absence, annotate, filters, intervals, kmers, neighbors, pages, shards, sitedb, sites
 from seqloom.plans import hamming
 from seqloom.plans import views as V
-from seqloom.sources import files, shared
+from seqloom.sources import files, shared, stores
+from seqloom.streaming.counts import CountTable
 
 NGG, NGG_RE = "X" * 20 + "NGG", "[ACGT]{21}GG"
 K = 8
@@ -67,6 +68,15 @@ def site_copies(spark, d):
     return sites.with_copies(_stored(spark, d)).select("chrom", "start0", "end1", "kmer", "copies", "strand")
 
 
+@_query(f"{COUNTED_SQL} SELECT chrom, start0, kmer, copies, strand FROM counted WHERE copies BETWEEN 1 AND 3")
+def bucketed_copies(spark, d):
+    """Sites stored in buckets by k-mer, read again and counted without an exchange."""
+    path = shared.fresh_path(spark, "bucketed")
+    name = "sites_" + path.rpartition("-")[2]
+    stores.write_bucketed(_ngg(spark, d), name, path, 16)
+    return stores.bucketed_copies(spark, name, 1, 3).select("chrom", "start0", "kmer", "copies", "strand")
+
+
 @_query(f"{COUNTED_SQL} SELECT chrom, start0, kmer, copies, strand FROM counted WHERE copies BETWEEN 2 AND 5")
 def site_copy_range(spark, d):
     return sites.with_copies(_stored(spark, d), 2, 5).select("chrom", "start0", "kmer", "copies", "strand")
@@ -266,6 +276,19 @@ def kmer_symdiff(spark, d):
     return kmers.symmetric_difference(_counts(spark, d), _others(spark, d))
 
 
+@_query(f"{ALL_SQL} SELECT kmer, count(*) AS n FROM sites GROUP BY kmer")
+def kmer_counts_in_batches(spark, d):
+    """A stored table of counts that grows by a stream of files, one a batch; the last batch comes twice and counts once."""
+    path = shared.fresh_path(spark, "arrivals")
+    V.genome(spark, d).repartition(3, "chrom").write.parquet(f"{path}/in")
+    table = CountTable(spark, f"{path}/table", K)
+    arriving = spark.readStream.schema("chrom string, seq string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    table.follow(arriving).awaitTermination()
+    table.merge(spark.read.parquet(f"{path}/in"), table.last_batch())
+    table.vacuum()
+    return table.counts()
+
+
 SPACE_SQL = f"""space AS (SELECT c AS code, list_aggregate(list_transform(range(0, {K}), lambda i: substr('ACGT', ((c >> (2 * ({K - 1} - i))::int) & 3)::int + 1, 1)), 'string_agg', '') AS kmer
   FROM (SELECT unnest(range(0, {4**K})) AS c)), absent AS (SELECT * FROM space WHERE kmer NOT IN (SELECT kmer FROM sites))"""
 
@@ -438,6 +461,19 @@ def hit_histogram(spark, d):
     return neighbors.hit_histogram(counts.select("kmer"), hits, 2).select("kmer", "n0", "n1", "n2")
 
 
+@_query(f"""{_profile_sql(2, True)}, h AS (SELECT kmer AS pattern, d, unnest(range(0, n)) AS copy FROM p)
+SELECT c.kmer, count(h.d) FILTER (h.d = 0) AS n0, count(h.d) FILTER (h.d = 1) AS n1, count(h.d) FILTER (h.d = 2) AS n2 FROM c LEFT JOIN h ON h.pattern = c.kmer GROUP BY c.kmer""")
+def hit_file_histogram(spark, d):
+    """Hits of a search, one line for each site found, written as such a program writes them and read back."""
+    found = _stored(spark, d)
+    counts_ = shared.written(kmers.kmer_counts(found), "counts")
+    coded = counts_.select(F.col("code").alias("q"), F.col("kmer").alias("pattern"))
+    near = neighbors.pairs(coded.select("q"), counts_.select("code", "n"), 20, 2).join(coded, "q").join(counts_.select("code", "kmer"), "code")
+    path = shared.fresh_path(spark, "hits")
+    near.join(found, "kmer").select("pattern", "chrom", F.col("start0").alias("location"), F.col("kmer").alias("seq"), "strand", "d").write.option("sep", "\t").csv(path)
+    return neighbors.hit_histogram(counts_.select("kmer"), files.read_hits(spark, path), 2).select("kmer", "n0", "n1", "n2")
+
+
 @_query(f"{NGG_SQL} SELECT DISTINCT kmer || 'NNN 3' AS line FROM sites")
 def hit_search_input(spark, d):
     return neighbors.hit_search_input(_ngg(spark, d).select("kmer").distinct(), 3)
@@ -488,13 +524,15 @@ def overlap_join_halfopen(spark, d):
     return rows.select("chrom", "s", "e", "s_b", "e_b", intervals.overlap_length(F.col("s"), F.col("e"), F.col("s_b"), F.col("e_b")).alias("n"))
 
 
-def _chain_sql(after: str, lo: int, hi: int, name: str = "name") -> str:
+def _chain_sql(after: str, lo: int, hi: int, name: str = "name", blocks: bool = False) -> str:
+    told = """gs AS start0, le AS end1, path AS name, 0::bigint AS copies, '.' AS strand, gs AS thick_start, le AS thick_end, '0,0,0' AS rgb, n AS block_count, sizes AS block_sizes, starts AS block_starts"""
     return f"""WITH RECURSIVE {V.BED_SQL}, b AS (SELECT DISTINCT chrom, s, e, {name} AS name FROM bed),
 p AS (
-  SELECT chrom, s AS gs, s AS ls, e AS le, name AS ln, 1::bigint AS n, name AS path FROM b
-  UNION ALL SELECT p.chrom, gs, b.s, b.e, b.name, n + 1, path || ':' || b.name
+  SELECT chrom, s AS gs, s AS ls, e AS le, name AS ln, 1::bigint AS n, name AS path, (e - s)::varchar AS sizes, '0' AS starts FROM b
+  UNION ALL SELECT p.chrom, gs, b.s, b.e, b.name, n + 1, path || ':' || b.name, sizes || ',' || (b.e - b.s), starts || ',' || (b.s - gs)
   FROM p JOIN b ON b.chrom = p.chrom AND b.s - p.le BETWEEN {lo} AND {hi} AND {after} WHERE n < 3)
-SELECT chrom, gs AS s, le AS e, n, path AS name FROM p WHERE n >= 2 AND (n = 3 OR NOT EXISTS (SELECT 1 FROM b WHERE b.chrom = p.chrom AND b.s - p.le BETWEEN {lo} AND {hi} AND {after}))"""
+SELECT chrom, {told if blocks else 'gs AS s, le AS e, n, path AS name'} FROM p
+WHERE n >= 2 AND (n = 3 OR NOT EXISTS (SELECT 1 FROM b WHERE b.chrom = p.chrom AND b.s - p.le BETWEEN {lo} AND {hi} AND {after}))"""
 
 
 @_query(_chain_sql("b.s > p.le", 20, 40))
@@ -507,6 +545,12 @@ def chain_radius_overlap(spark, d):
     return intervals.chains(V.bed(spark, d), -10, 5, 2, 3, overlap=True)
 
 
+@_query(_chain_sql("b.s > p.le", 20, 40, blocks=True))
+def chain_bed12(spark, d):
+    """The same chains as BED12 rows."""
+    return intervals.chain_bed12(intervals.chains(V.bed(spark, d), 20, 40, 2, 3, blocks=True))
+
+
 @_query(f"""WITH {V.BED_SQL}, x AS (SELECT DISTINCT chrom, s FROM bed), g AS (SELECT *, s - row_number() OVER (PARTITION BY chrom ORDER BY s) AS k FROM x)
 SELECT chrom, min(s) AS start0, max(s) AS end0, count(*) AS n FROM g GROUP BY chrom, k""")
 def islands(spark, d):
@@ -536,20 +580,20 @@ def illegal_blocks(spark, d):
 
 # --- site tables ------------------------------------------------------------------------------
 
-# Queries that neither return nor order by the third count have tables with two.
-TABLE_SQL = f"""{_profile_sql(2, True)}, t AS (
-  SELECT s.chrom, s.start0 AS "chromStart", s.start0 + 20 AS "chromEnd", ({_key('s.kmer')}) || '.' || f.n0 || '/' || s.kmer AS name, f.n0 AS score, s.strand, n0, n1, n2, s.kmer AS seq
+PROFILE3_SQL = _profile_sql(3, True)
+TABLE3_SQL = f"""{PROFILE3_SQL}, t AS (
+  SELECT s.chrom, s.start0 AS "chromStart", s.start0 + 20 AS "chromEnd", ({_key('s.kmer')}) || '.' || f.n0 || '/' || s.kmer AS name, f.n0 AS score, s.strand, n0, n1, n2, n3, s.kmer AS seq
   FROM sites AS s JOIN profile AS f ON s.kmer = f.kmer)"""
 GC_SQL = "100.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq)"
 
 
-def _table(spark, d, m: int = 3) -> DataFrame:
-    """The 18 columns, off-sites to ``m`` mismatches; sequences are scanned once, and so is the profile made."""
+def _table(spark, d) -> DataFrame:
+    """The 18 columns, off-sites to three mismatches; sequences are scanned once, and so is the profile made."""
     found = _stored(spark, d)
     counts = shared.written(kmers.kmer_counts(found), "counts")
     n = counts.count()
-    profiled = neighbors.profile(counts.select("kmer", F.col("n").alias("copies")), counts, m, k=20, plan=hamming.choose(20, m, n, n))
-    rows = found.join(profiled.select("kmer", "copies", F.concat("off_site_counts", F.lit("/0" * (3 - m))).alias("off_site_counts")), "kmer")
+    profiled = neighbors.profile(counts.select("kmer", F.col("n").alias("copies")), counts, 3, k=20, plan=hamming.choose(20, 3, n, n))
+    rows = found.join(profiled.select("kmer", "copies", "off_site_counts"), "kmer")
     return shared.finished(annotate.one_copy_table(rows.withColumn("name", sites.site_name(F.col("kmer"), F.col("copies")))), "site-table", found, counts)
 
 
@@ -560,25 +604,31 @@ HIT_SQL = 'JOIN r ON t.chrom = r.rc AND t."chromEnd" > r.rs AND t."chromStart" <
 _LINES = [f"{c}\t{s}\t{e}" for c, s, e in REGIONS]
 
 
-@_query(f"""{TABLE_SQL} SELECT chrom, "chromStart", name FROM t WHERE ({GC_SQL}) BETWEEN 40 AND 60 AND n1 <= 2""")
+@_query(f"""{TABLE3_SQL} SELECT chrom, "chromStart", name FROM t WHERE ({GC_SQL}) BETWEEN 40 AND 60 AND n1 <= 2""")
 def db_filter_ranges(spark, d):
-    return sitedb.run(_table(spark, d, 2), sitedb.parse(["$percentGC\t40\t60", ".11\t-10000\t2"])).select("chrom", "chromStart", "name")
+    return sitedb.run(_table(spark, d), sitedb.parse(["$percentGC\t40\t60", ".11\t-10000\t2"])).select("chrom", "chromStart", "name")
 
 
-@_query(f"""{TABLE_SQL}, {REGIONS_SQL} SELECT rid, chrom, "chromStart", name FROM t {HIT_SQL}""")
+@_query(f"""{TABLE3_SQL}, {REGIONS_SQL} SELECT rid, chrom, "chromStart", name FROM t {HIT_SQL}""")
 def db_regions(spark, d):
-    return sitedb.run(_table(spark, d, 2), sitedb.parse(_LINES)).select("rid", "chrom", "chromStart", "name")
+    return sitedb.run(_table(spark, d), sitedb.parse(_LINES)).select("rid", "chrom", "chromStart", "name")
+
+
+@_query(f"""{TABLE3_SQL}, {REGIONS_SQL} SELECT rid, chrom, "chromStart", name, n1 + n2 + n3 AS "totalOffSites" FROM t {HIT_SQL}""")
+def db_stored_regions(spark, d):
+    """The same regions of a stored table, which the query names itself; only what the regions can touch is read."""
+    path = shared.fresh_path(spark, "site-store")
+    table = _table(spark, d)
+    stores.write_sites(table, path)
+    shared.remove_table(table)
+    return sitedb.ask(spark, [f":{path}", *_LINES]).select("rid", "chrom", "chromStart", "name", "totalOffSites")
 
 
-@_query(f"""{TABLE_SQL}, {REGIONS_SQL} SELECT rid, chrom, "chromStart", rc || ':' || rs || '-' || re || '/' || name AS name FROM t {HIT_SQL}""")
+@_query(f"""{TABLE3_SQL}, {REGIONS_SQL} SELECT rid, chrom, "chromStart", rc || ':' || rs || '-' || re || '/' || name AS name FROM t {HIT_SQL}""")
 def db_range_in_name(spark, d):
-    return sitedb.run(_table(spark, d, 2), sitedb.parse(_LINES), range_in_name=True).select("rid", "chrom", "chromStart", "name")
+    return sitedb.run(_table(spark, d), sitedb.parse(_LINES), range_in_name=True).select("rid", "chrom", "chromStart", "name")
 
 
-PROFILE3_SQL = _profile_sql(3, True)
-TABLE3_SQL = f"""{PROFILE3_SQL}, t AS (
-  SELECT s.chrom, s.start0 AS "chromStart", s.start0 + 20 AS "chromEnd", ({_key('s.kmer')}) || '.' || f.n0 || '/' || s.kmer AS name, f.n0 AS score, s.strand, n0, n1, n2, n3, s.kmer AS seq
-  FROM sites AS s JOIN profile AS f ON s.kmer = f.kmer)"""
 LAST_SQL = f"""n0 AS n0mismatches, n1 AS n1mismatches, n2 AS n2mismatches, n3 AS n3mismatches, n1 + n2 + n3 AS "totalOffSites", n0 || '/' || n1 || '/' || n2 || '/' || n3 AS "offSiteCounts",
 seq AS "spacerSeq", {GC_SQL} AS "percentGC", list_max(list_transform(string_split_regex(seq, '[^T]+'), lambda x: length(x))) AS "longestTandemT\""""
 

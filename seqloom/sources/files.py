@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.sources.shared import remove_table, written
+
 BED6 = "chrom string, start0 long, end1 long, name string, copies long, strand string"
 BED12 = BED6 + ", thick_start long, thick_end long, rgb string, block_count long, block_sizes string, block_starts string"
 ONE_COPY = (
@@ -66,9 +68,15 @@ def write_fasta(genome: DataFrame, path: str, width: int = 60) -> None:
 
 
 def write_names(genome: DataFrame, path: str) -> None:
-    """``id<tab>name`` of the records, numbered from 0 by name."""
-    turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("chrom")) - 1  # one row per record name
-    genome.select("chrom").distinct().select(turn.alias("chrom_id"), "chrom").coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+    """``id<tab>name`` of the records, numbered from 0 by name: within ranges of names, and from where the ranges before end."""
+    place = F.monotonically_increasing_id()
+    names = genome.select("chrom").distinct().repartitionByRange("chrom").sortWithinPartitions("chrom")
+    names = written(names.select("chrom", F.spark_partition_id().alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")), "names")
+    ahead = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
+    starts = names.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(ahead, F.lit(0)).alias("start"))
+    rows = names.join(F.broadcast(starts), "part").select((F.col("start") + F.col("nth")).alias("chrom_id"), "chrom")
+    rows.write.mode("overwrite").option("sep", "\t").csv(path)
+    remove_table(names)
 
 
 def with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -120,9 +128,8 @@ def read_kmers(spark: SparkSession, path: str, prefixes: list[str] | None = None
     """A k-mer or site table written by :func:`write_kmers`; only the folders of ``prefixes`` are read.
 
     A path ``table.[AA,AC]`` names the prefixes itself."""
-    if prefixes is None and "[" in path:
-        found = re.fullmatch(r"(.*?)\.?\[([^\]]*)\]", path)
-        path, prefixes = found[1], found[2].split(",")
+    path, named = shards(path)
+    path, prefixes = (path.removesuffix("*").removesuffix("."), prefixes or named) if named else (path, prefixes)
     table = spark.read.parquet(path)
     return table.where(F.col("prefix").isin(prefixes)) if prefixes else table
 
