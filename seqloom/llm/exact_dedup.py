@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.llm.common import SPACE, finished, fresh_path, located, remove, with_locator, written
+from seqloom.llm.common import SPACE, finished, fresh_path, join_groups, located, remove, with_locator, written
 
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -117,15 +117,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         remove(spark, state.root)
 
     # Hits: every row of a digest with more than one row, and the row that stays, once for each salt.
-    groups = known.where("copies > 1").select("digest", "first", F.ceil(F.col("copies") / COPIES_PER_SALT).cast("int").alias("salts"))
+    groups = known.where("copies > 1").withColumn("salts", F.ceil(F.col("copies") / COPIES_PER_SALT).cast("int"))
     n_groups = groups.count()
-    picked = F.broadcast(groups) if n_groups * 300 <= BROADCAST_BYTES else groups
-    stays = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
-    texts = source.withColumn("digest", digest(F.col("text"))).join(picked, "digest").withColumn("stays", stays)
+
+    def hit(rows: DataFrame) -> DataFrame:
+        """Rows of a group, with their group.  Where groups are too many to broadcast, large ones are dealt out before they are joined."""
+        rows = rows.withColumn("digest", digest(F.col("text")))
+        return rows.join(F.broadcast(groups.drop("copies")), "digest") if n_groups * 300 <= BROADCAST_BYTES else join_groups(rows, groups, "digest", "copies", COPIES_PER_SALT)
+
+    texts = hit(source).withColumn("stays", (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row")))
     if not own_state and n_groups:
         earlier = _earlier(groups, seen, text_col)
-        texts = texts if earlier is None else texts.unionByName(earlier.withColumn("digest", digest(F.col("text"))).join(picked, "digest").withColumn("stays", F.lit(True)))
+        texts = texts if earlier is None else texts.unionByName(hit(earlier).withColumn("stays", F.lit(True)))
     salts = F.when(F.col("stays"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("file", "row"), F.col("salts")).cast("int")))
+    # The salt is not the one that a join may have dealt rows by, so hits are dealt again, by digest and salt.
     hits = texts.select("digest", "id", "file", "row", "text", "stays", F.explode(salts).alias("salt"))
     first_text = F.first("text").over(Window.partitionBy("digest", "salt").orderBy(F.desc("stays")).rowsBetween(Window.unboundedPreceding, 0))
     differ = hits.withColumn("first_text", first_text).where(~F.col("stays") & (F.col("text") != F.col("first_text")))

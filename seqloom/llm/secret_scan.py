@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.llm.common import finished, written
+from seqloom.llm.common import finished, join_groups, written
 
 # The patterns and least lengths of the contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -86,20 +86,21 @@ def looks_random(kind: Column, value: Column) -> Column:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, repositories, owners, class) of each candidate value; class is example, live, shared or null."""
+    """(hash, repositories, owners, class, spans) of each candidate value; class is example, live, shared or null, spans how often it occurs."""
     value = F.sha2("value", 256)
-    by_repo = spans.groupBy(value.alias("hash"), "owner", "id").agg(F.max(looks_random(F.col("kind"), F.col("value"))).alias("looks"))
-    by_owner = by_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.max("looks").alias("looks"))
-    by_value = by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"), F.max("looks").alias("looks"))
+    by_repo = spans.groupBy(value.alias("hash"), "owner", "id").agg(F.max(looks_random(F.col("kind"), F.col("value"))).alias("looks"), F.count(F.lit(1)).alias("spans"))
+    by_owner = by_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.max("looks").alias("looks"), F.sum("spans").alias("spans"))
+    by_value = by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"), F.max("looks").alias("looks"), F.sum("spans").alias("spans"))
     kind = F.when((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES), "example").when(F.col("looks"), F.when(F.col("owners") == 1, "live").otherwise("shared"))
-    return by_value.select("hash", "repositories", "owners", kind.alias("class"))
+    return by_value.select("hash", "repositories", "owners", kind.alias("class"), "spans")
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_example."""
     documents, spans = scan(docs, id_col, text_col, owner_col)
-    judged = ownership(spans).where("class IS NOT NULL")
-    added = spans.withColumn("hash", F.sha2("value", 256)).join(judged, "hash").select("uid", F.col("class").alias("kind"), F.col("value_start").alias("start"), "end")
+    judged = written(ownership(spans).where("class IS NOT NULL").select("hash", "class", "spans"), "secret-judged")
+    # A value pasted into very many documents is dealt out before it is joined.
+    added = join_groups(spans.withColumn("hash", F.sha2("value", 256)), judged, "hash", "spans").select("uid", F.col("class").alias("kind"), F.col("value_start").alias("start"), "end")
     both = spans.select("uid", "kind", "start", "end").unionByName(added.distinct())
     place = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k)
     per_doc = both.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", place(F.col("kind")).alias("place"), "kind", "end"))).alias("all"))
@@ -107,7 +108,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     told_all = all_rows.select(F.col("id").alias(id_col), count("assign"), count("access"), count("hex"), F.sha2(told(F.filter("all", lambda s: s["place"] <= 3)), 256).alias("base_sha256"), told(F.col("all")).alias("spans"), count("live"), count("shared"), count("example"))
-    return finished(told_all, "secret-result", documents, spans)
+    return finished(told_all, "secret-result", documents, spans, judged)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

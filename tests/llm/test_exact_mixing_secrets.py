@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.llm import exact_dedup as E
 from seqloom.llm import mixing as M
 from seqloom.llm import secret_scan as P
+from seqloom.llm.common import join_groups
 
 ODD = [(3, "a  b", "x"), (1, "a\tb", "x"), (2, "a b ", None), (3, "a  b", "x"), (None, "a\n\nb", "y"), (4, None, None), (5, "", "x"), (6, "z" * 300_000, "x"), (None, None, None)]
 
@@ -160,3 +161,22 @@ def test_classes_by_both_counts(docs):
     rows += [(200, value(2), "a"), (201, value(2), "b"), (202, value(3), "a"), (203, value(3), "b"), (204, value(3), None), (205, "token = aaaaaaaaaaaaaaaa", "a")]
     got = {r.doc_id: (r.n_live, r.n_shared, r.n_example) for r in P.secret_scan(docs(*rows)).collect()}
     assert got[0] == (0, 0, 1) and got[100] == (1, 0, 0) and got[200] == got[201] == (0, 1, 0) and got[202] == got[204] == (0, 0, 1) and got[205] == (0, 0, 0)
+
+
+def test_exact_deals_out_large_groups_that_it_cannot_broadcast(docs, monkeypatch):
+    """Groups too many to broadcast: copies of one text and the row that stays meet in every salt, whatever the digest."""
+    monkeypatch.setattr(E, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(E, "COPIES_PER_SALT", 5)
+    joined = []
+    monkeypatch.setattr(E, "join_groups", lambda *a: joined.append(out := join_groups(*a)) or out)
+    rows = [*ODD, *((100 + k, "copied  text", "x") for k in range(60)), (50, "copied text", "y")]
+    check_exact(rows, E.exact_dedup(docs(*rows)).collect())
+    assert "__salt" in joined[0]._jdf.queryExecution().optimizedPlan().toString()
+    check_exact(rows, E.exact_dedup(docs(*rows), digest=lambda t: (F.length(t) % 2).cast("string")).collect())
+
+
+def test_a_secret_in_very_many_documents(docs):
+    key = "password = Zq8xW3vN7pLk2mRt"
+    rows = [(k, f"{key} {k}", "one") for k in range(1300)] + [(5000, "token: aB3dE5fG7hJ9kL1m", "two")]
+    got = P.secret_scan(docs(*rows)).collect()
+    assert len(got) == 1301 and all(r.n_assign == 1 for r in got) and len({r.spans.split(":")[0] for r in got}) == 1 and sum("," in r.spans for r in got) == 1301
