@@ -59,6 +59,17 @@ def kmer_of_code(code: Column, k: int) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), one), "")
 
 
+def spelled(code: Column, k: int) -> Column:
+    """The k-mer of a code, by conversion to base four instead of base by base."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", CODE_ORDER)
+
+
+def revcomp_code(code: Column, k: int) -> Column:
+    """The code of the reverse complement, by way of base four."""
+    digits = F.lpad(F.conv(code.cast("string"), 10, 4), k, "0")
+    return F.conv(F.translate(F.reverse(digits), "0123", "3210"), 4, 10).cast("long")
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Bases that differ between two codes of the same length."""
     x = a.bitwiseXOR(b)

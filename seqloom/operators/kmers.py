@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
 from seqloom.operators import absence
-from seqloom.operators.sites import sites
+from seqloom.operators.sites import HALF, coded_windows, sites
 
 
 def kmers(genome: DataFrame, k: int, pam: str = "", prefix: str = "", lenient: bool = False) -> DataFrame:
@@ -26,9 +26,26 @@ def kmer_counts(found: DataFrame) -> DataFrame:
 def strand_counts(genome: DataFrame, k: int) -> DataFrame:
     """(kmer, n, code) of the windows of both strands of (chrom, seq): what :func:`kmer_counts` of :func:`kmers` gives.
 
-    Runs of bases are cut into chunks in one pass, each with the first k - 1 bases of the next, so no window is tested.  A window is counted once,
-    as the lesser of itself and its reverse complement, which is read off the chunk's reverse complement; both
-    have the same count in the end, so half as many rows are made and shuffled as there are windows on two strands."""
+    A window is counted once, as the lesser of itself and its reverse complement; both have the same count in the end, so half as many
+    rows are made and shuffled as there are windows on two strands.  Up to 31 bases they are longs until they have been counted.
+    """
+    if k > HALF:
+        return _spelled_counts(genome, k)
+    found = coded_windows(genome.select(S.normalise(F.col("seq")).alias("seq")), k, []).where("bad = 0")
+    counts = found.select(F.least("code", "twin").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    both = _two_strands(F.col("code"), S.revcomp_code(F.col("code"), k))
+    return counts.select(F.inline(both)).select(S.spelled(F.col("window"), k).alias("kmer"), "n", F.col("window").alias("code"))
+
+
+def _two_strands(one: Column, twin: Column) -> Column:
+    """A counted window as rows of both strands; one that is its own reverse complement stands on both."""
+    row = lambda value, n: F.struct(value.alias("window"), n.alias("n"))
+    return F.when(one == twin, F.array(row(one, 2 * F.col("n")))).otherwise(F.array(row(one, F.col("n")), row(twin, F.col("n"))))
+
+
+def _spelled_counts(genome: DataFrame, k: int) -> DataFrame:
+    """The same for k-mers that no code holds: runs of bases are cut into chunks in one pass, each with the first k - 1 bases of the next,
+    and the lesser strand is read off the chunk or its reverse complement."""
     size = max(64, 2 * k)
     chunk = f"(?=([ACGT]{{{k},{size + k - 1}}}))[ACGT]{{1,{size}}}"
     chunks = genome.select(F.explode(F.regexp_extract_all(S.normalise(F.col("seq")), F.lit(chunk), F.lit(1))).alias("chunk"))
@@ -36,10 +53,8 @@ def strand_counts(genome: DataFrame, k: int) -> DataFrame:
     back = F.length("chunk") - (k - 2) - F.col("o")
     lesser = F.least(F.substring(F.col("chunk"), F.col("o"), F.lit(k)), F.substring(F.col("other"), back, F.lit(k)))
     counts = places.select(lesser.alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    twin = S.revcomp(F.col("kmer"))
-    one = lambda kmer, n: F.struct(kmer.alias("kmer"), n.alias("n"))
-    both = F.when(F.col("kmer") == twin, F.array(one(F.col("kmer"), 2 * F.col("n")))).otherwise(F.array(one(F.col("kmer"), F.col("n")), one(twin, F.col("n"))))
-    return counts.select(F.inline(both)).withColumn("code", S.kmer_code(F.col("kmer")))
+    both = _two_strands(F.col("kmer"), S.revcomp(F.col("kmer")))
+    return counts.select(F.inline(both)).select(F.col("window").alias("kmer"), "n", F.lit(None).cast("long").alias("code"))
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:

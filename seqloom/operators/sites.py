@@ -13,6 +13,8 @@ from seqloom.sources.shared import written
 
 #: Bases in a chunk of a sequence: places are found by counting within a chunk only.
 CHUNK = 256
+#: Bases whose codes one long holds.
+HALF = 31
 
 
 def windows(genome: DataFrame, n: int, keep: list[str] | None = None, literals: tuple[tuple[int, str], ...] = ()) -> DataFrame:
@@ -31,6 +33,67 @@ def windows(genome: DataFrame, n: int, keep: list[str] | None = None, literals:
     return at.select(*keep, (F.col("nth").cast("long") * CHUNK + F.col("o")).alias("i"), F.substring(F.col("chunk"), F.col("o") + 1, F.lit(n)).alias("win"))
 
 
+def _halves(letters: Column, digits: str) -> list[Column]:
+    """The bases of a chunk as two longs, the first base highest."""
+    text = F.rpad(F.translate(letters, S.CODE_ORDER + "N", digits), 2 * HALF, "0")
+    return [F.conv(F.substring(text, at, HALF), 4, 10).cast("long") for at in (1, HALF + 1)]
+
+
+def _code_at(hi: Column, lo: Column, behind: Column, n: int) -> Column:
+    """The code of the n bases that have so many of a chunk's places behind them."""
+    inside = F.call_function("shiftright", hi, 2 * (behind - HALF))
+    across = F.call_function("shiftleft", hi, 2 * (HALF - behind)).bitwiseOR(F.call_function("shiftright", lo, 2 * behind))
+    return F.when(behind >= HALF, inside).otherwise(across).bitwiseAND(F.lit((1 << 2 * n) - 1).cast("long"))
+
+
+def coded_windows(genome: DataFrame, n: int, keep: list[str] | None = None) -> DataFrame:
+    """All windows of n <= 31 bases of a normalised ``seq``: the other columns, i (0-based), code (two bits a base; a place without one
+    counts as A), twin (the code of the reverse complement), bad (a bit for each place, the first highest, set where there is no base),
+    chunk and o (the window's place in it).
+
+    A record is cut in one pass into chunks of 62 letters, each of which begins n - 1 letters before the last one ends.  A chunk's
+    bases are two longs for each strand; a window's codes are shifts of them, so no window is cut out of the text or tested letter by letter."""
+    if not 1 <= n <= HALF:
+        raise ValueError(f"windows have 1 to {HALF} bases")
+    keep = keep if keep is not None else [c for c in genome.columns if c != "seq"]
+    whole, step = 2 * HALF, 2 * HALF - n + 1
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{{n},{whole}}})).{{1,{step}}}"), F.lit(1))  # none of a shorter record
+    chunks = genome.select(*keep, F.posexplode(pieces).alias("nth", "chunk"))
+    marks = F.rpad(F.translate("chunk", S.CODE_ORDER + "N", "00001"), whole, "0")
+    flaws = F.when(F.instr("chunk", "N") > 0, F.conv(marks, 2, 10).cast("long"))
+    (hi, lo), (twin_hi, twin_lo) = _halves(F.col("chunk"), "01230"), _halves(F.reverse("chunk"), "32100")
+    coded = chunks.select(
+        *keep, "nth", "chunk", F.length("chunk").alias("size"), hi.alias("hi"), lo.alias("lo"), twin_hi.alias("twin_hi"), twin_lo.alias("twin_lo"),
+        F.coalesce(flaws, F.lit(0).cast("long")).alias("flaws"),
+    )
+    at = coded.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - n)).alias("o"))
+    behind = whole - n - F.col("o")
+    code = _code_at(F.col("hi"), F.col("lo"), behind, n)
+    twin = _code_at(F.col("twin_hi"), F.col("twin_lo"), whole - F.col("size") + F.col("o"), n)
+    bad = F.call_function("shiftright", F.col("flaws"), behind).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    return at.select(*keep, (F.col("nth").cast("long") * step + F.col("o")).alias("i"), code.alias("code"), twin.alias("twin"), bad.alias("bad"), "chunk", "o")
+
+
+def _matches(pattern: str, lenient: bool) -> Column:
+    """Whether a window's code and its places without a base fit a motif: literals are one comparison, other letters a bit each."""
+    pattern, n = pattern.upper(), len(pattern)
+    ks, ke = key_range(pattern)
+    try:
+        allowed = [S.AMBIGUITY["X" if lenient and c not in "ACGT" else c] for c in pattern]
+    except KeyError as e:
+        raise ValueError(f"no motif letter: {e}") from None
+    at = lambda j: 2 * (n - 1 - j)
+    fixed = [(j, S.CODE_ORDER.index(a)) for j, a in enumerate(allowed) if len(a) == 1]
+    needed = sum(1 << (n - 1 - j) for j, c in enumerate(pattern) if not lenient or c in "ACGT" or ks <= j < ke)
+    test = F.col("bad").bitwiseAND(F.lit(needed).cast("long")) == 0
+    if fixed:
+        test &= F.col("code").bitwiseAND(F.lit(sum(3 << at(j) for j, _ in fixed)).cast("long")) == F.lit(sum(d << at(j) for j, d in fixed)).cast("long")
+    for j, a in enumerate(allowed):
+        if len(a) in (2, 3):
+            test &= F.shiftright("code", at(j)).bitwiseAND(F.lit(3).cast("long")).isin([S.CODE_ORDER.index(b) for b in a])
+    return test
+
+
 def key_range(pattern: str) -> tuple[int, int]:
     """The key of a motif: from its first X to its last, what lies between included."""
     if "X" not in pattern.upper():
@@ -43,15 +106,24 @@ def sites(genome: DataFrame, pattern: str, upper: bool = True, prefix: str = "",
 
     With ``upper`` false, lower-case (masked) windows match nothing."""
     n, (ks, ke) = len(pattern), key_range(pattern)
-    seq = S.normalise(F.col("seq")) if upper else F.translate("seq", "U", "T")
-    places = [S.literals(pattern)] + [S.literals(_reversed_letters(pattern))] * (not forward_only)
     base = F.col("offset") if "offset" in genome.columns else F.lit(0).cast("long")  # of records that come in chunks
-    rows = windows(genome.select("chrom", base.alias("base"), seq.alias("seq")), n, literals=tuple(places)).withColumn("i", F.col("base") + F.col("i"))
-    plus = F.struct(F.lit("+").alias("strand"), (F.col("i") + ks).alias("start0"), F.substring("win", ks + 1, ke - ks).alias("kmer"))
-    minus = F.struct(F.lit("-").alias("strand"), (F.col("i") + n - ke).alias("start0"), S.revcomp(F.substring("win", n - ke + 1, ke - ks)).alias("kmer"))
     # Each strand's motif is tested on the forward window, so nothing is reversed that doesn't match.
-    forward = F.col("win").rlike(S.lenient_regex(pattern) if lenient else S.motif_regex(pattern))
-    backward = F.col("win").rlike(_lenient_reverse(pattern) if lenient else S.motif_regex(S.reverse_motif(pattern)))
+    if n <= HALF:
+        seq = S.normalise(F.col("seq")) if upper else F.regexp_replace(F.translate("seq", "U", "T"), "[^ACGT]", "N")
+        rows = coded_windows(genome.select("chrom", base.alias("base"), seq.alias("seq")), n)
+        forward = _matches(pattern, lenient)
+        backward = _matches(_reversed_letters(pattern) if lenient else S.reverse_motif(pattern), lenient)
+        cut = lambda at: F.substring(F.col("chunk"), F.col("o") + (at + 1), F.lit(ke - ks))
+    else:
+        seq = S.normalise(F.col("seq")) if upper else F.translate("seq", "U", "T")
+        places = [S.literals(pattern)] + [S.literals(_reversed_letters(pattern))] * (not forward_only)
+        rows = windows(genome.select("chrom", base.alias("base"), seq.alias("seq")), n, literals=tuple(places))
+        forward = F.col("win").rlike(S.lenient_regex(pattern) if lenient else S.motif_regex(pattern))
+        backward = F.col("win").rlike(_lenient_reverse(pattern) if lenient else S.motif_regex(S.reverse_motif(pattern)))
+        cut = lambda at: F.substring("win", at + 1, ke - ks)
+    rows = rows.withColumn("i", F.col("base") + F.col("i"))
+    plus = F.struct(F.lit("+").alias("strand"), (F.col("i") + ks).alias("start0"), cut(ks).alias("kmer"))
+    minus = F.struct(F.lit("-").alias("strand"), (F.col("i") + n - ke).alias("start0"), S.revcomp(cut(n - ke)).alias("kmer"))
     found = F.when(forward & backward, F.array(plus, minus)).when(forward, F.array(plus)).when(backward, F.array(minus))
     if forward_only:
         found = F.when(forward, F.array(plus))
