@@ -9,6 +9,9 @@ from seqloom.functions import seq as S
 from seqloom.operators import kmers
 from seqloom.plans.hamming import BlockPlan, choose
 
+#: Table codes that may share a block before it is cut further, and how many such blocks are listed.
+CROWD, MOST_CROWDED = 20_000, 100_000
+
 
 def _block(code, shift: int, bits: int):
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
@@ -19,23 +22,70 @@ def _changed(block, masks: list[int]):
     return F.transform(F.array(*[F.lit(x).cast("long") for x in masks]), lambda x: block.bitwiseXOR(x))
 
 
-def pairs(queries: DataFrame, table: DataFrame, k: int, m: int, plan: BlockPlan | None = None) -> DataFrame:
+def _rest(code, shift: int, bits: int):
+    """A code without the bases of a block."""
+    return F.shiftleft(F.shiftrightunsigned(code, shift + bits), shift).bitwiseOR(code.bitwiseAND(F.lit((1 << shift) - 1).cast("long")))
+
+
+def _keys(code, plan: BlockPlan, changed: bool):
+    """(i, part) of each block of a code; ``changed`` gives each block with all changes."""
+
+    def keys(i: int, shift: int, bits: int):
+        parts = _changed(_block(code, shift, bits), plan.masks(bits) if changed else [0])
+        return F.transform(parts, lambda x: F.struct(F.lit(i).alias("i"), x.alias("part")))
+
+    return F.flatten(F.array(*[keys(i, *span) for i, span in enumerate(plan.spans())]))
+
+
+def _first(a, b, plan: BlockPlan):
+    """The first block in which two codes are as near as the plan asks."""
+    near = [S.hamming(_block(a, shift, bits), _block(b, shift, bits)) <= plan.changes for shift, bits in plan.spans()]
+    first = F.lit(plan.blocks - 1)
+    for i in reversed(range(plan.blocks - 1)):
+        first = F.when(near[i], i).otherwise(first)
+    return first
+
+
+def _by_block(spans: list, told):
+    """What ``told`` gives for the block that column j names."""
+    out = told(len(spans) - 1)
+    for j in reversed(range(len(spans) - 1)):
+        out = F.when(F.col("j") == j, told(j)).otherwise(out)
+    return out
+
+
+def pairs(queries: DataFrame, table: DataFrame, k: int, m: int, plan: BlockPlan | None = None, crowd: int = CROWD) -> DataFrame:
     """(q, code, n, d) of all query codes q and table codes at distance d <= m, each pair once.
 
     ``queries`` has distinct codes q; ``table`` has distinct codes with n.  A pair that several
-    blocks find is kept for the first of them, which an expression tells, so nothing is deduplicated."""
+    blocks find is kept for the first of them, which an expression tells, so nothing is deduplicated.
+    A block that over ``crowd`` codes share is cut further: its rows are joined by blocks of their other bases
+    too, so that few codes meet under one key whatever the table repeats.  Of these blocks the list of the
+    ``MOST_CROWDED`` largest is broadcast; any other stays one key."""
     plan = plan or choose(k, m)
     spans = plan.spans()
+    inner = [choose(k - bits // 2, m, crowd, crowd) if k - bits // 2 > m else None for _, bits in spans]
     asked = F.array(*[F.struct(F.lit(j).alias("j"), _changed(_block(F.col("q"), shift, bits), plan.masks(bits)).alias("blocks")) for j, (shift, bits) in enumerate(spans)])
     left = queries.select("q", F.explode(asked).alias("a")).select("q", "a.j", F.explode("a.blocks").alias("block"))
     held = F.array(*[F.struct(F.lit(j).alias("j"), _block(F.col("code"), shift, bits).alias("block")) for j, (shift, bits) in enumerate(spans)])
     right = table.select("code", "n", F.explode(held).alias("h")).select("code", "n", "h.j", "h.block")
-    both = left.join(right, ["j", "block"]).withColumn("d", S.hamming(F.col("q"), F.col("code"))).where(F.col("d") <= m)
-    near = [S.hamming(_block(F.col("q"), shift, bits), _block(F.col("code"), shift, bits)) <= plan.changes for shift, bits in spans]
-    first = F.lit(len(spans) - 1)
-    for j in reversed(range(len(spans) - 1)):
-        first = F.when(near[j], j).otherwise(first)
-    return both.where(F.col("j") == first).select("q", "code", "n", "d")
+    if any(inner):
+        shared = right.groupBy("j", "block").count().where(F.col("count") > crowd).orderBy(F.desc("count"), "j", "block").limit(MOST_CROWDED)
+        crowded = F.broadcast(shared.select("j", "block", F.lit(True).alias("crowded")))
+        whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("part")))
+
+        def cut(rows: DataFrame, code: str, changed: bool) -> DataFrame:
+            keys = _by_block(spans, lambda j: _keys(_rest(F.col(code), *spans[j]), inner[j], changed) if inner[j] else whole)
+            return rows.join(crowded, ["j", "block"], "left").withColumn("key", F.explode(F.when(F.col("crowded"), keys).otherwise(whole))).select(*rows.columns, "key.i", "key.part")
+
+        left, right = cut(left, "q", True), cut(right, "code", False)
+        met = left.join(right, ["j", "block", "i", "part"])
+        inner_first = _by_block(spans, lambda j: _first(_rest(F.col("q"), *spans[j]), _rest(F.col("code"), *spans[j]), inner[j]) if inner[j] else F.lit(-1))
+        once = (F.col("i") < 0) | (F.col("i") == inner_first)
+    else:
+        met, once = left.join(right, ["j", "block"]), F.lit(True)
+    both = met.withColumn("d", S.hamming(F.col("q"), F.col("code"))).where(F.col("d") <= m)
+    return both.where((F.col("j") == _first(F.col("q"), F.col("code"), plan)) & once).select("q", "code", "n", "d")
 
 
 def profile(queries: DataFrame, counts: DataFrame, m: int, bag: bool = True, listing: bool = False, k: int | None = None, plan: BlockPlan | None = None) -> DataFrame:

@@ -33,6 +33,29 @@ def test_every_plan_finds_every_pair(spark, table, m):
             assert got == want
 
 
+@pytest.mark.parametrize("m, crowd", [(1, 1), (2, 1), (3, 1), (2, 40), (3, 40)])
+def test_crowded_blocks_are_cut_and_lose_no_pair(spark, m, crowd):
+    rng = random.Random(m)
+    # most codes share their first half, some their second, a few neither
+    kmers = {"AAAAA" + "".join(rng.choices("ACGT", k=5)) for _ in range(120)} | {"".join(rng.choices("ACGT", k=5)) + "CCCCC" for _ in range(40)} | {"".join(rng.choices("ACGT", k=10)) for _ in range(40)}
+    held = {a: rng.randint(1, 9) for a in sorted(kmers)}
+    t = spark.createDataFrame(list(held.items()), "kmer string, n long").withColumn("code", S.kmer_code(F.col("kmer"))).cache()
+    codes = {r.kmer: r.code for r in t.collect()}
+    want = sorted((codes[a], codes[b], n, distance(a, b)) for a, (b, n) in itertools.product(held, held.items()) if distance(a, b) <= m)
+    for plan in [BlockPlan(10, m, b) for b in range(1, m + 2) if m // b <= 2]:
+        got = sorted(tuple(r) for r in N.pairs(t.select(F.col("code").alias("q")), t.select("code", "n"), 10, m, plan, crowd).collect())
+        assert got == want
+
+
+def test_one_dominant_block_does_not_meet_all_its_queries(spark):
+    codes = spark.range(3000).select((F.col("id") * 349 % 4**6).alias("code"), F.lit(1).cast("long").alias("n"))  # the first six of twelve bases are all A
+    found = N.pairs(codes.select(F.col("code").alias("q")), codes, 12, 1, BlockPlan(12, 1, 2), crowd=100)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and all(f"{c}#" in joins[0] for c in ("block", "i", "part"))
+    held = {i * 349 % 4**6 for i in range(3000)}
+    assert found.count() == sum(a ^ (x << p) in held for a in held for p in range(0, 12, 2) for x in (1, 2, 3)) + len(held)
+
+
 def test_plan_prefers_wide_blocks():
     assert choose(20, 3).blocks == 2 and choose(20, 0).blocks == 1
     assert sum(bits for _, bits in choose(21, 2).spans()) == 42
