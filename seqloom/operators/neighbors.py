@@ -69,23 +69,23 @@ def pairs(queries: DataFrame, table: DataFrame, k: int, m: int, plan: BlockPlan
     left = queries.select("q", F.explode(asked).alias("a")).select("q", "a.j", F.explode("a.blocks").alias("block"))
     held = F.array(*[F.struct(F.lit(j).alias("j"), _block(F.col("code"), shift, bits).alias("block")) for j, (shift, bits) in enumerate(spans)])
     right = table.select("code", "n", F.explode(held).alias("h")).select("code", "n", "h.j", "h.block")
+    met = left.join(right, ["j", "block"])
     if any(inner):
         shared = right.groupBy("j", "block").count().where(F.col("count") > crowd).orderBy(F.desc("count"), "j", "block").limit(MOST_CROWDED)
-        crowded = F.broadcast(shared.select("j", "block", F.lit(True).alias("crowded")))
+        crowded = F.broadcast(shared.select("j", "block"))
         whole = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("part")))
 
         def cut(rows: DataFrame, code: str, changed: bool) -> DataFrame:
             keys = _by_block(spans, lambda j: _keys(_rest(F.col(code), *spans[j]), inner[j], changed) if inner[j] else whole)
-            return rows.join(crowded, ["j", "block"], "left").withColumn("key", F.explode(F.when(F.col("crowded"), keys).otherwise(whole))).select(*rows.columns, "key.i", "key.part")
-
-        left, right = cut(left, "q", True), cut(right, "code", False)
-        met = left.join(right, ["j", "block", "i", "part"])
-        inner_first = _by_block(spans, lambda j: _first(_rest(F.col("q"), *spans[j]), _rest(F.col("code"), *spans[j]), inner[j]) if inner[j] else F.lit(-1))
-        once = (F.col("i") < 0) | (F.col("i") == inner_first)
-    else:
-        met, once = left.join(right, ["j", "block"]), F.lit(True)
+            return rows.join(crowded, ["j", "block"], "left_semi").withColumn("key", F.explode(keys)).select(*rows.columns, "key.i", "key.part")
+
+        # where no block is crowded, adaptive execution drops both the cut side and the tests of this one
+        met = left.join(crowded, ["j", "block"], "left_anti").join(right.join(crowded, ["j", "block"], "left_anti"), ["j", "block"])
+        first = _by_block(spans, lambda j: _first(_rest(F.col("q"), *spans[j]), _rest(F.col("code"), *spans[j]), inner[j]) if inner[j] else F.lit(-1))
+        again = cut(left, "q", True).join(cut(right, "code", False), ["j", "block", "i", "part"]).where(F.col("i") == first)
+        met = met.unionByName(again.select(*met.columns))
     both = met.withColumn("d", S.hamming(F.col("q"), F.col("code"))).where(F.col("d") <= m)
-    return both.where((F.col("j") == _first(F.col("q"), F.col("code"), plan)) & once).select("q", "code", "n", "d")
+    return both.where(F.col("j") == _first(F.col("q"), F.col("code"), plan)).select("q", "code", "n", "d")
 
 
 def profile(queries: DataFrame, counts: DataFrame, m: int, bag: bool = True, listing: bool = False, k: int | None = None, plan: BlockPlan | None = None) -> DataFrame:
