@@ -10,7 +10,8 @@ deleted.
 Documents are probed where the filters are: blocks of documents send each shard the
 distinct keys that they have there, the shard's filter turns most of them away, the
 shard's own part of the exact table confirms the others, and a block gets back those that are common.
-Nothing is broadcast.  Counts and keys are added up per task or block before any shuffle, so a line
+A shard that very many documents refer to answers from several copies, each with its share of the blocks;
+only the list of such shards, of bounded length, is broadcast.  Counts and keys are added up per task or block before any shuffle, so a line
 found in a third of all documents is one key for each of those.
 
 Defined results: a null text counts as empty and an empty text is one empty line;
@@ -41,6 +42,8 @@ KEYS_PER_SHARD = 16_000
 BLOCK_BYTES = 2 << 20
 #: Keys that a task counts at once.
 HELD = 100_000
+#: References to a shard's keys that one copy of it answers, and how many shards may have copies.
+ASKS, MOST_COPIED = 64_000, 100_000
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 
@@ -177,17 +180,25 @@ class LineIndex:
         rows = self.counts.select(shard, "digest", "before", "n", none.alias("filter"))
         if old is not None:
             rows = rows.unionByName(old.select("shard", none.alias("digest"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("n"), "filter"))
-        self.filters = written(rows.groupBy("shard").applyInPandas(_filtered(self.min_docs), "shard int, filter binary, common binary"), "line-filters")
+        self.filters = written(rows.groupBy("shard").applyInPandas(_filtered(self.min_docs), "shard int, filter binary, common binary, asks long"), "line-filters")
         remove_table(*earlier)
 
-    def dropped(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-        """Per document: id, n_lines, n_dropped, kept_sha256 and, if asked for, kept (the text that is left)."""
+    def dropped(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, asks: int = ASKS) -> DataFrame:
+        """Per document: id, n_lines, n_dropped, kept_sha256 and, if asked for, kept (the text that is left).
+
+        A block asks a shard once, so a shard is asked no more often than there are blocks or references to its keys."""
         kind = docs.schema[id_col].dataType.simpleString()
         named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
         blocks = written(named.mapInPandas(tidy(_block), "block long, shard int, payload binary"), "line-blocks")
         asked = blocks.mapInPandas(tidy(_ask(self.min_chars, self.shards)), "block long, shard int, payload binary, common binary")
         held = self.filters.select(F.lit(-1).cast("long").alias("block"), "shard", F.col("filter").alias("payload"), "common")
-        answers = asked.unionByName(held).groupBy("shard").applyInPandas(_answer, "block long, shard int, payload binary")
+        often = self.filters.select("shard", F.least("asks", F.lit(blocks.count())).alias("asks"))
+        most = max(asks, (often.agg(F.sum("asks")).first()[0] or 0) // MOST_COPIED)
+        copied = F.broadcast(often.where(F.col("asks") > most).select("shard", F.ceil(F.col("asks") / most).cast("int").alias("copies")))
+        copies = F.coalesce("copies", F.lit(1))
+        dealt = asked.join(copied, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("block"), copies).cast("int"))
+        repeated = held.join(copied, "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+        answers = dealt.unionByName(repeated).drop("copies").groupBy("shard", "copy").applyInPandas(_answer, "block long, shard int, payload binary")
         out = "id string, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text
         rows = blocks.unionByName(answers).groupBy("block").applyInPandas(_drop(self.min_chars, with_text), out)
         return finished(rows.withColumn("id", F.col("id").cast(kind)), "line-result", blocks).withColumnRenamed("id", id_col)
@@ -206,7 +217,7 @@ def _filtered(min_docs: int):
         more = digests[now & ~before] if len(blobs) else digests[now]
         while not keys.insert(more):
             keys, more = CuckooFilter(len(keys.table) * SLOTS), digests[now]
-        return pd.DataFrame({"shard": [shard], "filter": [keys.to_bytes()], "common": [digests[now].tobytes()]})
+        return pd.DataFrame({"shard": [shard], "filter": [keys.to_bytes()], "common": [digests[now].tobytes()], "asks": [int(rows["n"].sum())]})
 
     return change
 

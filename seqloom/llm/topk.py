@@ -257,13 +257,13 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = 50, id_col: str = "
         index = ringed.mapInPandas(place, shape)
 
         def searched(asked: DataFrame) -> DataFrame:
-            visits = asked.groupBy("cell").count().where(F.col("count") > crowd).collect()  # one row for each so many visits at most
-            copies = F.lit(1)
-            if visits:
-                copies = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in visits for x in (r["cell"], -(-r["count"] // crowd))]), F.col("cell")), copies)
-            held = index.withColumn("copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
-            dealt = asked.withColumn("copy", F.pmod(F.xxhash64("row"), copies).cast("int"))
-            both = held.unionByName(dealt).repartition("cell", "copy").sortWithinPartitions("cell", "copy", "kind")
+            # at most a row for each cell, so no more than the directory that every task holds
+            visits = asked.groupBy("cell").count().where(F.col("count") > crowd)
+            crowded = F.broadcast(visits.select("cell", F.ceil(F.col("count") / crowd).cast("int").alias("copies")))
+            copies = F.coalesce("copies", F.lit(1))
+            held = index.join(crowded, "cell", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+            dealt = asked.join(crowded, "cell", "left").withColumn("copy", F.pmod(F.xxhash64("row"), copies).cast("int"))
+            both = held.unionByName(dealt).drop("copies").repartition("cell", "copy").sortWithinPartitions("cell", "copy", "kind")
             return both.mapInPandas(tidy(_searcher(width, top, k, block)), FOUND)
 
         queries = ringed.where(F.pmod(F.col("vec_id"), F.lit(query_every)) == 0)

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from seqloom.llm import chat as C
 from seqloom.llm import langid as G
@@ -34,10 +35,12 @@ def told(rows):
     return sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in rows.collect())
 
 
-def test_lines(spark, docs):
+@pytest.mark.parametrize("asks", [1, 4, L.ASKS])
+def test_lines(spark, docs, asks):
     index = L.LineIndex(spark, keys_per_shard=3)
     index.insert(docs(*LINES))
-    assert told(index.dropped(docs(*LINES))) == brute_lines(LINES)
+    assert index.filters.agg({"asks": "sum"}).first()[0] == sum(len({lower(x) for x in (t or "").split("\n")} - {""}) for _, t, _ in LINES)
+    assert told(index.dropped(docs(*LINES).repartition(7), asks=asks)) == brute_lines(LINES)
 
 
 def test_lines_are_reversible(spark, docs):
