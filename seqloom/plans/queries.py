@@ -421,7 +421,7 @@ profile AS (SELECT kmer, {sums} FROM p GROUP BY kmer)"""
 def _profiled(spark, d, m: int, bag: bool = True, listing: bool = False) -> DataFrame:
     counts = shared.written(kmers.kmer_counts(_ngg(spark, d)), "counts")
     n = counts.count()
-    return neighbors.profile(counts.select("kmer"), counts, m, bag, listing, k=20, plan=hamming.choose(20, m, n, n))
+    return neighbors.profile(counts.select("kmer", "code"), counts, m, bag, listing, k=20, plan=hamming.choose(20, m, n, n))
 
 
 @_query(f"{_profile_sql(2, False)} SELECT kmer, n0, n1, n2 FROM profile")
@@ -592,7 +592,7 @@ def _table(spark, d) -> DataFrame:
     found = _stored(spark, d)
     counts = shared.written(kmers.kmer_counts(found), "counts")
     n = counts.count()
-    profiled = neighbors.profile(counts.select("kmer", F.col("n").alias("copies")), counts, 3, k=20, plan=hamming.choose(20, 3, n, n))
+    profiled = neighbors.profile(counts.select("kmer", "code", F.col("n").alias("copies")), counts, 3, k=20, plan=hamming.choose(20, 3, n, n))
     rows = found.join(profiled.select("kmer", "copies", "off_site_counts"), "kmer")
     return shared.finished(annotate.one_copy_table(rows.withColumn("name", sites.site_name(F.col("kmer"), F.col("copies")))), "site-table", found, counts)
 
