@@ -24,6 +24,11 @@ def kmer_counts(found: DataFrame) -> DataFrame:
 
 
 def strand_counts(genome: DataFrame, k: int) -> DataFrame:
+def coded_counts(found: DataFrame) -> DataFrame:
+    """(code, n) of sites that are codes already."""
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
     """(kmer, n, code) of the windows of both strands of (chrom, seq): what :func:`kmer_counts` of :func:`kmers` gives.
 
     A window is counted once, as the lesser of itself and its reverse complement; both have the same count in the end, so half as many

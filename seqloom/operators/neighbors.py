@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
-from seqloom.operators import kmers
+from seqloom.operators import groups, kmers
 from seqloom.plans.hamming import BlockPlan, choose
 
 #: Table codes that may share a block before it is cut further, and how many such blocks are listed.
@@ -88,21 +88,41 @@ def pairs(queries: DataFrame, table: DataFrame, k: int, m: int, plan: BlockPlan
     return both.where(F.col("j") == _first(F.col("q"), F.col("code"), plan)).select("q", "code", "n", "d")
 
 
-def profile(queries: DataFrame, counts: DataFrame, m: int, bag: bool = True, listing: bool = False, k: int | None = None, plan: BlockPlan | None = None) -> DataFrame:
+def profile(queries: DataFrame, counts: DataFrame, m: int, bag: bool = True, listing: bool = False, k: int | None = None, plan: BlockPlan | None = None, rows: int = 0) -> DataFrame:
     """Adds n0..nm and off_site_counts to ``queries`` (with a column kmer): sites at each distance, or
     distinct k-mers if not ``bag``.  With ``listing``, also ``found``: each k-mer found with its count, by
     distance and code, bases that differ in lower case; the query itself comes first even with none.
-    Queries that are no k-mers get nulls; a column ``code`` of theirs is taken as it is.  k saves a look at the table; a plan for the real numbers of rows may be given."""
+    Queries that are no k-mers get nulls; a column ``code`` of theirs is taken as it is.  k saves a look at the table; a plan for the real numbers of rows may be given.
+    With ``rows``, about as many as the table has, neighbours are found in groups (:mod:`seqloom.operators.groups`) and not by joins: for many queries."""
     k = k or counts.select(F.max(F.length("kmer"))).first()[0] or 1
     coded = queries.withColumn("q", F.col("code") if "code" in queries.columns else S.kmer_code(F.upper("kmer")))
     code = F.col("code") if "code" in counts.columns else S.kmer_code(F.col("kmer"))
     table = counts.select(code.alias("code"), F.col("n") if bag else F.lit(1).cast("long").alias("n"))
     asked = coded.where(F.col("q").isNotNull() & (F.length("kmer") == k)).select("q").distinct()
-    found = pairs(asked, table, k, m, plan)
+    if rows and not listing:
+        per_query = groups.counts(asked, table, k, m, rows)
+    else:
+        per_query = _summed(groups.pairs(asked, table, k, m, rows) if rows else pairs(asked, table, k, m, plan), m, listing)
+    return _told(coded.join(per_query, "q", "left"), m, k, listing).drop("q")
+
+
+def own_profile(counts: DataFrame, m: int, k: int, bag: bool = True, listing: bool = False) -> DataFrame:
+    """(kmer, n0..nm, off_site_counts), with ``listing`` also found, of all k-mers of a table (code, n) among themselves: what :func:`profile` tells of them, in groups and without a join back."""
+    table = counts.select("code", F.col("n") if bag else F.lit(1).cast("long").alias("n"))
+    rows = counts.count()
+    per_query = _summed(groups.pairs(None, table, k, m, rows), m, True) if listing else groups.counts(None, table, k, m, rows)
+    return _told(per_query.withColumn("kmer", S.spelled(F.col("q"), k)), m, k, listing)
+
+
+def _summed(found: DataFrame, m: int, listing: bool) -> DataFrame:
+    """n0..nm of each query and, with ``listing``, what was found by distance and code."""
     at = [F.coalesce(F.sum(F.when(F.col("d") == i, F.col("n"))), F.lit(0)).cast("long").alias(f"n{i}") for i in range(m + 1)]
     extra = [F.array_sort(F.collect_list(F.struct("d", "code", "n"))).alias("found")] if listing else []
-    per_query = found.groupBy("q").agg(*at, *extra)
-    rows = coded.join(per_query, "q", "left")
+    return found.groupBy("q").agg(*at, *extra)
+
+
+def _told(rows: DataFrame, m: int, k: int, listing: bool) -> DataFrame:
+    """Counts as a slash list and, with ``listing``, what was found as text."""
     known = F.col("q").isNotNull()
     rows = rows.withColumns({f"n{i}": F.when(known, F.coalesce(f"n{i}", F.lit(0).cast("long"))) for i in range(m + 1)})
     rows = rows.withColumn("off_site_counts", F.when(known, F.concat_ws("/", *[F.col(f"n{i}").cast("string") for i in range(m + 1)])))
@@ -110,7 +130,7 @@ def profile(queries: DataFrame, counts: DataFrame, m: int, bag: bool = True, lis
         told = F.transform(F.filter("found", lambda x: x["d"] > 0), lambda x: F.concat(S.mutation_string(F.upper("kmer"), S.kmer_of_code(x["code"], k)), F.lit(":"), x["n"].cast("string")))
         rows = rows.withColumn("found", F.when(known, F.concat_ws("/", F.concat(F.upper("kmer"), F.lit(":"), F.col("n0").cast("string")), F.array_join(told, "/"))))
         rows = rows.withColumn("found", F.regexp_replace("found", "/$", ""))
-    return rows.drop("q")
+    return rows
 
 
 def thresholds(text: str) -> tuple[list[int | None], int | None]:
