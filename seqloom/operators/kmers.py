@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import seq as S
 from seqloom.operators import absence
 from seqloom.operators.sites import HALF, coded_windows, sites
+from seqloom.sources.shared import remove_table, written
 
 
 def kmers(genome: DataFrame, k: int, pam: str = "", prefix: str = "", lenient: bool = False) -> DataFrame:
@@ -90,6 +91,23 @@ def absent(spark: SparkSession, present: DataFrame, k: int, prefix: str = "", mo
     return absence.absent(present, k, prefix, motif, limit)
 
 
+def first_absent(genome: DataFrame, k: int, limit: int) -> DataFrame:
+    """(code, kmer) of the ``limit`` smallest k <= 31 bases that no window of either strand has.
+
+    All windows are read, but only those below a bound are shuffled: a bound whose lower part lacks ``limit`` codes settles them; else
+    it is raised until it does or the space ends."""
+    found = coded_windows(genome.select(S.normalise(F.col("seq")).alias("seq")), k, []).where("bad = 0")
+    both = found.select(F.explode(F.array("code", "twin")).alias("code"))
+    below = 16 * max(limit, 1 << 16)
+    while True:
+        below = min(4**k, below)
+        held = written(both.where(F.col("code") < below).distinct(), "first-codes")
+        if below == 4**k or below - held.count() >= limit:
+            return absence.absent(held, k, limit=limit)
+        remove_table(held)
+        below *= 64
+
+
 def with_range(spark: SparkSession, codes: DataFrame, lo: int, hi: int) -> DataFrame:
     """(code) of a set with all codes from lo to below hi added."""
     return codes.select("code").union(spark.range(lo, hi).select(F.col("id").alias("code"))).distinct()
