@@ -73,13 +73,17 @@ def schema_of(rows: DataFrame) -> str:
     raise ValueError("the columns are those of neither site table")
 
 
-def write_sites(rows: DataFrame, path: str, parts: int = PARTS) -> None:
-    """A site table of 18 or 22 columns, in folders by chromosome and in order of place within files; beside it the chromosomes' sizes, and a row about the table."""
-    schema = schema_of(rows)
-    typed = rows.select(*[F.col(c).cast(kind).alias(c) for c, kind in (f.split() for f in schema.split(", "))])
-    dealt = typed.withColumn("part", _part(F.col("chrom"), parts)).repartitionByRange("part", "chrom", "chromStart")
-    dealt.sortWithinPartitions("part", "chrom", "chromStart").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("part").parquet(f"{path}/rows")
-    typed.groupBy("chrom").agg(F.max("chromEnd").alias("size")).write.mode("overwrite").parquet(f"{path}/sizes")
+def write_sites(rows: DataFrame, path: str, parts: int = PARTS, made: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """A site table of 18 or 22 columns, in folders by chromosome and in order of place within files; beside it the chromosomes' sizes, and a row about the table.
+
+    With ``made`` the rows, of which only chrom and chromStart must be known, are put in place first and the table is what it makes of each: few columns are shuffled and sorted."""
+    dealt = rows.withColumn("part", _part(F.col("chrom"), parts)).repartitionByRange("part", "chrom", "chromStart").sortWithinPartitions("part", "chrom", "chromStart")
+    table = made(dealt) if made else dealt.select(*rows.columns)
+    schema = schema_of(table)
+    typed = table.select(*[F.col(c).cast(kind).alias(c) for c, kind in (f.split() for f in schema.split(", "))], _part(F.col("chrom"), parts).alias("part"))
+    typed.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").partitionBy("part").parquet(f"{path}/rows")
+    stored = rows.sparkSession.read.schema(schema).parquet(f"{path}/rows")
+    stored.groupBy("chrom").agg(F.max("chromEnd").alias("size")).write.mode("overwrite").parquet(f"{path}/sizes")
     rows.sparkSession.createDataFrame([(parts, schema)], "parts int, schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 
