@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
-from seqloom.operators import neighbors
+from seqloom.operators import groups, neighbors
 from seqloom.plans.hamming import BlockPlan
 from seqloom.sources import files
 from seqloom.sources.shared import finished, remove_table, written
 
 #: Bases of a prefix, at most: the list of a table's shards is the driver's.
 LONGEST = 6
+#: Queries beyond which they are compared in groups and not joined with all changes.
+MANY = 10_000
 
 
 def reachable(q: Column, k: int, p: int, m: int) -> Column:
@@ -76,12 +78,16 @@ def profile(queries: DataFrame, path: str, m: int, k: int, bounds: str = "", per
         within &= F.col(name) <= most if most is not None else F.lit(True)
     if total is not None:
         within &= sum((F.col(n) for n in names[1:]), F.col("n0")) <= total
-    held = None
+    held, many = None, asked.count() > MANY
     for some in rounds(shards, asked, k, m, per_round if bounds else 4**LONGEST):
         here = F.exists(reachable(F.col("q"), k, p, m), lambda x: x.isin([code_of(s) for s in some])) if p else F.lit(True)
         table = shard_table(spark, path, some)
-        found = neighbors.pairs(state.where(here).select("q"), table if bag else table.withColumn("n", F.lit(1).cast("long")), k, m)
-        part = found.select("q", *[F.when(F.col("d") == i, F.col("n")).otherwise(0).alias(n) for i, n in enumerate(names)])
+        table, wanted = table if bag else table.withColumn("n", F.lit(1).cast("long")), state.where(here).select("q")
+        if many:
+            part = groups.counts(wanted, table, k, m, table.count())
+        else:
+            found = neighbors.pairs(wanted, table, k, m)
+            part = found.select("q", *[F.when(F.col("d") == i, F.col("n")).otherwise(0).alias(n) for i, n in enumerate(names)])
         sums = state.unionByName(part).groupBy("q").agg(*[F.sum(n).alias(n) for n in names])
         state = written(sums.where(within), "shard-profiles")
         remove_table(held)
