@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import seq as S
-from seqloom.operators import absence
+from seqloom.operators import absence, scan
 from seqloom.operators.sites import HALF, coded_windows, sites
 from seqloom.sources.shared import remove_table, written
 
@@ -37,8 +37,7 @@ def strand_counts(genome: DataFrame, k: int) -> DataFrame:
     """
     if k > HALF:
         return _spelled_counts(genome, k)
-    found = coded_windows(genome.select(S.normalise(F.col("seq")).alias("seq")), k, []).where("bad = 0")
-    counts = found.select(F.least("code", "twin").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    counts = scan.strand_counts(genome, k)
     both = _two_strands(F.col("code"), S.revcomp_code(F.col("code"), k))
     return counts.select(F.inline(both)).select(S.spelled(F.col("window"), k).alias("kmer"), "n", F.col("window").alias("code"))
 
