@@ -1,11 +1,12 @@
 """Sequences scanned as arrays against plain loops over their letters."""
 
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 
-from seqloom.operators import kmers, scan, sites
+from seqloom.operators import filters, kmers, scan, sites
 
 NGG = "X" * 20 + "NGG"
 
@@ -38,6 +39,16 @@ def test_sites_are_counted_where_they_are_scanned(spark):
         sites.site_counts(table, "XXJ")
 
 
+def test_masked_windows_are_counted_as_longs(spark):
+    rows = [letters(n, n, "acgtNnU-") for n in (0, 4, 5, 6, 700)] * 2
+    want = Counter(t[i : i + 5] for t in rows for i in range(len(t) - 4) if not set(t[i : i + 5]) - set("ACGTacgt"))
+    fits = lambda w: w.upper().count("T") <= 1 and 0.4 <= (w.upper().count("G") + w.upper().count("C")) / 5 <= 0.6
+    table = spark.createDataFrame([(t,) for t in [*rows, None]], "seq string")
+    found = scan.masked_counts(table, 5, lambda codes: filters.guide_codes(codes, 5, max_t=1))
+    assert dict(found.dtypes) == {"code": "bigint", "low": "bigint", "n": "bigint"}
+    assert {r[0]: r[1] for r in scan.spelled_masked(found, 5).collect()} == {w: n for w, n in want.items() if fits(w)}
+
+
 def test_recoded_text(spark):
     table = spark.createDataFrame([("a", "xé-Yx"), ("b", None), ("c", ""), ("d", "zz")], "chrom string, text string")
     assert sorted(map(tuple, scan.recoded(table, "xY", "AC", "text").collect()), key=str) == [("a", "ACA"), ("b", None), ("c", ""), ("d", "")]
