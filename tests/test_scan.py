@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 
 from seqloom.operators import filters, kmers, scan, sites
+from seqloom.plans import queries
+from seqloom.sources import shared
 
 NGG = "X" * 20 + "NGG"
 
@@ -52,3 +54,17 @@ def test_masked_windows_are_counted_as_longs(spark):
 def test_recoded_text(spark):
     table = spark.createDataFrame([("a", "xé-Yx"), ("b", None), ("c", ""), ("d", "zz")], "chrom string, text string")
     assert sorted(map(tuple, scan.recoded(table, "xY", "AC", "text").collect()), key=str) == [("a", "ACA"), ("b", None), ("c", ""), ("d", "")]
+
+
+def test_batches_are_more_than_a_file(spark, monkeypatch):
+    """Three batches, of as many files as the input has parts: no batch is one task's work."""
+    rows = spark.createDataFrame([(f"c{i}", letters(60, i)) for i in range(40)], "chrom string, seq string").repartition(8)
+    monkeypatch.setattr(queries.V, "genome", lambda *_: rows)
+    merged = []
+    merge = queries.CountTable.merge
+    monkeypatch.setattr(queries.CountTable, "merge", lambda self, genome, batch: (merged.append(batch), merge(self, genome, batch))[1])
+    found = queries.kmer_counts_in_batches(spark, "")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, kmers.strand_counts(rows, 8).select("kmer", "n").collect()))
+    path = next(p for p, s in shared._left.items() if "/arrivals-" in p and s is spark)
+    assert merged == [0, 1, 2, 2] and len(spark.read.parquet(f"{path}/in").inputFiles()) > 3
+    shared.remove_all(spark)
