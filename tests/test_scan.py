@@ -5,8 +5,10 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from seqloom.operators import filters, kmers, scan, sites
+from seqloom.functions import seq as S
+from seqloom.operators import filters, kmers, scan, sitedb, sites
 from seqloom.plans import queries
 from seqloom.sources import shared
 
@@ -68,3 +70,11 @@ def test_batches_are_more_than_a_file(spark, monkeypatch):
     path = next(p for p, s in shared._left.items() if "/arrivals-" in p and s is spark)
     assert merged == [0, 1, 2, 2] and len(spark.read.parquet(f"{path}/in").inputFiles()) > 3
     shared.remove_all(spark)
+
+
+def test_bounds_on_bases_are_known_of_codes(spark):
+    words = ["A" * 20, "G" * 20, "ACGT" * 5, "GC" * 4 + "AT" * 6, "GC" * 6 + "AT" * 4, "G" * 13 + "T" * 7]
+    rows = spark.createDataFrame([(w,) for w in words], "kmer string").withColumn("code", S.kmer_code(F.col("kmer")))
+    query = sitedb.parse(["$percentGC\t40\t60", "$n1mismatches\t-10000\t2"])
+    kept = [r[0] for r in rows.where(sitedb.code_bounds(query, F.col("code"), 20)).collect()]
+    assert kept == [r[0] for r in rows.where(S.percent_gc(F.col("kmer")).between(40, 60)).collect()] == words[2:5]
