@@ -124,3 +124,21 @@ def test_filters(spark):
     assert g.where(filters.guide_quality(F.col("kmer"), F.col("n"), max_copies=9)).count() == 2
     assert g.where(filters.guide_quality(F.col("kmer"), F.col("n"), max_copies=9, allow_lowercase=True)).count() == 3
     assert g.where(filters.guide_quality(F.col("kmer"), F.col("n"), max_t=9, max_tandem_t=4)).count() == 2
+
+
+def test_islands_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    """More rows are dealt out to more tasks, whatever the session's number of partitions."""
+    parts = []
+    kept = intervals.written
+    monkeypatch.setattr(intervals, "written", lambda df, name: parts.append(df) or kept(df, name))
+    places = spark.range(4000).select(F.concat(F.lit("c"), F.col("id") % 40).alias("chrom"), (F.col("id") * 3 % 997).alias("s"))
+    got = sorted((r.chrom, r.start0, r.end0, r.n) for r in intervals.islands(places, 64, 100).collect())
+    sizes = [r["count"] for r in parts[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 500
+    want = []
+    for chrom, s in sorted({(r.chrom, r.s) for r in places.collect()}):
+        if want and want[-1][0] == chrom and want[-1][2] == s - 1:
+            want[-1] = (chrom, want[-1][1], s, want[-1][3] + 1)
+        else:
+            want.append((chrom, s, s, 1))
+    assert got == want
