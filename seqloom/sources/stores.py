@@ -15,6 +15,13 @@ from seqloom.sources import files
 PARTS, LISTED = 64, 1000
 #: Bytes of a row group of a site table, so that a region is a small part of a file.
 ROW_GROUP = 8 << 20
+#: Letters of the sequences whose sites are in one bucket.
+LETTERS = 16 << 20
+
+
+def buckets_for(letters: int, least: int = 16) -> int:
+    """How many buckets the sites of sequences of so many letters need for a bucket, which one task writes and one task reads, to grow no further with them."""
+    return max(least, -(-letters // LETTERS))
 
 
 def write_bucketed(found: DataFrame, table: str, path: str, buckets: int = 64) -> None:

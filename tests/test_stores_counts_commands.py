@@ -7,6 +7,7 @@ import pytest
 from seqloom import commands as C
 from seqloom.operators import intervals as I
 from seqloom.operators import kmers, neighbors, sitedb, sites
+from seqloom.plans import queries as Q
 from seqloom.sources import files, stores
 from seqloom.streaming.counts import CountTable
 
@@ -207,3 +208,16 @@ def test_classes_are_found_when_the_join_runs(spark):
     b = spark.createDataFrame([("c", 4, 8), ("c", 50_000, 50_001), ("d", 3, 9), ("d", 4, 9)], "chrom string, s long, e long")
     got = I.overlap_join(a, b).select("s", "s_b").collect()
     assert sorted(map(tuple, got)) == [(0, 4), (3, 3), (100, 50_000)] and I.overlap_join(a.limit(0), b).isEmpty()
+
+
+def test_buckets_grow_with_the_sequences(spark, tmp_path, monkeypatch):
+    """More letters make more buckets, not larger ones; short sequences keep the 16 of the query."""
+    made = []
+    write = stores.write_bucketed
+    monkeypatch.setattr(stores, "write_bucketed", lambda found, table, path, buckets=64: made.append(buckets) or write(found, table, path, buckets))
+    text = "".join(random.Random(3).choices("abcd", k=3000))
+    spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    few = sorted(map(tuple, Q.QUERIES["bucketed_copies"](spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(stores, "LETTERS", 200)
+    assert sorted(map(tuple, Q.QUERIES["bucketed_copies"](spark, str(tmp_path)).collect())) == few and len(few) > 100
+    assert made == [16, 30]
