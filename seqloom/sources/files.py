@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +25,12 @@ TWO_PLUS = (
     "blockCount long, blockSizes string, chromStarts string, clusterSize long, n0mismatches long, n1mismatches long, n2mismatches long, n3mismatches long, "
     "totalOffSites long, offSiteCounts string, spacerSeq string, percentGC double, longestTandemT long"
 )
+#: White space, and the first word of a FASTA header.
+BLANK, NAME = re.compile("[ \\t\\n\\v\\f\\r]"), re.compile("^>[ \\t\\n\\v\\f\\r]*([^ \\t\\n\\v\\f\\r]+)")
+#: Bases that wait, besides those of a chunk, to be given out together.
+HELD = 1 << 16
+SPLITS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("heads", pa.int64()), ("tail", pa.int64()), ("name", pa.string())])
+PIECES = pa.schema([("file", pa.string()), ("record", pa.int64()), ("chrom", pa.string()), ("chunk", pa.int64()), ("at", pa.int64()), ("piece", pa.string()), ("whole", pa.bool_())])
 HITS = "pattern string, chrom string, location long, seq string, strand string, mismatches long"
 
 
@@ -31,34 +41,118 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return record.where(F.size("r") == 2).select(chrom.alias("chrom"), seq.alias("seq")).where("chrom <> '' AND seq <> ''")
 
 
+def _split_runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, list[str]]]:
+    """((file, block), first row, lines) of the lines of a batch (value, file, block, ...), in order."""
+    if not batch.num_rows:
+        return
+    file, block = batch.column(1), batch.column(2).to_numpy()
+    other = (block[1:] != block[:-1]) | pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+    starts = [0, *(np.flatnonzero(other) + 1).tolist()]
+    for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield (file[start].as_py(), int(block[start])), start, batch.column(0).slice(start, end - start).to_pylist()
+
+
+def _bases(line: str) -> str:
+    return line if line.isalpha() else BLANK.sub("", line)
+
+
+def _name(line: str) -> str:
+    """The first word of a header."""
+    return found[1] if (found := NAME.match(line)) else ""
+
+
+def _split_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each split: how many headers it has, the name in its last one, and the bases behind that (all, if it has none)."""
+    key, heads, tail, last = None, 0, 0, None
+
+    def row():
+        return pa.RecordBatch.from_pylist([{"file": key[0], "block": key[1], "heads": heads, "tail": tail, "name": last and _name(last)}], SPLITS)
+
+    for batch in batches:
+        for k, _, lines in _split_runs(batch):
+            if k != key:
+                if key:
+                    yield row()
+                key, heads, tail, last = k, 0, 0, None
+            for line in lines:
+                if line.startswith(">"):
+                    heads, tail, last = heads + 1, 0, line
+                else:
+                    tail += len(_bases(line))
+    if key:
+        yield row()
+
+
+class _Record:
+    """What one split has of a record, from its base ``at`` on, given out in chunks as its lines come."""
+
+    def __init__(self, size: int, n: int, key: tuple, at: int):
+        self.size, self.reach, self.key = size, size + n - 1, key
+        self.start = self.left = self.end = at
+        self.chunk, self.lines = max(0, (at - n + 1) // size), []
+
+    def add(self, line: str) -> bool:
+        """Takes a line; whether there may be a chunk to give out."""
+        self.lines.append(line)
+        self.end += len(line)
+        return self.end - self.left >= self.reach + HELD
+
+    def pieces(self, last: bool = False, over: bool = False) -> Iterator[tuple]:
+        """(*key, chunk, at, piece, whole) of the chunks that are full, and of the others too if these lines are the split's last ones of the record; ``over``: the record ends here."""
+        text, at = "".join(self.lines), self.chunk * self.size
+        while self.end > self.start and (at + self.reach <= self.end or last and at < self.end):
+            lo = max(at, self.left)
+            yield (*self.key, self.chunk, lo, text[lo - self.left : at + self.reach - self.left], at >= self.start and (over or at + self.reach <= self.end))
+            self.chunk, at = self.chunk + 1, at + self.size
+        lo = min(max(at, self.left), self.end)
+        self.lines, self.left = [text[lo - self.left :]], lo
+
+
 def read_fasta_chunks(spark: SparkSession, path: str, n: int = 1, size: int = 1 << 16) -> DataFrame:
     """(chrom, offset, seq): records in chunks of ``size`` bases, each with the first n - 1 of the next, so that every window of n bases lies in one.
 
-    For records of any length: no line waits for the rest of its record.  A line's record and place follow from running
-    counts within a split of its file and, one row each, over the splits and over the records' parts in them."""
-    split = ["file", "block"]
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
-    head = F.col("value").startswith(">")
-    lines = lines.withColumns({"head": head.cast("long"), "bases": F.when(head, "").otherwise(F.regexp_replace("value", r"\s", ""))})
-    so_far = Window.partitionBy(*split).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    heads = lines.groupBy(*split).agg(F.sum("head").alias("heads"))
-    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*split, F.coalesce(F.sum("heads").over(ahead), F.lit(0)).alias("before"))
-    lines = lines.withColumn("here", F.sum("head").over(so_far)).join(heads, split).withColumn("record", F.col("before") + F.col("here"))
-    names = lines.where("head = 1").select("file", "record", F.regexp_extract("value", r"^>\s*(\S+)", 1).alias("chrom")).where("chrom <> ''")
-    lines = lines.where("head = 0 AND bases <> ''").withColumn("length", F.length("bases").cast("long"))
-    parts = lines.groupBy("file", "record", "block").agg(F.sum("length").alias("part"))
-    earlier = Window.partitionBy("file", "record").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("file", "record", "block", F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("start"))
-    within = Window.partitionBy("file", "record", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lines.withColumn("to", F.sum("length").over(within)).join(parts, ["file", "record", "block"]).join(names, ["file", "record"])
-    placed = placed.select("file", "record", "chrom", "bases", "length", (F.col("start") + F.col("to") - F.col("length")).alias("at"))
-    first = F.greatest(F.lit(0), F.floor((F.col("at") - (n - 1)) / size))
-    cut = placed.withColumn("chunk", F.explode(F.sequence(first, F.floor((F.col("at") + F.col("length") - 1) / size))))
-    lo, hi = F.greatest("at", F.col("chunk") * size), F.least(F.col("at") + F.col("length"), (F.col("chunk") + 1) * size + (n - 1))
-    pieces = cut.select("file", "record", "chrom", "chunk", "at", F.substring(F.col("bases"), (lo - F.col("at") + 1).cast("int"), (hi - lo).cast("int")).alias("piece")).where("piece <> ''")
-    chunks = pieces.groupBy("file", "record", "chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
-    return chunks.select("chrom", (F.col("chunk") * size).alias("offset"), F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("seq"))
+    For records of any length: no line waits for the rest of its record, and no lines are shuffled or sorted.  A split of a file is read in order, twice: first for
+    its headers and the bases behind the last one, from which follows, by a row for each split, which record the next one goes on with and at which base; then it is cut.  Chunks
+    that lie in one split are written as they are; only the pieces of the others, a few for each split, are put together by a grouping."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    splits = lines.mapInArrow(_split_ends, "file string, block long, heads long, tail long, name string")
+    turn = Window.partitionBy("file").orderBy("block")
+    splits = splits.withColumn("group", F.sum(F.when(F.col("heads") > 0, 1).otherwise(0)).over(turn.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    splits = splits.withColumns({"to": F.sum("tail").over(so_far), "named": F.first("name").over(so_far)})
+    earlier = F.coalesce(F.sum("heads").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "block", earlier.alias("record"), F.coalesce(F.lag("to").over(turn), F.lit(0)).alias("at"), F.lag("named").over(turn).alias("chrom"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, record = None, None
+        for batch in batches:
+            out = []
+            for k, row, lines in _split_runs(batch):
+                if k != key:
+                    out += record.pieces(True) if record else []
+                    key, (number, at, chrom) = k, (batch.column(c)[row].as_py() for c in (3, 4, 5))
+                    if number is None:
+                        raise ValueError(f"{k[0]} is not split as before")
+                    record = _Record(size, n, (k[0], number, chrom), at) if chrom else None
+                for line in lines:
+                    if line.startswith(">"):
+                        out += record.pieces(True, True) if record else []
+                        number, chrom = number + 1, _name(line)
+                        record = _Record(size, n, (k[0], number, chrom), 0) if chrom else None
+                    elif record and record.add(_bases(line)):
+                        out += record.pieces()
+            yield _pieces_batch(out)
+        yield _pieces_batch(list(record.pieces(True)) if record else [])
+
+    found = lines.join(F.broadcast(splits), ["file", "block"], "left").select("value", "file", "block", "record", "at", "chrom")
+    found = written(found.mapInArrow(cut, "file string, record long, chrom string, chunk long, at long, piece string, whole boolean"), "fasta-pieces")
+    whole = found.where("whole").select("chrom", (F.col("chunk") * size).alias("offset"), F.col("piece").alias("seq"))
+    chunks = found.where("NOT whole").groupBy("file", "record", "chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
+    return whole.unionByName(chunks.select("chrom", (F.col("chunk") * size).alias("offset"), F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("seq")))
+
+
+def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(PIECES), PIECES, strict=True)], schema=PIECES)
 
 
 def write_fasta(genome: DataFrame, path: str, width: int = 60) -> None:

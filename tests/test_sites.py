@@ -139,3 +139,26 @@ def test_dumps_and_orders(spark):
     assert {r.name for r in old.collect()} == {"456.2", "467.1"}
     codes = spark.createDataFrame([(2,), (9,)], "code long")
     assert rows(kmers.with_range(spark, codes, 4, 6), "code") == [(2,), (4,), (5,), (9,)] and rows(kmers.within_range(codes, 2, 9), "code") == [(2,)]
+
+
+def test_fasta_chunks_are_cut_within_splits(spark, tmp_path, monkeypatch):
+    """Lines are not shuffled: most chunks leave their split whole, whatever stands in the file, and a few pieces of each split are put together."""
+    rng = random.Random(4)
+    seqs = {"a": 900, "b": 40, "c": 6000, "d": 0, "e": 100}
+    seqs = {c: "".join(rng.choices("ACGTN", k=n)) for c, n in seqs.items()}
+    cut = lambda s: "".join(s[i : i + 9] + rng.choice(["\n", " \n", "\r\n", "\n\n"]) for i in range(0, len(s), 9))
+    (tmp_path / "g.fa").write_text("ACGT\n" + "".join(f"> {c} of many\n" + cut(s) + ">\n" + cut("ACGTACGTACGT") for c, s in seqs.items()), newline="")
+    seqs.pop("d")
+    seen = []
+    kept = files.written
+    monkeypatch.setattr(files, "written", lambda df, name: seen.append(kept(df, name)) or seen[-1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+    try:
+        for n, size in ((1, 7), (9, 7), (9, 50), (30, 100), (5, 1 << 14)):
+            want = sorted((c, at, s[at : at + size + n - 1]) for c, s in seqs.items() for at in range(0, len(s), size))
+            assert rows(files.read_fasta_chunks(spark, str(tmp_path / "g.fa"), n, size), "chrom", "offset", "seq") == want
+        few = seen[2].where("NOT whole").count()
+        assert 0 < few < 40 < seen[2].where("whole").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
