@@ -162,3 +162,17 @@ def test_fasta_chunks_are_cut_within_splits(spark, tmp_path, monkeypatch):
         assert 0 < few < 40 < seen[2].where("whole").count()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_clusters_of_codes(spark, capsys):
+    """Sites with codes make the same rows as sites with k-mers; nothing is aggregated by sorting text, and a chromosome's hash decides nothing alone."""
+    rng = random.Random(9)
+    repeat = "".join(rng.choices("ACGT", k=60))
+    seqs = {c: "".join(rng.choices("ACGT", k=300)) + repeat * m + "".join(rng.choices("ACGT", k=90)) for c, m in (("a", 3), ("b", 1), ("c", 0))}
+    seqs["c"] += "T" * 30 + 2 * "ACGTTGCAAC" + "".join(rng.choices("ACGT", k=50)) * 3
+    g = spark.createDataFrame(list(seqs.items()), "chrom string, seq string")
+    coded = sites.clusters(sites.coded_sites(g, "X" * 12 + "NGG"), coded=12)
+    spelled = sites.clusters(sites.sites(g, "X" * 12 + "NGG"))
+    assert rows(coded, *coded.columns) == rows(spelled, *coded.columns) and {r.copies for r in coded.collect()} >= {1, 3}
+    coded.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
