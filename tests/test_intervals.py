@@ -142,3 +142,13 @@ def test_islands_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
         else:
             want.append((chrom, s, s, 1))
     assert got == want
+
+
+def test_same_item_chains_deal_rows_out_once(spark, capsys):
+    """Bounds and runs come from one order of the rows; equal rows count once and codes are spelled at the end."""
+    rows = [(0b0001, "1", 0, 3, 4), (0b0001, "1", 0, 3, 4), (0b0001, "1", 2, 5, 4), (0b0001, "1", 9, 12, 4), (0b0001, "2", 0, 3, 4), (0b1110, "1", 4, 7, 2), (0b1110, "1", 900, 903, 2)]
+    items = spark.createDataFrame(rows, "name long, chrom string, start0 long, end1 long, copies long")
+    got = sites.same_item_chains(items, 100, 0.5, coded=2)
+    got.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    assert [(r.name, r.chrom, r.block_starts) for r in got.collect()] == [("AC/k=2/s=12/f=0.5", "1", "0,9")]
