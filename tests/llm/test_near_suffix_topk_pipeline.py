@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import ngram_join as J
 from seqloom.llm import suffix_dedup as X
@@ -120,6 +121,27 @@ def test_suffix(docs, anchor):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_suffix_parts_follow_from_the_bytes(docs, monkeypatch):
+    """However few partitions the session has, no part holds more of a larger corpus."""
+    rows = suffix_rows()
+    monkeypatch.setattr(X, "PART_BYTES", 4 << 10, raising=False)
+    monkeypatch.setattr(X, "PART_OPEN", 2 << 10, raising=False)
+    monkeypatch.setattr(X, "TASK_BLOCKS", 1, raising=False)
+    held = {}
+
+    def told(df, name, write=X.written):
+        out = write(df, name)
+        if name.startswith(("suffix-contexts", "suffix-N", "suffix-R")):
+            held[name] = [r.n for r in out.where("kind >= 0").groupBy("part").agg(F.sum(F.length("payload")).alias("n")).collect()]
+        return out
+
+    monkeypatch.setattr(X, "written", told)
+    got = X.suffix_dedup(docs(*rows)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_suffix(rows)
+    assert len(held["suffix-contexts"]) > 4 and len(held["suffix-R0"]) > 4
+    assert max(held["suffix-N3"]) < sum(held["suffix-N3"]) / 5 and max(held["suffix-R0"]) < sum(held["suffix-R0"]) / 5
+
+
 def test_suffix_longer_than_243_bytes(docs):
     """A level more; a level's needs are the names below it and the ranks above it."""
     rows = [(k, t and t * (3 if (k or 0) % 7 == 0 else 1), None) for k, t, _ in suffix_rows() if t is None or len(t) < 5000]
