@@ -47,6 +47,50 @@ def test_groups_find_what_joins_find_and_send_no_changed_blocks(spark, monkeypat
     assert set(told) == set(asked) and all(told[c] == sums[c] for c in codes[::3])
 
 
+@pytest.mark.parametrize("k, m, j", [(10, 1, 0), (12, 2, 1), (20, 3, 0), (20, 3, 2), (20, 3, 3)])
+def test_finer_pieces_find_the_same_and_compare_less(monkeypatch, k, m, j):
+    """Where many codes share a place, pairs that are compared grow with the square of the codes; a group then takes finer pieces."""
+    rng = np.random.default_rng(k + m + j)
+    codes = np.unique(rng.integers(0, 4, (3000, k)) @ (4 ** np.arange(k)))
+    codes &= ~np.int64(G._masks(k, m, 1)[j])  # all in one block
+    some = [p for p in range(k) if (int(G._masks(k, m, 1)[j]) >> 2 * p) & 1 == 0]
+    codes = np.unique(np.concatenate([codes, *[codes ^ (rng.integers(1, 4, len(codes)) << 2 * np.array(rng.choice(some, len(codes)))) for _ in range(3)]]))
+    compared = [0]
+
+    def differ(x, of=G._differ):
+        compared[0] += len(x)
+        return of(x)
+
+    monkeypatch.setattr(G, "_differ", differ)
+    found, work = [], []
+    for pieces in (1, 2, 3, 5):
+        monkeypatch.setattr(G, "pieces_for", lambda *_, n=pieces: n)
+        compared[0] = 0
+        at = [(int(a), int(b), int(d)) for part in G.near(codes, np.ones(len(codes), bool), k, m, j) for a, b, d in zip(*part, strict=True)]
+        assert len({frozenset(x[:2]) for x in at}) == len(at)
+        found.append({(frozenset(x[:2]), x[2]) for x in at})
+        work.append(compared[0])
+    assert found[0] == found[1] == found[2] == found[3]
+    assert j or len(found[0]) > 3000
+    assert work[0] > work[1]
+
+
+def test_crowded_groups_take_finer_pieces():
+    rng = np.random.default_rng(0)
+    sparse = np.unique(rng.integers(0, 1 << 40, 20_000))
+    crowded = np.unique(rng.integers(0, 1 << 30, 1_200_000))  # all in one first block
+    assert G.pieces_for(sparse, 20, 3, 0) == 2 and G.pieces_for(crowded, 20, 3, 0) > 2
+
+
+def test_codes_are_spelled():
+    codes = np.array([0, 5, (1 << 62) - 1])
+    for k in (3, 4, 20, 31):
+        mine = codes & ((1 << 2 * k) - 1)
+        told = ["".join(S.CODE_ORDER[int(c) >> 2 * (k - 1 - i) & 3] for i in range(k)) for c in mine]
+        assert G.spelled(mine, k).to_pylist() == told
+        assert G.spelled(mine, k, np.array([0, 0, 1])).to_pylist() == [told[0], told[1], told[2][:-1] + told[2][-1].lower()]
+
+
 def test_packed_numbers_come_back():
     for values in ([0], [255, 0, 256], [1 << 61, 7]):
         assert G.unpacked(G.packed(np.array(values))).tolist() == values
