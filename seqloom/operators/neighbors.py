@@ -110,9 +110,7 @@ def own_profile(counts: DataFrame, m: int, k: int, bag: bool = True, listing: bo
     """(kmer, n0..nm, off_site_counts), with ``listing`` also found, of all k-mers of a table (code, n) among themselves: what :func:`profile` tells of them, in groups and without a join back."""
     table = counts.select("code", F.col("n") if bag else F.lit(1).cast("long").alias("n"))
     rows = counts.count()
-    if listing:
-        return _told(_summed(groups.pairs(None, table, k, m, rows), m, True).withColumn("kmer", S.spelled(F.col("q"), k)), m, k, True)
-    return _told(groups.counts(None, table, k, m, rows, spell=True), m, k, False)
+    return _told(groups.listed(table, k, m, rows) if listing else groups.counts(None, table, k, m, rows, spell=True), m, k, False)
 
 
 def _summed(found: DataFrame, m: int, listing: bool) -> DataFrame:

@@ -82,6 +82,20 @@ def test_crowded_groups_take_finer_pieces():
     assert G.pieces_for(sparse, 20, 3, 0) == 2 and G.pieces_for(crowded, 20, 3, 0) > 2
 
 
+def test_listing_is_told_in_groups(spark, monkeypatch):
+    """No pair is a row between tasks, and texts are not put together letter by letter; queries are told few at a time."""
+    monkeypatch.setattr(G, "GROUP", 50)
+    rng = random.Random(5)
+    codes = [rng.randrange(1 << 40) for _ in range(60)]
+    codes = sorted({*codes, *[c ^ (rng.randint(1, 3) << 2 * rng.randrange(20)) ^ (rng.randint(0, 3) << 2 * rng.randrange(20)) for c in codes for _ in range(4)]})
+    counts = spark.createDataFrame([(c, rng.randint(1, 300)) for c in codes], "code long, n long").cache()
+    want = neighbors.profile(counts.select(S.spelled(F.col("code"), 20).alias("kmer")), counts, 3, k=20, listing=True).select("kmer", "n0", "n3", "found")
+    got = neighbors.own_profile(counts, 3, 20, listing=True).select("kmer", "n0", "n3", "found")
+    assert sorted(got.collect()) == sorted(want.collect()) and any("/" in r.found for r in want.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "transform" not in plan
+
+
 def test_codes_are_spelled():
     codes = np.array([0, 5, (1 << 62) - 1])
     for k in (3, 4, 20, 31):
